@@ -68,6 +68,7 @@ def forest(fps: np.ndarray, side: np.ndarray, bits: int, rows: int = 512) -> tup
     """
     order = np.argsort(fps)
     fps, side = fps[order], side[order]
+    raw = fps.view(np.uint64)  # of signed numbers only the absolute value would be counted
     root = np.arange(len(fps))
 
     def find(i: int) -> int:
@@ -80,7 +81,7 @@ def forest(fps: np.ndarray, side: np.ndarray, bits: int, rows: int = 512) -> tup
     left, right = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if across else (np.arange(len(fps)),) * 2
     for at in range(0, len(left), rows):
         own = left[at : at + rows]
-        i, j = np.nonzero(np.bitwise_count(fps[own][:, None] ^ fps[right][None, :]) <= bits)
+        i, j = np.nonzero(np.bitwise_count(raw[own][:, None] ^ raw[right][None, :]) <= bits)
         i, j = own[i], right[j]
         differ = root[i] != root[j]
         for a, b in zip(i[differ].tolist(), j[differ].tolist(), strict=True):
@@ -138,7 +139,7 @@ def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
             out_a, out_b = [], []
             two = cuts[:-1][size == 2]
             a, b = fp[two], fp[two + 1]
-            near = np.bitwise_count(a ^ b) <= bits
+            near = np.bitwise_count((a ^ b).view(np.uint64)) <= bits
             out_a.append(np.minimum(a, b)[near])
             out_b.append(np.maximum(a, b)[near])
             for at, n in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
