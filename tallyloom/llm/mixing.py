@@ -104,7 +104,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     mean = F.col("source_size") / F.col("docs")
     cells = settle(counts.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.*", F.when(mean > 0, F.col("size") / mean).otherwise(0.0).alias("z"), F.when(mean > 0, F.col("target") / mean).otherwise(0.0).alias("want")))
     lam = solve(cells, float(cap))
-    rate = F.when(F.col("z") > 0, _rate(float(cap))).otherwise(F.lit(1.0))
+    # The order of a sum can change its last bits; rounded, reruns agree.
+    rate = F.round(F.when(F.col("z") > 0, _rate(float(cap))).otherwise(F.lit(1.0)), 9)
     rated = cells.alias("c").join(lam.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source")), "left").select("c.source", "size", "n", rate.alias("rate"))
     # A size that many documents share is dealt into cells, so that no group is ranked as a whole.
     parts = F.ceil(F.col("n") / CELL).cast("long")
