@@ -61,9 +61,11 @@ def half_open(end: int, start: int = 0, step: int = 1) -> Column:
 
 
 def reversed_half_open(start: int, end: int = 0) -> Column:
-    """half_open without its start and with its end, the other way round."""
+    """half_open of the two, from its other end: without the first number and with the last, counted the other way."""
     sign = 1 if end >= start else -1
-    return F.array(*(F.lit(v) for v in range(start + min(sign, 0), end + min(sign, 0), sign))) if start != end else F.array().cast("array<int>")
+    first = start + (1 if sign > 0 else -1)
+    values = list(range(first, end + sign, sign)) if start != end else []
+    return F.array(*(F.lit(v) for v in values)).cast("array<int>")
 
 
 def non_zero(m: Column) -> Column:
