@@ -11,6 +11,7 @@ Nothing is shuffled: a document is one row throughout.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,14 +41,15 @@ class CharacterClass:
 
 
 CLASSES = (CharacterClass("hexent", r"^[0-9A-Fa-f]+$", 3.2), CharacterClass("alnument", r"^[A-Za-z0-9]+$", 3.7), CharacterClass("b64ent", r".", 3.8))
-#: Candidates that match are no secrets: no mix of letters and digits, UUIDs, placeholders, runs of the alphabet, paths of plain words.
+#: Candidates that match are no secrets: no mix of letters and digits, UUIDs, placeholders, runs of the alphabet.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|sample|dummy|xxxx|0123456789|abcdefgh",
-    r"^[A-Za-z]{1,15}([/_=+-][A-Za-z]{0,15}|[/_=+-][0-9]{1,8})+$",
 )
+#: A candidate of nothing but such pieces between signs is a path of plain words and numbers, no secret.
+SIGNS, PLAIN = r"[/_=+-]", r"^([A-Za-z]{0,15}|[0-9]{1,8})$"
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -74,42 +76,46 @@ def _c_log_c(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def entropy_windows(found: Column, window: int = WINDOW) -> Column:
-    """Array of the entropy in bits of every window of *window* ASCII characters of *found*, in order."""
+def high_entropy(found: Column, least: Column, window: int = WINDOW) -> Column:
+    """(first, last): the first and last window of *window* ASCII characters, from 1, whose entropy in bits is *least* or more; 0 for none."""
+    codes = F.transform(F.split(found, ""), lambda c: F.ascii(c))
+    old = F.concat(F.array_repeat(F.lit(-1), window), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - window, F.lit(0))))
+    # A place's character comes in as the one a window before it goes out.
+    moves = F.zip_with(codes, F.slice(old, F.lit(1), F.size(codes)), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
+    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
-    def code(i: Column) -> Column:
-        return F.ascii(F.substring(found, i, F.lit(1)))
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).cast("double").alias("sum"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        new, old = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
+    def step(acc: Column, m: Column) -> Column:
+        new, old = m["new"], m["old"]
         at_new, at_old = F.get(acc["counts"], new), F.coalesce(F.get(acc["counts"], F.greatest(old, F.lit(0))), F.lit(0))
         change = _c_log_c(at_new + 1) - _c_log_c(at_new) - F.when(old >= 0, _c_log_c(at_old) - _c_log_c(at_old - 1)).otherwise(F.lit(0.0))
         total = acc["sum"] + F.when(new == old, F.lit(0.0)).otherwise(change)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-        entropy = F.lit(float(window)).cast("double")
-        out = F.when(i >= window, F.concat(acc["out"], F.array(F.log2(entropy) - total / window))).otherwise(acc["out"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), out.alias("out"))
+        counts = F.when(new == old, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + F.when(k == new, 1).when(k == old, -1).otherwise(0)))
+        place = acc["at"] + 1 - (window - 1)
+        high = (place >= 1) & (math.log2(window) - total / window >= least)
+        first = F.when(high & (acc["first"] == 0), place).otherwise(acc["first"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), (acc["at"] + 1).alias("at"), first.alias("first"), F.when(high, place).otherwise(acc["last"]).alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(found)), start, step, lambda acc: acc["out"])
+    return F.aggregate(moves, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def _entropy_spans(text: Column, window: int, classes: tuple[CharacterClass, ...], allow: tuple[str, ...]) -> Column:
-    kept = F.filter(spans_of(text, CANDIDATE), lambda s: ~F.exists(F.array(*(s["found"].rlike(p) for p in allow)), lambda x: x))
-
-    def scored(s: Column) -> Column:
-        kind = least = None
-        for c in reversed(classes):
+    def allowed(found: Column) -> Column:
+        out = F.forall(F.split(found, SIGNS), lambda p: p.rlike(PLAIN))
+        for pattern in allow:
+            out = found.rlike(pattern) | out
+        return out
+
+    def classed(s: Column) -> Column:
+        kind, least = F.lit(KINDS.index(classes[-1].kind)), F.lit(classes[-1].threshold)
+        for c in reversed(classes[:-1]):
             here = s["found"].rlike(c.pattern)
-            kind = F.lit(KINDS.index(c.kind)) if kind is None else F.when(here, F.lit(KINDS.index(c.kind))).otherwise(kind)
-            least = F.lit(c.threshold) if least is None else F.when(here, F.lit(c.threshold)).otherwise(least)
-        high = F.transform(entropy_windows(s["found"], window), lambda h: h >= least)
-        size = F.size(high)
-        first, last = F.array_position(high, True), size - F.array_position(F.reverse(high), True) + 1
-        return F.when(F.array_contains(high, True), F.struct((s["start"] + first - 1).cast("long").alias("start"), kind.alias("kind"), (s["start"] + last - 1 + window).cast("long").alias("end")))
-
-    return F.filter(F.transform(kept, scored), lambda s: s.isNotNull())
+            kind, least = F.when(here, F.lit(KINDS.index(c.kind))).otherwise(kind), F.when(here, F.lit(c.threshold)).otherwise(least)
+        return F.struct(s["start"].alias("start"), kind.alias("kind"), high_entropy(s["found"], least, window).alias("high"))
+
+    # Each step binds its result, so that no fold is evaluated twice.
+    kept = F.filter(spans_of(text, CANDIDATE), lambda s: ~allowed(s["found"]))
+    hits = F.filter(F.transform(kept, classed), lambda s: s["high"]["first"] > 0)
+    return F.transform(hits, lambda s: F.struct((s["start"] + s["high"]["first"] - 1).cast("long").alias("start"), s["kind"].alias("kind"), (s["start"] + s["high"]["last"] - 1 + window).cast("long").alias("end")))
 
 
 def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:

@@ -183,7 +183,7 @@ def entropies(s, n):
 def brute_added(text):
     out = []
     for m in re.finditer(secret_scan.CANDIDATE, text or ""):
-        if any(re.search(p, m[0]) for p in secret_scan.ALLOW):
+        if any(re.search(p, m[0]) for p in secret_scan.ALLOW) or all(re.search(secret_scan.PLAIN, x) for x in re.split(secret_scan.SIGNS, m[0])):
             continue
         c = next(c for c in secret_scan.CLASSES if re.search(c.pattern, m[0]))
         high = [i for i, h in enumerate(entropies(m[0], secret_scan.WINDOW)) if h >= c.threshold]
@@ -204,8 +204,10 @@ def test_secrets_are_the_brute_force(docs):
 
 def test_window_entropy_by_counts(spark):
     s = "aB3" * 9 + "Zk3vQ9xT7bLm2RpW8sYc4NfH"
-    got = spark.createDataFrame([(s,)], "s string").select(secret_scan.entropy_windows(F.col("s"))).first()[0]
-    assert np.allclose(got, entropies(s, 20))
+    for least in (1.5, 3.0, 4.0, 4.2, 5.0):
+        got = spark.createDataFrame([(s,)], "s string").select(secret_scan.high_entropy(F.col("s"), F.lit(least))).first()[0]
+        high = [i + 1 for i, h in enumerate(entropies(s, 20)) if h >= least] or [0]
+        assert tuple(got) == (high[0], high[-1])
 
 
 def test_secrets_of_an_empty_table(empty):
