@@ -43,10 +43,22 @@ def encoding(ranks: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={}), lengths
 
 
+def encode(text: str, ranks: str = RANKS) -> np.ndarray:
+    """The tokens of a whole text; for runs of white space too long for the encoder's pattern matcher, piece by piece."""
+    encoder, _ = encoding(ranks)
+    try:
+        return encoder.encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        import public_tokenizers
+        import regex
+
+        pieces = regex.finditer(public_tokenizers.PATTERN, text)
+        return np.array([t for m in pieces for t in encoder._encode_single_piece(m.group().encode())], np.int64)
+
+
 def token_spans(text: bytes, ranks: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
     """The first character of every token and the character after its last."""
-    encoder, lengths = encoding(ranks)
-    ends = np.cumsum(lengths[encoder.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=())])
+    ends = np.cumsum(encoding(ranks)[1][encode(text.decode("utf-8", "replace"), ranks)])
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     if text.isascii():
         return starts, ends

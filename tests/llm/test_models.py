@@ -45,6 +45,9 @@ def test_forward_sums_all_segmentations():
     words = ["the", "thing", "réoueux", "日x", "", "Zq"]
     got = own.forward(words, weights)[:, 0]
     assert np.allclose(got, [all_segmentations(own, lattice.MARK + w, weights) for w in words])
+    rng = np.random.default_rng(4)
+    many = ["".join(rng.choice(list("thainge日éo"), rng.integers(0, 30))) for _ in range(300)]
+    assert np.allclose(own.forward(many, weights)[:, 0], [own._forward_one(lattice.MARK + w, weights)[0] for w in many])
     long = "ab" * 40
     assert np.allclose(own.forward([long], weights), own._forward_one(lattice.MARK + long, weights))
     assert np.allclose(own._forward_one(lattice.MARK + "thing", weights), got[1])
@@ -83,8 +86,9 @@ def test_lattice_lm_is_the_brute_force(docs, block):
     n, v = sum(counts.values()) + ends, len(counts) + 1
     own = lattice.pieces(lattice.VOCABULARY)
     pieces = np.zeros(own.size)
-    for (ids, times), c in zip(own.best(list(counts)), counts.values(), strict=True):
-        pieces[ids] += times * c
+    for ids, c in zip(own.encode(list(counts)), counts.values(), strict=True):
+        for i in ids:
+            pieces[own._of[i]] += c
     share = (ends + 0.5) / (pieces.sum() + ends + 1)
     weights = lattice.log_weights(pieces[:, None], lattice_lm.SMOOTHING) + math.log1p(-share)
     every = sorted({w for _, t in data for w in split(t)})
@@ -148,6 +152,18 @@ def test_section_tokens_are_the_brute_force(spark, rule):
     assert [got[i] for i in range(len(texts))] == [[round(x, 9) for x in brute_sections(t, rule)] for t in texts]
 
 
+def test_very_long_runs_are_encoded_alike():
+    encoder, _ = token_counts.encoding(token_counts.RANKS)
+    text = "a  b\n\n c" + " " * 3_000 + "dé ' x's 12 3\n" + "\n" * 500
+    import public_tokenizers
+    import regex
+
+    by_piece = [t for m in regex.finditer(public_tokenizers.PATTERN, text) for t in encoder._encode_single_piece(m.group().encode())]
+    assert by_piece == encoder.encode_ordinary(text)
+    starts, ends = token_counts.token_spans(b"x" + b" " * 1_500_000 + b"y")
+    assert ends[-1] == 1_500_002 and (starts[1:] == ends[:-1]).all()
+
+
 def test_field_tokens(spark):
     df = spark.createDataFrame([(1, "a title", None, "body text\n"), (2, "", "", "")], "doc_id long, a string, b string, c string")
     got = rows(token_counts.field_tokens(df, ["a", "b", "c"]).groupBy("doc_id").agg(F.sum("n_tokens"), F.count("*")))
