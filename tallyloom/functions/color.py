@@ -87,3 +87,29 @@ def hex_of(r: Column, g: Column, b: Column) -> Column:
 
 def add_clamped(a: Column, b: Column) -> Column:
     return F.least(F.lit(255), F.greatest(F.lit(0), a + b))
+
+
+def channel_mean_difference(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Mean absolute difference of the channels."""
+    return sum((F.abs(x - y) for x, y in zip(a[1:], b[1:], strict=True)), F.abs(a[0] - b[0])) / 3
+
+
+def channel_spread(p: tuple[Column, Column, Column]) -> Column:
+    """Sum of the differences between each two channels; 0 for greys."""
+    return F.abs(p[0] - p[1]) + F.abs(p[1] - p[2]) + F.abs(p[0] - p[2])
+
+
+# What a slot's letter means to a viewer; any other is unknown.
+LEGEND = {"S": "seen", "L": "seen", "O": "processing", "N": "named"}
+
+
+def legend(letter: Column) -> Column:
+    out = F.lit("unknown")
+    for k, v in LEGEND.items():
+        out = F.when(letter == k, v).otherwise(out)
+    return out
+
+
+def width_percent(length: Column) -> Column:
+    """A (negative) length as a share of the longest box, in percent."""
+    return length * 100.0 / -294

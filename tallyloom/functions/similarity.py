@@ -6,6 +6,8 @@ two letters that meet, so repeated letters collapse for nothing.  It is not an e
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +24,7 @@ LABELS = ((0, "PERFECT"), (2, "LIKELY"), (5, "UNLIKELY"), (9, "BAD"), (12, "UNKN
 BORDER = 2
 
 
+@functools.lru_cache(maxsize=65_536)
 def letter_cost(a: str, b: str, case_penalty: bool = True) -> int:
     """0 for equal letters, 1 (or 0) for other case, 1 where b is a neighbour of a, else 2."""
     if a == b:
@@ -49,18 +52,53 @@ def warped_distances(test: str, names: list[str], case_penalty: bool = True) ->
 
 
 def warped_distance(test: str, match: str, case_penalty: bool = True) -> int:
-    return int(warped_distances(test, [match], case_penalty)[0])
+    """The distance of one pair."""
+    row = list(range(0, BORDER * len(match) + 1, BORDER))
+    for x, a in enumerate(test, 1):
+        left, diagonal, after = x * BORDER, row[0], [x * BORDER]
+        for b, up in zip(match, row[1:], strict=True):
+            left = letter_cost(a, b, case_penalty) + min(left, diagonal, up)
+            after.append(left)
+            diagonal = up
+        row = after
+    return row[-1]
+
+
+def _codes(names: list[str], letters: dict[str, int]) -> np.ndarray:
+    width = max(map(len, names), default=0)
+    return np.array([[letters.setdefault(c, len(letters)) for c in n] + [0] * (width - len(n)) for n in names], np.int64).reshape(len(names), width)
+
+
+def warped_pairs(tests: list[str], matches: list[str], case_penalty: bool = True) -> np.ndarray:
+    """The distance of every pair, all pairs at once."""
+    letters: dict[str, int] = {}
+    a, b = _codes(tests, letters), _codes(matches, letters)
+    costs = np.array([[letter_cost(x, y, case_penalty) for y in letters] for x in letters] or [[0]], np.int64)
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (tests, matches))
+    every = np.arange(len(tests))
+    row = np.repeat(np.arange(b.shape[1] + 1)[:, None] * BORDER, len(tests), axis=1)
+    out = row[size_b, every]
+    for x in range(1, a.shape[1] + 1):
+        after = np.empty_like(row)
+        after[0] = x * BORDER
+        for y in range(1, b.shape[1] + 1):
+            after[y] = costs[a[:, x - 1], b[:, y - 1]] + np.minimum(np.minimum(row[y], row[y - 1]), after[y - 1])
+        row = after
+        done = size_a == x
+        out[done] = row[size_b[done], every[done]]
+    return out
 
 
 @F.pandas_udf(LongType())
 def pair_distance(test: pd.Series, match: pd.Series) -> pd.Series:
-    """The distance of each pair; null where either is null.  Names are taken together by test."""
+    """The distance of each pair; null where either is null."""
     out = pd.Series([None] * len(test), dtype="Int64")
-    known = test.notna() & match.notna()
-    for value, at in test[known].groupby(test[known]).groups.items():
-        own = match.loc[at]
-        names = own.unique().tolist()
-        out.loc[at] = own.map(dict(zip(names, warped_distances(value, names).tolist(), strict=True))).astype("Int64")
+    known = np.flatnonzero((test.notna() & match.notna()).to_numpy())
+    # Pairs of like length go together, so that little is computed for padding.
+    order = known[np.argsort((test.str.len() + match.str.len()).to_numpy()[known], kind="stable")]
+    for at in range(0, len(order), 4096):
+        own = order[at : at + 4096]
+        out.iloc[own] = warped_pairs(test.iloc[own].tolist(), match.iloc[own].tolist())
     return out
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import color, scalars, similarity
-from tallyloom.operators import align, readings, search, windows
+from tallyloom.operators import align, pages, readings, reconcile, search, tracking, windows
+from tallyloom.sources import frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -388,3 +389,73 @@ def scaled_boxes(spark, d):
 @query("""SELECT conv_id, turn, text AS name FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT conv_id, turn, trim(text, ' ') AS text FROM conversations WHERE length(text) >= 4)) WHERE r = 1""")
 def first_usable_line(spark, d):
     return readings.first_usable_line(table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("name")), "conv_id", "turn", "name")
+
+
+_LINES = """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations)"""
+
+
+@query(_LINES + " SELECT conv_id, turn, t AS frame, CAST(i AS INTEGER) AS frame_no FROM (SELECT *, max(i) OVER (PARTITION BY conv_id, turn) AS m FROM l) WHERE i < m")
+def byte_frame_split(spark, d):
+    own = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return frames.byte_frames(own, "id", "text", "\n").select("id.*", F.expr("substr(frame, 1, length(frame) - 1)").alias("frame"), "frame_no")
+
+
+def _pages(spark, d):
+    """Pages of eight events of a user, each page beginning four events after the one before."""
+    own = events(spark, d).withColumn("i", F.row_number().over(windows.by(["user_id"], "event_id")) - 1).where(F.col("i") < 40)
+    page = F.explode(F.filter(F.array(F.floor(F.col("i") / 4) - 1, F.floor(F.col("i") / 4)), lambda p: p >= 0))
+    return own.select(F.col("user_id").alias("run_id"), page.alias("page"), "i", F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("text")).withColumn("division", F.col("i") - F.col("page") * 4)
+
+
+@query()
+def page_offsets(spark, d):
+    return pages.page_offsets(_pages(spark, d).drop("i"))
+
+
+@query("""WITH e AS (SELECT user_id, floor(value / 10) AS key, event_type AS text, value AS confidence FROM events)
+SELECT user_id, CAST(key AS BIGINT) AS key, arg_max(text, {'c': confidence, 't': text}) AS name, max(confidence) AS confidence, count(*) AS seen, array_to_string(list_sort(list(DISTINCT text)), ',') AS aliases FROM e GROUP BY user_id, key""")
+def gathered_lines(spark, d):
+    own = events(spark, d).select("user_id", F.floor(F.col("value") / 10).alias("key"), F.col("event_type").alias("text"), F.col("value").alias("confidence"))
+    return pages.gathered(own, ["user_id", "key"]).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query()
+def reconcile_lists(spark, d):
+    own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.row_number().over(windows.by(["o_custkey"], "o_orderkey")).alias("i"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("name")).where(F.col("i") <= 12)
+    external = own.where(F.col("i") % 5 != 3).select("run_id", F.col("i").alias("line_no"), "name")
+    tracked = own.select("run_id", F.col("i").alias("entity"), F.when(F.col("i") % 7 != 0, F.col("name")).alias("name"), F.array("name").alias("aliases"))
+    return reconcile.reconcile(external, tracked)
+
+
+@query()
+def accuracy_report(spark, d):
+    return reconcile.report(reconcile_lists(spark, d))
+
+
+@query()
+def track_frames(spark, d):
+    """Screens of a user's events, moving on by one event a frame, through the tracker."""
+    own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(windows.by(["user_id"], "event_id")) - 1).alias("i"), (-F.floor("value") - 1).cast("int").alias("length"), "event_type").where(F.col("i") < 60)
+    frame = F.explode(F.sequence(F.greatest(F.col("i") - 19, F.lit(0)), F.col("i"))).alias("frame_id")
+    seen = own.select("*", frame).where(F.col("frame_id") < 40)
+    rows = seen.select("run_id", F.col("frame_id").cast("long"), (F.col("i") - F.col("frame_id")).alias("vidx"), F.lit(True).alias("appear"), "length", F.lit(True).alias("len_checked"), F.col("event_type").alias("color"))
+    return tracking.track(rows)
+
+
+@query("""SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'seen' WHEN 1 THEN 'seen' WHEN 2 THEN 'processing' WHEN 3 THEN 'named' ELSE 'unknown' END AS label, round((-1 - vec_id % 294) * 100.0 / -294, 4) AS width FROM embeddings""")
+def glyph_legend(spark, d):
+    letter = F.get(F.array(*(F.lit(c) for c in "SLON*")), (F.col("vec_id") % 5).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", color.legend(letter).alias("label"), r4(color.width_percent(-1 - F.col("vec_id") % 294)).alias("width"))
+
+
+@query(f"{_RGB} SELECT vec_id, round((abs(r - 100) + abs(g - 100) + abs(b - 100)) / 3.0, 4) AS difference, abs(r - g) + abs(g - b) + abs(r - b) AS spread FROM c")
+def channel_differences(spark, d):
+    own, p = _rgb(spark, d)
+    return own.select("vec_id", r4(color.channel_mean_difference(p, (F.lit(100),) * 3)).alias("difference"), color.channel_spread(p).alias("spread"))
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) // 1000 AS v FROM events)
+SELECT event_id, CASE WHEN v % 100000 < 1000 THEN (v % 100000) || 'ms' WHEN v % 100000 < 60000 THEN (v % 100000) // 1000 || 's' || CASE WHEN v % 1000 = 0 THEN '' ELSE ' ' || v % 1000 || 'ms' END
+ELSE '1m' || CASE WHEN v % 1000 = 0 THEN '' ELSE ' ' || v % 1000 || 'ms' END || CASE WHEN (v % 100000) // 1000 % 60 = 0 THEN '' ELSE ' ' || (v % 100000) // 1000 % 60 || 's' END END AS text FROM e""")
+def duration_texts(spark, d):
+    return events(spark, d).select("event_id", scalars.duration_text(F.col("ms") % 100_000).alias("text"))

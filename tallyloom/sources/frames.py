@@ -149,3 +149,9 @@ def byte_frames(docs: DataFrame, id_col: str, text_col: str, mark: str) -> DataF
     parts = F.split(F.col(text_col), mark, -1)
     whole = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(p, F.lit(mark)))
     return docs.select(id_col, F.posexplode(whole).alias("frame_no", "frame"))
+
+
+def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, channels, data) of image files, as the JVM decodes them: rows of blue, green, red (and alpha)."""
+    image = spark.read.format("image").load(path).select("image.*")
+    return image.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data")

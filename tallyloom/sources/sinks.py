@@ -25,3 +25,12 @@ def write_log(log: DataFrame, path: str) -> None:
 
 def write_entities(entities: DataFrame, path: str) -> None:
     entities.write.mode("overwrite").json(path)
+
+
+def write_frames(frames: DataFrame, path: str, checkpoint: str):
+    """Append each batch of a stream of (run_id, image_no, image) to a table by run; gives the running query."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").partitionBy("run_id").parquet(path)
+
+    return frames.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
