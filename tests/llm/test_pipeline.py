@@ -1,0 +1,50 @@
+"""The pipeline's stages against what each operator's brute force leaves, on a small table with planted cases."""
+
+import importlib
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import ODD, COLUMNS, PASSAGE, SF
+
+pipeline = importlib.import_module("corpus_pipeline")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("tables")
+    odd = spark.createDataFrame([r for r in ODD if r[0] is not None], COLUMNS)
+    odd.drop("key").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")).repartition(3).write.parquet(str(path / "documents.parquet"))
+    items = spark.createDataFrame([(1, "wort " * 12), (2, None)], "item_id long, text string")
+    items.union(spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")).write.parquet(str(path / "benchmark.parquet"))
+    yield str(path)
+    shutil.rmtree(path, ignore_errors=True)
+
+
+def test_stages_one_after_the_other(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if i < len(pipeline.STAGES) - 1:
+            assert out.columns == list(pipeline.COLUMNS)
+        out.write.mode("overwrite").parquet(f"{folder}/stage{i}")
+        docs = spark.read.parquet(f"{folder}/stage{i}")
+        kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+    language, lines, near, clean, mixed = kept.values()
+    everything = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
+    assert everything - language == {9001, 9002, 9003, 9004}
+    assert lines == language
+    cut = spark.read.parquet(f"{folder}/stage1").where("doc_id between 9010 and 9015")
+    assert {r.doc_id for r in cut.collect() if PASSAGE.upper() in r.text} == {9015}
+    assert cut.where(F.length("text") != F.col("n_chars")).count() == 0
+    assert near <= lines and {9030, 9031, 9032} & near == {9030}
+    assert 9022 in near and 9022 not in clean
+    assert clean == mixed
+    assert {r.copies for r in docs.select("copies").distinct().collect()} <= {0, 1, 2}
+
+
+def test_run_takes_all_stages(spark, folder):
+    first, again = (sorted(tuple(r) for r in pipeline.run(spark, folder).select("doc_id", "copies", "taken").collect()) for _ in range(2))
+    assert first == again and first
