@@ -145,7 +145,7 @@ def _counts(docs: DataFrame, windows: Windows) -> dict[int, int]:
     return {int(np.int64(r.code).view(np.uint64)): r.n for r in rows}
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, block_words: int = 200_000) -> DataFrame:
     """*docs* with n_words, n_hit (words inside an occurring window) and items (ids of the items hit, as strings, sorted).
 
     Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z in

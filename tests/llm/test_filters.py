@@ -79,7 +79,7 @@ def brute_contamination(data, items, size=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 100])
+@pytest.mark.parametrize("block", [200_000, 100])
 def test_contamination_is_the_brute_force(spark, docs, block):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
     more = spark.createDataFrame([(7001, "quick brown FOX"), (7002, None), (7003, "!!"), (7001, "lazy dog"), (None, "old stone bridge"), (7004, "own 3 line The quick brown fox jumps over the lazy dog near"), (7005, "wort " * 12)], "item_id long, text string")
