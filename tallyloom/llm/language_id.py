@@ -27,7 +27,7 @@ from tallyloom.llm.lattice import VOCABULARY, log_weights, pieces
 #: ASCII letters in lower case and the bytes of all other characters stay; the rest parts words.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words that a task remembers the scores of.
-KNOWN = 200_000
+KNOWN = 300_000
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 
@@ -85,21 +85,17 @@ def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY) -> tuple
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         totals: dict[str, np.ndarray] = {}
-        known: dict[bytes, tuple] = {}
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column(1).to_pylist(), texts(batch.column(0)), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
             for lang, counter in words.items():
-                total = totals.setdefault(lang, np.zeros(own.size, np.int64))
-                new = [w for w in counter if w not in known]
                 if len(known) > KNOWN:
                     known.clear()
-                    new = list(counter)
-                known.update(zip(new, own.best([plain(w) for w in new]), strict=True))
-                for w, n in counter.items():
-                    ids, times = known[w]
-                    total[ids] += times * n
+                new = [w for w in counter if w not in known]
+                known.update(zip(new, own.encode([plain(w) for w in new]), strict=True))
+                totals[lang] = totals.get(lang, 0) + own.counts((known[w] for w in counter), list(counter.values()))
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "piece", "n"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -16,8 +17,50 @@ import sentencepiece
 MARK = "▁"
 #: A public vocabulary; its path is a parameter of every operator that uses it.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of so many characters are run by themselves, others together by length.
-LONG = 48
+#: Words of so many characters are run by themselves, others together.
+LONG = 128
+#: Words that are run together.
+TOGETHER = 16_384
+
+
+class Trie:
+    """The pieces' characters as a tree; its branches are in a table of open addresses, so that many steps are looked up at once."""
+
+    def __init__(self, names: list[str]) -> None:
+        branches: dict[tuple[int, int], int] = {}
+        ends = {}
+        for number, name in enumerate(names):
+            node = 0
+            for c in name:
+                node = branches.setdefault((node, ord(c)), len(branches) + 1)
+            ends[node] = number
+        self.piece = np.full(len(branches) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+        self.bits = max(4, (len(branches) * 3).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.nodes = np.zeros(1 << self.bits, np.int64)
+        keys = np.array([n << 21 | c for n, c in branches], np.int64)
+        for key, slot, node in zip(keys.tolist(), self._slot(keys).tolist(), branches.values(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & (1 << self.bits) - 1
+            self.keys[slot], self.nodes[slot] = key, node
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The node after each character, -1 where there is none."""
+        keys = nodes << 21 | characters
+        slot = self._slot(keys)
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.nodes[slot[left[hit]]]
+            left = left[~hit & (held >= 0)]
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+        return out
 
 
 class Pieces:
@@ -34,10 +77,18 @@ class Pieces:
         self.longest = max(map(len, self.names))
         self._of = np.full(n, self.unknown, np.int64)
         self._of[plain] = np.arange(len(plain))
+        self.trie = Trie(self.names)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """The vocabulary's own segmentation of each word, for counts()."""
+        return self.encoder.encode(words, num_threads=1) if words else []
 
-    def best(self, words: list[str]) -> list[np.ndarray]:
-        """The piece numbers of the vocabulary's own segmentation of each word."""
-        return [np.unique(self._of[x], return_counts=True) if x else (np.zeros(0, np.int64),) * 2 for x in self.encoder.encode(words, num_threads=1)]
+    def counts(self, encoded: Iterable[list[int]], times: list[int]) -> np.ndarray:
+        """How often each piece occurs in encoded words that occur so many times."""
+        encoded = list(encoded)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(chain.from_iterable(encoded), np.int64, sizes.sum())
+        return np.bincount(self._of[flat], weights=np.repeat(np.array(times, np.int64), sizes), minlength=self.size).astype(np.int64)
 
     def edges(self, marked: str, end: int) -> Iterable[tuple[int, int]]:
         """(start, piece) of the edges that end at *end*."""
@@ -55,27 +106,50 @@ class Pieces:
         *weights*: log probabilities, a row for each piece and a column for each model.
         """
         out = np.empty((len(words), weights.shape[1]))
-        padded = np.vstack([weights, np.full((1, weights.shape[1]), -np.inf)])
-        by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            if len(word) < LONG:
-                by_length.setdefault(len(word) + 1, []).append(i)
-            else:
-                out[i] = self._forward_one(MARK + word, weights)
-        get, none, unknown = self.number.get, self.size, self.unknown
-        for n, at in by_length.items():
-            marked = [MARK + words[i] for i in at]
-            alpha = np.full((n + 1, len(at), weights.shape[1]), -np.inf)
-            alpha[0] = 0
-            for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    ids = np.fromiter([get(w[start:end], unknown if start == end - 1 else none) for w in marked], np.int64, len(at))
-                    some = np.flatnonzero(ids != none)
-                    if len(some):
-                        alpha[end, some] = np.logaddexp(alpha[end, some], alpha[start, some] + padded[ids[some]])
-            out[at] = alpha[n]
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = self._forward_one(MARK + w, weights)
+        for at in range(0, len(short), TOGETHER):
+            own = short[at : at + TOGETHER]
+            out[own] = self._forward_many([MARK + words[i] for i in own], weights)
         return out
 
+    def _forward_many(self, marked: list[str], weights: np.ndarray) -> np.ndarray:
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(marked)), sizes)
+        stop = first[word] + sizes[word]
+        # All edges: every place of every word walks down the tree together.
+        at, node, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+        for k in range(1, self.longest + 1):
+            inside = at + k <= stop[at]
+            at, node = at[inside], node[inside]
+            node = self.trie.step(node, codes[at + k - 1])
+            piece = np.where(node >= 0, self.trie.piece[node], -1)
+            if k == 1:
+                found.append((at, np.full(len(at), 1), np.where(piece >= 0, piece, self.unknown)))
+            else:
+                hit = piece >= 0
+                found.append((at[hit], np.full(int(hit.sum()), k), piece[hit]))
+            at, node = at[node >= 0], node[node >= 0]
+            if not len(at):
+                break
+        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        # A word has a place before each character and one at its end; edges go by where they end, then by length.
+        end = start - first[word[start]] + length
+        order = np.argsort(end * (self.longest + 1) + length, kind="stable")
+        source, length, piece = (start + word[start])[order], length[order], piece[order]
+        key = (end * (self.longest + 1))[order] + length
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+        alpha = np.full((len(codes) + len(marked), weights.shape[1]), -np.inf)
+        alpha[first + np.arange(len(marked))] = 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            target = source[a:b] + length[a]
+            alpha[target] = np.logaddexp(alpha[target], alpha[source[a:b]] + weights[piece[a:b]])
+        return alpha[first + np.arange(len(marked)) + sizes]
+
     def _forward_one(self, marked: str, weights: np.ndarray) -> np.ndarray:
         """As forward, for one word, keeping only as many positions as a piece is long."""
         alpha = {0: np.zeros(weights.shape[1])}
