@@ -105,6 +105,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+#: The windows' rules on lengths alone; texts are put together only for the digests.
+_OP2 = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role0, coalesce(text, '') AS text0 FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+base AS (
+  SELECT *, replace(replace(role0, '\', '\\'), '<|', '<\|') AS role, replace(replace(text0, '\', '\\'), '<|', '<\|') AS text FROM raw),
+seen AS (
+  SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens, length(role) + length(text) + 23 AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM base),
+sys AS (
+  SELECT *, pos = 1 AND role = 'system' AS is_system,
+         max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id) AS sys_tokens,
+         max(CASE WHEN pos = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS sys_chars FROM seen),
+half AS (SELECT *, greatest(768 - coalesce(sys_tokens, 0), 2) // 2 AS half, CASE WHEN is_system THEN 0 ELSE tokens END AS body FROM sys),
+sums AS (
+  SELECT *, body > half AS large, sum(body) OVER w - body AS start,
+         sum(CASE WHEN body <= half THEN body ELSE 0 END) OVER w AS small_end, sum(CASE WHEN body > half THEN 1 ELSE 0 END) OVER w AS larges
+  FROM half WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+runs AS (
+  SELECT *, CASE WHEN NOT is_system THEN (larges * 2 - large::INT) || ':' || CASE WHEN large THEN 0 ELSE (small_end - 1) // half END END AS run FROM sums),
+opened AS (
+  SELECT *, CASE WHEN NOT is_system AND lag(run) OVER w IS DISTINCT FROM run THEN 1 ELSE 0 END AS opens FROM runs WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+placed AS (
+  SELECT *, greatest(sum(opens) OVER w, 1) AS win,
+         CASE WHEN NOT is_system AND lead(opens, 1) OVER w = 1 AND lead(start, 1) OVER w - start <= 256 THEN 1 ELSE 0 END
+         + CASE WHEN NOT is_system AND lead(opens, 2) OVER w = 1 AND lead(start, 2) OVER w - start <= 256 THEN 1 ELSE 0 END AS repeats
+  FROM opened WINDOW w AS (PARTITION BY conv_id ORDER BY pos))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role0 || chr(10) || text0 || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text0)) FILTER (role0 = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text0, '' ORDER BY pos) FILTER (role0 = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars * (1 + repeats)) + coalesce(sum(sys_chars) FILTER (opens = 1 AND win > 1), 0) AS BIGINT) AS formatted_chars,
+       CAST(max(win) AS BIGINT) AS n_windows
+FROM placed GROUP BY conv_id
+"""
+
 _OP6 = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -139,4 +175,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": _OP5, "op6_decontamination": _OP6, "op8_vector_search": _OP8}
+    return {"op2_chat_formatting": _OP2, "op5_line_dedup": _OP5, "op6_decontamination": _OP6, "op8_vector_search": _OP8}

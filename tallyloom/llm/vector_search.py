@@ -85,7 +85,7 @@ def search(query: np.ndarray, own_id: int, q_pivot: np.ndarray, ids: np.ndarray,
     return best_id, best
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = 32, block: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = 32, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with *is_query* the k best others by integer inner product.
 
     Components become floor(scale * x).  All rows but those with the query's own id are
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows, none gives none.  Vectors that are null or hold a null or non-finite component
     take no part, nor do null ids as queries.  Of vectors of different lengths the shorter counts as filled up
     with zeros.  Repeated rows are candidates each; a query id's repeated rows are one
-    query, by the least of its vectors.  Pivots: the *pivots* vectors of the lowest hash among the first *block* ids.
+    query, by the least of its vectors.  Pivots: the *pivots* vectors of the lowest hash of their id.
     Other columns are not read.
     """
     spark = vectors.sparkSession

@@ -274,7 +274,7 @@ def brute_top(data, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [8192, 3])
 def test_vector_search_is_the_brute_force(spark, block):
     odd = [(5000, None), (5050, [1.0, None]), (5100, [float("nan"), 1.0]), (5150, [float("inf")]), (5200, []), (5250, [0.5, 2.0]), (None, [1.0] * 64), (5300, [9.0] * 64), (5301, [9.0] * 64), (5302, [9.0] * 64), (5303, [9.0] * 64), (5303, [9.0] * 64)]
     data = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").union(spark.createDataFrame(odd, "vec_id long, embedding array<float>"))
