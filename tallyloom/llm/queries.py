@@ -90,6 +90,36 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+_OP4_KINDS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, regexp_extract_all(t, $p${p}$p$) AS f, regexp_split_to_array(t, $p${p}$p$) AS g FROM d"
+    for k, p in ((0, secret_scan.ASSIGN), (1, r"AKIA[A-Z0-9]+"), (2, r"[0-9a-f]+"), (9, secret_scan.CANDIDATE))
+)
+_OP4_ALLOWED = " OR ".join(f"regexp_matches(found, $p${p}$p$)" for p in secret_scan.ALLOW)
+_OP4_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(found, $p${c.pattern}$p$) THEN {{{i}}}" for i, c in enumerate(secret_scan.CLASSES)) + " END"
+#: Matches and the gaps between them give the places; every window's entropy is counted anew.
+_OP4 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_OP4_KINDS}),
+x AS (
+  SELECT doc_id, k, unnest(f) AS found, unnest([list_sum([length(y) FOR y IN g[1:i]]) + coalesce(list_sum([length(y) FOR y IN f[1:i - 1]]), 0) FOR i IN range(1, len(f) + 1)]) AS s
+  FROM m),
+base AS (
+  SELECT doc_id, k, CAST(s AS BIGINT) AS s, CAST(s + length(found) AS BIGINT) AS e FROM x
+  WHERE k = 0 AND length(regexp_extract(found, $p$^{secret_scan.ASSIGN}$$p$, 2)) >= 12 OR k = 1 AND length(found) >= 18 OR k = 2 AND length(found) >= 16),
+c AS (
+  SELECT doc_id, found, s, {_OP4_CLASS.format(*(3 + i for i in range(3)))} AS k, {_OP4_CLASS.format(*(c.threshold for c in secret_scan.CLASSES))} AS least
+  FROM x WHERE k = 9 AND NOT ({_OP4_ALLOWED}) AND len([p FOR p IN regexp_split_to_array(found, $p${secret_scan.SIGNS}$p$) IF NOT regexp_matches(p, $p${secret_scan.PLAIN}$p$)]) > 0),
+w AS (SELECT *, unnest(range(1, length(found) - {secret_scan.WINDOW} + 2)) AS i FROM c),
+h AS (SELECT *, string_split(substr(found, i, {secret_scan.WINDOW}), '') AS z FROM w),
+n AS (SELECT *, list_sum([-log2(len([y FOR y IN z IF y = a]) / {secret_scan.WINDOW}.0) * len([y FOR y IN z IF y = a]) / {secret_scan.WINDOW}.0 FOR a IN list_distinct(z)]) AS bits FROM h),
+added AS (
+  SELECT doc_id, k, CAST(s + min(i) - 1 AS BIGINT) AS s, CAST(s + max(i) - 1 + {secret_scan.WINDOW} AS BIGINT) AS e FROM n WHERE bits >= least GROUP BY doc_id, k, s, found),
+every AS (SELECT *, {list(secret_scan.KINDS)!r}[k + 1] || ':' || s || ':' || e AS span FROM (SELECT * FROM base UNION ALL SELECT * FROM added))
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN every ON d.doc_id = every.doc_id GROUP BY d.doc_id
+"""
+
 #: Lines by (doc_id, number) with their keys; chr(32) and chr(9) to chr(13) are stripped.
 _OP5 = r"""
 WITH l AS (
@@ -175,4 +205,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _OP2, "op5_line_dedup": _OP5, "op6_decontamination": _OP6, "op8_vector_search": _OP8}
+    return {"op2_chat_formatting": _OP2, "op4_secret_scan": _OP4, "op5_line_dedup": _OP5, "op6_decontamination": _OP6, "op8_vector_search": _OP8}
