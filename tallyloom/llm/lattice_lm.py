@@ -33,7 +33,7 @@ from tallyloom.llm.lattice import VOCABULARY, log_weights, pieces
 
 SMOOTHING = 0.1
 #: Mean bytes of text in a block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 12_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -47,9 +47,8 @@ def _pieces_of(words: DataFrame, model: str) -> np.ndarray:
         own = pieces(model)
         total = np.zeros(own.size, np.int64)
         for batch in batches:
-            found = own.best([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
-            for (ids, times), n in zip(found, batch.column(1).to_pylist(), strict=True):
-                total[ids] += times * n
+            encoded = own.encode([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
+            total += own.counts(encoded, batch.column(1).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
