@@ -80,20 +80,22 @@ def log_likelihood(docs: DataFrame, learn_from: Column, model: str = VOCABULARY,
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come in any order; a partition's blocks are kept apart until they are full.
-        held: dict[int, list[Counter]] = {}
+        held: dict[int, tuple[set, Counter]] = {}
 
-        def out(block: int, both: list[Counter]) -> pa.RecordBatch:
-            words = list(both[0].keys() | both[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([block] * len(words), pa.int32()), pa.array([both[1][w] for w in words], pa.int64())], ["word", "block", "c"])
+        def out(block: int, seen: set, counts: Counter) -> Iterator[pa.RecordBatch]:
+            seen.difference_update(counts)
+            for words, n in ((list(counts), list(counts.values())), (list(seen), [0] * len(seen))):
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([block] * len(words), pa.int32()), pa.array(n, pa.int64())], ["word", "block", "c"])
 
         for batch in batches:
             for block, learned, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                both = held.setdefault(block, [Counter(), Counter()])
-                both[learned].update(words_of(text))
-                if len(both[0]) + len(both[1]) > 500_000:
-                    yield out(block, held.pop(block))
-        for block, both in held.items():
-            yield out(block, both)
+                seen, counts = held.setdefault(block, (set(), Counter()))
+                (counts if learned else seen).update(words_of(text))
+                if len(seen) + len(counts) > 500_000:
+                    yield from out(block, *held.pop(block))
+        while held:
+            block, both = held.popitem()
+            yield from out(block, *both)
 
     per_block = settle(dealt.select("block", "learned", "text").mapInArrow(vocabulary, "word binary, block int, c long"))
     words = settle(per_block.groupBy("word").agg(F.sum("c").alias("c")))
@@ -124,7 +126,7 @@ def log_likelihood(docs: DataFrame, learn_from: Column, model: str = VOCABULARY,
         c, log_p = table.column("c").to_numpy(), table.column("log_p").to_numpy()
         logs = np.log10(c + 0.5) - base
         found: list[list] = [[], [], [], []]
-        for text in texts(rows.column("text").combine_chunks()):
+        for text in (t for part in rows.column("text").chunks for t in texts(part)):
             ids = [at[w] for w in words_of(text)]
             found[0].append(len(ids) + 1)
             found[1].append(int((c[ids] > 0).sum() if ids else 0) + (ends > 0))
