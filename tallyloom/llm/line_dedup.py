@@ -128,7 +128,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_
         return pa.table({"doc_id": ids, "key": pa.array([hashlib.sha256(keys[i]).digest() for i in at], pa.binary())})
 
     found = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each_batch(suspects), "doc_id long, key binary"))
-    confirmed = found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep")
+    # Written, so that no aggregate stands between the join and its exchanges: Spark then splits a hot key's partition.
+    confirmed = settle(found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep"))
     lost = found.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
