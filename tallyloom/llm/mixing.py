@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tallyloom.llm.common import settle, unsettle
 
 #: Documents of one source and size that are ranked in one group.
-CELL = 2048
+CELL = 256
 #: Newton iterations at most; with the bracket each at least halves it, so this reaches double precision.
 ITERATIONS = 60
 #: Of a source's target, what its solved rates may miss it by.
