@@ -45,6 +45,15 @@ def has_letter(text: bytes | None) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of *docs* whose text has a letter."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([has_letter(t) for t in texts(batch.column("text").cast(pa.string()))], pa.bool_()))
+
+    return docs.mapInArrow(each_batch(run), docs.schema)
+
+
 def plain(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower()
 

@@ -48,3 +48,11 @@ def test_stages_one_after_the_other(spark, folder):
 def test_run_takes_all_stages(spark, folder):
     first, again = (sorted(tuple(r) for r in pipeline.run(spark, folder).select("doc_id", "copies", "taken").collect()) for _ in range(2))
     assert first == again and first
+
+
+def test_language_id_without_any_label_rejects_by_the_letter_test(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    named = {r.doc_id for r in pipeline.known_language(spark, docs, folder).collect()}
+    bare = pipeline.known_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), folder)
+    assert bare.columns == list(pipeline.COLUMNS)
+    assert {r.doc_id for r in bare.collect()} == named and 9005 in named
