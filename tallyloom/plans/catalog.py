@@ -435,10 +435,9 @@ def accuracy_report(spark, d):
 @query()
 def track_frames(spark, d):
     """Screens of a user's events, moving on by one event a frame, through the tracker."""
-    own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(windows.by(["user_id"], "event_id")) - 1).alias("i"), (-F.floor("value") - 1).cast("int").alias("length"), "event_type").where(F.col("i") < 60)
+    own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(windows.by(["user_id"], "event_id")) - 1).alias("i"), (-F.floor("value") - 1).cast("int").alias("length"), "event_type")
     frame = F.explode(F.sequence(F.greatest(F.col("i") - 19, F.lit(0)), F.col("i"))).alias("frame_id")
-    seen = own.select("*", frame).where(F.col("frame_id") < 40)
-    rows = seen.select("run_id", F.col("frame_id").cast("long"), (F.col("i") - F.col("frame_id")).alias("vidx"), F.lit(True).alias("appear"), "length", F.lit(True).alias("len_checked"), F.col("event_type").alias("color"))
+    rows = own.select("*", frame).select("run_id", F.col("frame_id").cast("long"), (F.col("i") - F.col("frame_id")).alias("vidx"), F.lit(True).alias("appear"), "length", F.lit(True).alias("len_checked"), F.col("event_type").alias("color"))
     return tracking.track(rows)
 
 
