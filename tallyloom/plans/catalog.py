@@ -402,7 +402,7 @@ def byte_frame_split(spark, d):
 
 def _pages(spark, d):
     """Pages of eight events of a user, each page beginning four events after the one before."""
-    own = events(spark, d).withColumn("i", F.row_number().over(windows.by(["user_id"], "event_id")) - 1).where(F.col("i") < 40)
+    own = events(spark, d).withColumn("i", F.row_number().over(windows.by(["user_id"], "event_id")) - 1)
     page = F.explode(F.filter(F.array(F.floor(F.col("i") / 4) - 1, F.floor(F.col("i") / 4)), lambda p: p >= 0))
     return own.select(F.col("user_id").alias("run_id"), page.alias("page"), "i", F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("text")).withColumn("division", F.col("i") - F.col("page") * 4)
 

@@ -21,3 +21,8 @@ def test_every_frame_is_tracked(spark, folder):
     log = catalog.track_frames(spark, folder).orderBy("frame_id").collect()
     assert [r.frame_id for r in log] == list(range(100))
     assert [r.visible for r in log] == [min(20, 100 - f) for f in range(100)]
+
+
+def test_every_page_has_its_offset(spark, folder):
+    got = catalog.page_offsets(spark, folder).orderBy("page").collect()
+    assert [(r.page, r.offset, r.votes) for r in got] == [(p, 4, 4) for p in range(1, 25)]
