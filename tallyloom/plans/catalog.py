@@ -421,7 +421,7 @@ def gathered_lines(spark, d):
 
 @query()
 def reconcile_lists(spark, d):
-    own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.row_number().over(windows.by(["o_custkey"], "o_orderkey")).alias("i"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("name")).where(F.col("i") <= 12)
+    own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.row_number().over(windows.by(["o_custkey"], "o_orderkey")).alias("i"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("name"))
     external = own.where(F.col("i") % 5 != 3).select("run_id", F.col("i").alias("line_no"), "name")
     tracked = own.select("run_id", F.col("i").alias("entity"), F.when(F.col("i") % 7 != 0, F.col("name")).alias("name"), F.array("name").alias("aliases"))
     return reconcile.reconcile(external, tracked)

@@ -26,3 +26,11 @@ def test_every_frame_is_tracked(spark, folder):
 def test_every_page_has_its_offset(spark, folder):
     got = catalog.page_offsets(spark, folder).orderBy("page").collect()
     assert [(r.page, r.offset, r.votes) for r in got] == [(p, 4, 4) for p in range(1, 25)]
+
+
+def test_all_orders_are_reconciled(spark, folder):
+    found = catalog.reconcile_lists(spark, folder)
+    # 48 of the 60 orders are in the external list, one of every seven entities has no name.
+    assert found.where("kind = 'match'").agg(F.max("ext_index")).first()[0] == 47
+    report = catalog.accuracy_report(spark, folder).first()
+    assert report.matches > 30 and report.unread == found.where("kind = 'unread'").count() >= 5
