@@ -19,47 +19,55 @@ MATCH_AT_MOST = 12
 SCHEMA = "run_id string, kind string, ext_index long, int_index long, name string, dist long, index_diff long"
 
 
-def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]], most_states: int = 200_000) -> tuple[list[tuple], bool]:
+def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]], most_states: int | None = None) -> tuple[list[tuple], bool]:
     """(kind, ext_index, int_index, name, dist, index_diff) rows and whether the frontier was cut off.
 
     *tracked*: (name, aliases).  Kinds: "match"; "skipped" for an external name beside an entity without a name;
     "unread" for such an entity; "missing" for an external name without an entity.  A match commits the
     path that leads to it and clears all others.  What follows the last match is not reported.
+
+    States are taken first in, first out, so the first path to a place in both lists reaches whatever follows before any later one
+    does, and the later ones are dropped: there are at most as many states as pairs of places.  *most_states*: where to cut off, if at all.
     """
     out: list[tuple] = []
-    queue: deque = deque([(0, 0, ())])
+    # A path is (the path before, its last row) or None.
+    queue: deque = deque([(0, 0, None)])
     seen: set = set()
     while queue:
         e, i, path = queue.popleft()
         if e >= len(external) or i >= len(tracked):
             break
-        if (e, i, path) in seen:
+        if (e, i) in seen:
             continue
-        seen.add((e, i, path))
-        if len(seen) > most_states:
+        seen.add((e, i))
+        if most_states is not None and len(seen) > most_states:
             return out, True
         name, aliases = tracked[i]
         if name is None:
-            unread = ("unread", None, i, None, None, None)
+            unread = (path, ("unread", None, i, None, None, None))
             # An external index of 0 isn't noted as skipped.
-            both = (unread, ("skipped", e, i, external[e], 100, e - i)) if e else (unread,)
-            queue.append((e + 1, i + 1, path + both))
-            queue.append((e, i + 1, (*path, unread)))
+            both = (unread, ("skipped", e, i, external[e], 100, e - i)) if e else unread
+            queue.append((e + 1, i + 1, both))
+            queue.append((e, i + 1, unread))
             continue
         scores = [warped_distance(external[e], a) for a in aliases if a is not None]
         if scores and min(scores) <= MATCH_AT_MOST:
-            out += path
+            rows = []
+            while path:
+                path, row = path
+                rows.append(row)
+            out += reversed(rows)
             out.append(("match", e, i, external[e], min(scores), abs(e - i)))
             queue.clear()
             seen.clear()
-            queue.append((e + 1, i + 1, ()))
+            queue.append((e + 1, i + 1, None))
         else:
-            queue.append((e + 1, i, (*path, ("missing", e, None, external[e], None, None))))
+            queue.append((e + 1, i, (path, ("missing", e, None, external[e], None, None))))
             queue.append((e, i + 1, path))
     return out, False
 
 
-def reconcile(external: DataFrame, tracked: DataFrame, most_states: int = 200_000) -> DataFrame:
+def reconcile(external: DataFrame, tracked: DataFrame, most_states: int | None = None) -> DataFrame:
     """Rows of walk by run.  *external*: (run_id, line_no, name), *tracked*: (run_id, entity, name, aliases)."""
 
     def run(key: tuple, ext: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

@@ -1,8 +1,10 @@
 """Queries of the catalogue take all rows of their tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import reconcile
 from tallyloom.plans import catalog
 
 
@@ -34,3 +36,46 @@ def test_all_orders_are_reconciled(spark, folder):
     assert found.where("kind = 'match'").agg(F.max("ext_index")).first()[0] == 47
     report = catalog.accuracy_report(spark, folder).first()
     assert report.matches > 30 and report.unread == found.where("kind = 'unread'").count() >= 5
+
+
+def by_all_paths(external, tracked):
+    """The walk with every path to a state kept."""
+    out, queue, seen = [], [(0, 0, ())], set()
+    while queue:
+        e, i, path = queue.pop(0)
+        if e >= len(external) or i >= len(tracked):
+            break
+        if (e, i, path) in seen:
+            continue
+        seen.add((e, i, path))
+        name, aliases = tracked[i]
+        if name is None:
+            unread = ("unread", None, i, None, None, None)
+            both = (unread, ("skipped", e, i, external[e], 100, e - i)) if e else (unread,)
+            queue += [(e + 1, i + 1, path + both), (e, i + 1, (*path, unread))]
+            continue
+        scores = [reconcile.warped_distance(external[e], a) for a in aliases]
+        if scores and min(scores) <= reconcile.MATCH_AT_MOST:
+            out += [*path, ("match", e, i, external[e], min(scores), abs(e - i))]
+            queue, seen = [(e + 1, i + 1, ())], set()
+        else:
+            queue += [(e + 1, i, (*path, ("missing", e, None, external[e], None, None))), (e, i + 1, path)]
+    return out
+
+
+def test_the_first_path_is_the_one_that_counts():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        names = [c * 16 for c in rng.choice(list("abcdefgh"), 9)]
+        own = [(None, []) if rng.random() < 0.4 else (n, [n]) for n in (c * 16 for c in rng.choice(list("abcdefgh"), 8))]
+        assert reconcile.walk(names, own) == (by_all_paths(names, own), False)
+
+
+def test_long_stretches_are_walked_to_their_end(monkeypatch):
+    monkeypatch.setattr(reconcile, "warped_distance", lambda a, b: 0 if a == b else 100)
+    names = [*(f"external {i}" for i in range(460)), "both", *(f"later {i}" for i in range(500))]
+    own = [(n, [n]) for n in (*(f"own {i}" for i in range(460)), "both", *(f"after {i}" for i in range(500)))]
+    rows, cut = reconcile.walk(names, own)
+    assert not cut and rows[-1][:3] == ("match", 460, 460) and sum(r[0] == "missing" for r in rows) == 460
+    rows, cut = reconcile.walk([*map(str, range(25)), "both"], [(None, [])] * 25 + [("both", ["both"])])
+    assert not cut and rows[-1][:3] == ("match", 25, 25)
