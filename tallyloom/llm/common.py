@@ -24,21 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests on one machine, a folder of our own is taken.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and everything
+    runs on this machine, as in tests, a folder of our own is taken.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints/tallyloom"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or "file:///tmp/checkpoints/tallyloom"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write *df* once as Parquet in the shared folder and read it back.
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing is written to yet."""
+    return f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write *df* once as Parquet in the shared folder and read it back; with a *path*, after what is there.
 
     This cuts the lineage: a lost executor costs no recomputation of what came
     before, and a table that is used twice is made once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or new_path(spark)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +78,14 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """*name*, with underscores before it until none of *columns* has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: str = "doc_id", parts: int = 5):
     """crc32 of the id as text, modulo *parts*; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

@@ -1,20 +1,24 @@
 """Exact top-k inner-product search by pivot-table elimination.
 
-For integer vectors q.c = (|q|^2 + |c|^2 - d(q, c)^2) / 2.  Distances of every
-vector to fixed pivots are computed once; by the triangle inequality d(q, c) is at least the
+For integer vectors q.c = (|q|^2 + |c|^2 - d(q, c)^2) / 2.  By the triangle inequality d(q, c) is at least the
 largest |d(q, p) - d(c, p)| over the pivots p, which bounds the score from above.
-Candidates are evaluated in the order of their bounds, and a query stops as soon as
-the next bound is below its k-th score so far; equal bounds are still evaluated, so
-ties are exact.
+
+A task takes its candidates in chunks and looks up their distances to all pivots.  The candidates of a
+chunk that have one nearest pivot are a cell; the least and largest distance to every pivot bound all of a cell's scores at once.
+Each query takes the cells in the order of these bounds and stops as soon as the next
+one is below its k-th score so far; equal bounds are still evaluated, so ties are exact.  The scores
+of all queries that take a cell are one matrix product.
 
 Queries are a stated set of rows and are sent to the executors in blocks of a fixed
-size; each block meets each candidate once, and each task hands on at most k rows
-a query.  The pivots are the only thing fitted, on a bounded, stated sample.
+size, a job for each; each block meets each candidate once, and each task hands on at most k rows
+a query.  The pivots are the only thing fitted, on a bounded, stated sample; being candidates themselves, their k-th best score is
+where every task's search of a query begins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.llm.common import new_path, settle
+
 #: Candidates of a task that are searched at once.
-ROWS = 8192
+ROWS = 4096
+#: Queries that are held against a cell at once.
+QUERIES = 1024
 #: Room for the rounding of distances in double precision.
 SLACK = 1e-6
+#: The score of no candidate.
+NONE = np.iinfo(np.int64).min + 1
 
 
 def valid(vector: Column) -> Column:
@@ -34,55 +44,129 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every valid vector."""
+def quantised(df: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(vec_id, asked, v): floor(scale * x) of every valid vector, and whether it is a query."""
     own = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), own.alias("v")).where(valid(F.col("v"))).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asked"), own.alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & valid(F.col("v"))).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("long")))
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     """The vectors as rows, shorter ones filled with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
     out = np.zeros((len(column), dims), np.int64)
-    out[np.arange(dims)[None, :] < lengths[:, None]] = flat
+    out[np.arange(dims)[None, :] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All products of the rows of two matrices, exact for doubles that hold whole numbers whose sums stay below 2^53."""
+    return a @ b.T
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * dot(a, b), 0).astype(np.float64))
 
 
-def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where no sum can pass 2^53, else in integers."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 2**53 else a @ b.T
-
-
-def search(query: np.ndarray, own_id: int, q_pivot: np.ndarray, ids: np.ndarray, rows: np.ndarray, table: np.ndarray, norms: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of one query's best k among *rows* and the *best* so far."""
-    bound = np.zeros(len(rows))
-    for p in range(table.shape[1]):
-        np.maximum(bound, np.abs(table[:, p] - q_pivot[p]), out=bound)
-    upper = (float((query * query).sum()) + norms - np.maximum(bound - SLACK, 0) ** 2) / 2
-    upper[ids == own_id] = -np.inf
-    best_id, best = best
-    left = np.arange(len(rows)) if len(best) < k else np.flatnonzero(upper >= best[-1] - SLACK)
-    while len(left):
-        take = np.argpartition(-upper[left], step)[:step] if len(left) > step else np.arange(len(left))
-        at = left[take]
-        at = at[ids[at] != own_id]
-        scores = dot(query[None, :], rows[at])[0]
-        all_id, all_score = np.concatenate((best_id, ids[at])), np.concatenate((best, scores))
-        order = np.lexsort((all_id, -all_score))[:k]
-        best_id, best = all_id[order], all_score[order]
-        keep = np.ones(len(left), bool)
-        keep[take] = False
-        left = left[keep]
-        if len(best) == k:
-            left = left[upper[left] >= best[-1] - SLACK]
-        step *= 2
-    return best_id, best
+@dataclass
+class Queries:
+    """A block of queries in order of their ids, and the pivots; *exact*: whether doubles hold all sums."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    pivots: np.ndarray
+    pivot_ids: np.ndarray
+    exact: bool
+    k: int
+
+    def __post_init__(self) -> None:
+        kind = np.float64 if self.exact else np.int64
+        self.vectors, self.pivots = self.vectors.astype(kind), self.pivots.astype(kind)
+        self.norms = (self.vectors * self.vectors).sum(1)
+        self.near = distances(self.vectors, self.pivots)
+        # The k-th best pivot, without the query itself, is no better than the k-th best candidate.
+        scores = dot(self.vectors, self.pivots).astype(np.int64)
+        scores[self.ids[:, None] == self.pivot_ids[None, :]] = NONE
+        self.floor = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] >= self.k else np.full(len(self.ids), NONE)
+
+
+class Best:
+    """The best k (score, id) of every query so far, best first."""
+
+    def __init__(self, queries: Queries) -> None:
+        self.queries, self.k = queries, queries.k
+        self.score = np.full((len(queries.ids), self.k), NONE)
+        self.id = np.full((len(queries.ids), self.k), np.iinfo(np.int64).max)
+
+    def least(self, q: np.ndarray) -> np.ndarray:
+        """What a score must reach to count."""
+        return np.maximum(self.score[q, -1], self.queries.floor[q])
+
+    def take(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in a row of scores for each of the queries *q*, by the candidates *ids*."""
+        least = np.maximum(self.least(q), NONE + 1)
+        hit = scores >= least[:, None]
+        n = np.count_nonzero(hit)
+        if not n:
+            return
+        if n > 4 * self.k * len(q) and scores.shape[1] > self.k:
+            hit &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+        row, column = np.nonzero(hit)
+        met, at = np.unique(row, return_inverse=True)
+        own = q[met]
+        owner = np.concatenate((at, np.repeat(np.arange(len(met)), self.k)))
+        all_score, all_id = np.concatenate((scores[row, column], self.score[own].ravel())), np.concatenate((ids[column], self.id[own].ravel()))
+        order = np.lexsort((all_id, -all_score, owner))
+        first = np.searchsorted(owner[order], np.arange(len(met)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.score[own], self.id[own] = all_score[best], all_id[best]
+
+
+def cells_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the rows by their nearest pivot, and where each cell begins in that order."""
+    cell = near.argmin(axis=1)
+    order = np.argsort(cell, kind="stable")
+    return order, np.flatnonzero(np.diff(cell[order], prepend=-1))
+
+
+def search(queries: Queries, best: Best, ids: np.ndarray, rows: np.ndarray) -> int:
+    """Hold a chunk of candidates against all queries; gives how many products were taken."""
+    rows = rows.astype(queries.vectors.dtype)
+    near = distances(rows, queries.pivots)
+    order, starts = cells_of(near)
+    rows, near, ids = rows[order], near[order], ids[order]
+    stops = np.append(starts[1:], len(rows))
+    low, high = np.minimum.reduceat(near, starts), np.maximum.reduceat(near, starts)
+    largest = np.maximum.reduceat((rows * rows).sum(1).astype(np.float64), starts)
+    asker = np.minimum(np.searchsorted(queries.ids, ids), len(queries.ids) - 1)
+    own = queries.ids[asker] == ids  # rows that are a query themselves
+    products, place = 0, np.full(len(queries.ids), -1)
+    for at in range(0, len(queries.ids), QUERIES):
+        some = np.arange(at, min(at + QUERIES, len(queries.ids)))
+        apart = np.zeros((len(some), len(starts)))
+        for p in range(near.shape[1]):
+            mine = queries.near[some, p, None]
+            np.maximum(apart, np.maximum(low[None, :, p] - mine, mine - high[None, :, p]), out=apart)
+        # Without exact doubles nothing is eliminated.
+        upper = (queries.norms[some, None] + largest[None, :] - np.maximum(apart - SLACK, 0) ** 2) / 2 + SLACK if queries.exact else np.full(apart.shape, np.inf)
+        turn = np.argsort(-upper, axis=1, kind="stable")
+        alive = np.arange(len(some))
+        for step in range(len(starts)):
+            cell = turn[alive, step]
+            go = upper[alive, cell] >= best.least(some[alive])
+            alive, cell = alive[go], cell[go]
+            for c in np.unique(cell).tolist():
+                q = some[alive[cell == c]]
+                part = slice(starts[c], stops[c])
+                scores = dot(queries.vectors[q], rows[part]).astype(np.int64)
+                products += scores.size
+                place[q] = np.arange(len(q))
+                column = np.flatnonzero(own[part])
+                line = place[asker[part][column]]
+                scores[line[line >= 0], column[line >= 0]] = NONE
+                place[q] = -1
+                best.take(q, scores, ids[part])
+    return products
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = 32, block: int = 8192) -> DataFrame:
@@ -91,47 +175,47 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Components become floor(scale * x).  All rows but those with the query's own id are
     candidates; ties go to the smaller id; fewer than k candidates give fewer
     rows, none gives none.  Vectors that are null or hold a null or non-finite component
-    take no part, nor do null ids as queries.  Of vectors of different lengths the shorter counts as filled up
-    with zeros.  Repeated rows are candidates each; a query id's repeated rows are one
+    take no part, nor do rows without an id.  Of vectors of different lengths the shorter counts as filled up
+    with zeros; an empty one scores 0.  Repeated rows are candidates each; a query id's repeated rows are one
     query, by the least of its vectors.  Pivots: the *pivots* vectors of the lowest hash of their id.
-    Other columns are not read.
+    A table without rows, without queries or without a valid vector gives no rows.  Sums are longs.  Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = quantised(vectors, id_col, vector_col, scale)
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    asked = quantised(vectors.where(is_query & F.col(id_col).isNotNull()), id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("v").limit(pivots)
-    pivot = np.array([r[0] + [0] * (dims - len(r[0])) for r in sample.collect()], np.int64).reshape(-1, dims)
-    made, part = None, []
-    for row in asked.orderBy("vec_id").toLocalIterator():
+    rows = settle(quantised(vectors, is_query, id_col, vector_col, scale))
+    size = rows.agg(F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
+    dims, most = size.dims or 0, size.most or 0
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("vec_id", "v").limit(pivots).collect()
+    fixed = _filled([r.v for r in sample], dims), np.array([r.vec_id for r in sample], np.int64)
+    asked = rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
+    path, part = new_path(spark), []
+    found = settle(spark.createDataFrame([], "query_id long, vec_id long, score long"), path)
+    for row in asked.toLocalIterator():
+        part.append(row)
         if len(part) == block:
-            made, part = _searched(rows, part, pivot, dims, k, made), []
-        part.append((row.vec_id, row.v + [0] * (dims - len(row.v))))
-    made = _searched(rows, part, pivot, dims, k, made)
+            found, part = settle(_searched(rows, part, fixed, dims, most, k), path), []
+    if part:
+        found = settle(_searched(rows, part, fixed, dims, most, k), path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
+def _filled(vectors: list[list[int]], dims: int) -> np.ndarray:
+    return np.array([v + [0] * (dims - len(v)) for v in vectors], np.int64).reshape(len(vectors), dims)
 
-def _searched(rows: DataFrame, block: list[tuple[int, list[int]]], pivot: np.ndarray, dims: int, k: int, before: DataFrame | None) -> DataFrame:
-    """Each task's best k for the queries of a block, after those of the blocks before."""
-    names = np.array([x[0] for x in block], np.int64)
-    asked = np.array([x[1] for x in block], np.int64).reshape(-1, dims)
-    sent = rows.sparkSession.sparkContext.broadcast((names, asked, distances(asked, pivot), pivot))
+
+def _searched(rows: DataFrame, block: list, fixed: tuple[np.ndarray, np.ndarray], dims: int, most: float, k: int) -> DataFrame:
+    """Each task's best k for the queries of a block."""
+    queries = Queries(np.array([r.vec_id for r in block], np.int64), _filled([r.v for r in block], dims), *fixed, 4 * most * most * max(1, dims) < 2**53, k)
+    sent = rows.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked, near, pivot = sent.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        queries = sent.value
+        best = Best(queries)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
-                ids, own = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1), dims)
-                table, norms = distances(own, pivot), (own * own).sum(1).astype(np.float64)
-                for q in range(len(names)):
-                    best[q] = search(asked[q], names[q], near[q], ids, own, table, norms, k, best.get(q, none))
-        if best:
-            q = np.concatenate([np.full(len(x[0]), names[i]) for i, x in best.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([x[0] for x in best.values()])), pa.array(np.concatenate([x[1] for x in best.values()]))], ["query_id", "vec_id", "score"])
-
-    found = rows.where(F.col("vec_id").isNotNull()).mapInArrow(run, "query_id long, vec_id long, score long")
-    return found if before is None else before.union(found)
+                search(queries, best, part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1), dims))
+        q, i = np.nonzero(best.score > NONE)
+        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(best.id[q, i]), pa.array(best.score[q, i])], ["query_id", "vec_id", "score"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
