@@ -1,19 +1,19 @@
 """Line dedup with a once-seen and a twice-seen Bloom filter.
 
-Pass 1 hashes each document's line keys.  Tasks hand on 8 bytes a key, dealt by
-hash to shards.  A shard inserts them into two Bloom filters: a key whose bits are
+Pass 1 hashes each document's line keys.  A task knows of itself which keys two of its documents hold: those
+are suspected repeats at once.  Of every other key it hands on one row, a digest and the document, dealt by digest to shards.
+
+A shard inserts its rows into two Bloom filters: a key whose bits are
 all set in the once-seen filter is put into the twice-seen filter, any other into the
-once-seen filter.  No key that occurs in two documents can be missing from the second.
+once-seen filter.  No key that comes to the shard twice can be missing from the second.  Then the shard's rows are
+probed: what is not in the twice-seen filter is unique and goes no further.
 
-Pass 2 probes the twice-seen filters; only suspected repeats shuffle, as
-(SHA-256 of the key, doc_id).  Their exact count of documents and the document that
-keeps the line are found from these, so a false positive of a filter costs a shuffled
-row and never changes the result.
+Only suspected repeats shuffle on, as (digest, document), for the exact count of documents and the choice of the one that
+keeps the line, so a false positive of a filter costs a shuffled row and never changes the result.
 
-Scale.  A filter has eight to sixteen bits a key up to ``max_filter_mb`` for all shards; past
-that it grows no further, and more lines are suspected.  A line that is in a third of all documents
-is pre-aggregated by (key, doc_id) before its key meets in one task, and the join
-that hands the decision back is a sort-merge join whose hot partitions Spark splits.
+Scale.  The number of shards follows the number of keys, so a shard's rows and filters have one size whatever the input, and
+nothing is broadcast or collected.  A line that is in a third of all documents is a row a task in its shard; its suspects are
+counted by (key, document) first, and the join that hands the decision back is a sort-merge join whose hot partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -23,14 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SPACE, each_batch, settle, texts
+from tallyloom.llm.common import SPACE, each_batch, free_name, settle, texts
+
+#: Rows of a shard, by which their number is chosen.
+SHARD_ROWS = 1_000_000
+#: Keys that a task remembers before it hands them on.
+HELD = 300_000
+#: Bits of a filter for each key, at least.
+BITS = 16
+#: Bytes of a key's digest, the first of its SHA-256.
+DIGEST = 16
 
-#: Documents to a shard of the filters, so that a shard's hashes fit a task at any size.
-SHARD_DOCS = 50_000
+SEEN = "digest binary, doc_id long, text_hash long, repeated boolean"
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -41,100 +48,128 @@ def key_of(line: bytes, least: int) -> bytes | None:
     return key
 
 
-def _keys(text: bytes | None, least: int) -> set[bytes]:
+def digest_of(key: bytes) -> bytes:
+    return hashlib.sha256(key).digest()[:DIGEST]
+
+
+def _digests(text: bytes | None, least: int) -> set[bytes]:
     if not text or len(text) < least:
         return set()
-    return {k for line in text.split(b"\n") if len(line) >= least and (k := key_of(line, least)) is not None}
+    keys = {key_of(line, least) for line in text.split(b"\n") if len(line) >= least}
+    return {digest_of(k) for k in keys if k is not None}
 
 
-def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return (hashes & mask).astype(np.int64), ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def document() -> list[Column]:
+    """doc_id and text_hash, which together name a document: of rows without an id those of one text are one document."""
+    id_ = F.col("doc_id").cast("long")
+    return [id_.alias("doc_id"), F.when(id_.isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long")).alias("text_hash")]
 
 
-def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+class Filter:
+    """A Bloom filter of two places a key, over whole arrays of hashes."""
 
+    def __init__(self, keys: int, bits_a_key: int) -> None:
+        self.bits = max(10, (keys * bits_a_key).bit_length())
+        self.bitmap = np.zeros(1 << self.bits >> 3, np.uint8)
 
-def _put(bitmap: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64), mixed.astype(np.int64)
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for at in self._places(hashes):
+            out &= (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return out
 
-def twice_filter(parts: list[np.ndarray], max_bits: int) -> tuple[int, np.ndarray]:
-    """Insert the hash arrays one after the other; give the twice-seen filter as (log2 of its bits, bytes)."""
+    def put(self, hashes: np.ndarray) -> None:
+        for at in self._places(hashes):
+            np.bitwise_or.at(self.bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def suspected(parts: list[np.ndarray], bits_a_key: int = BITS) -> list[np.ndarray]:
+    """Which hashes of each array, in their order, may occur twice; every one that does is among them."""
     total = sum(map(len, parts))
-    bits = min(max_bits, max(10, int(total * 8).bit_length()))
-    once, twice = np.zeros(1 << bits >> 3, np.uint8), []
+    once, twice = Filter(total, bits_a_key), []
     for hashes in parts:
         fresh, n = np.unique(hashes, return_counts=True)
-        p, q = _positions(fresh, bits)
-        twice.append(fresh[(n > 1) | (_has(once, p) & _has(once, q))])
-        _put(once, p)
-        _put(once, q)
+        twice.append(fresh[(n > 1) | once.has(fresh)])
+        once.put(fresh)
     found = np.unique(np.concatenate(twice)) if twice else np.zeros(0, np.uint64)
-    bits = min(max_bits, max(10, int(len(found) * 8).bit_length()))
-    bitmap = np.zeros(1 << bits >> 3, np.uint8)
-    for at in _positions(found, bits):
-        _put(bitmap, at)
-    return bits, bitmap
+    second = Filter(len(found), bits_a_key)
+    second.put(found)
+    return [second.has(hashes) for hashes in parts]
+
+
+def seen_keys(docs: DataFrame, least: int) -> DataFrame:
+    """(digest, doc_id, text_hash, repeated): a task's keys with their documents; repeated where two of its documents hold one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, tuple] = {}  # the document of a key that one document holds
+        again: set[bytes] = set()
+        rows: list[tuple] = []
 
-def _twice_seen(docs: DataFrame, least: int, max_filter_mb: int) -> tuple[int, dict[int, tuple[int, np.ndarray]]]:
-    """log2 of the number of shards, and their twice-seen filters; together at most *max_filter_mb*."""
-    shard_bits = min(18, max(5, (docs.count() // SHARD_DOCS).bit_length()))
-    max_bits = max(10, (max_filter_mb * 8_000_000 >> shard_bits).bit_length() - 1)
-    top = np.uint64(64 - shard_bits)
+        def out() -> Iterator[pa.RecordBatch]:
+            every = [(d, *doc, True) for d, doc in rows]
+            # A repeated key is told to its shard too: another task may hold it once.
+            every += [(d, None, None, True) for d in again]
+            every += [(d, *doc, False) for d, doc in first.items()]
+            cols = list(zip(*every, strict=True)) or [[], [], [], []]
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["digest", "doc_id", "text_hash", "repeated"])
+            rows.clear()
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([xxhash.xxh3_64_intdigest(k) for t in texts(batch.column(0)) for k in _keys(t, least)], np.uint64)
-            own = own[np.argsort(own >> top, kind="stable")]
-            cuts = np.searchsorted(own >> top, np.arange((1 << shard_bits) + 1, dtype=np.uint64))
-            rows = [(s, own[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "hashes"])
-
-    def merged(key: tuple, batches: Iterator[pa.Table] | pa.Table) -> pa.Table:
-        bits, bitmap = twice_filter([np.frombuffer(b, np.uint64) for b in batches.column("hashes").to_pylist()], max_bits)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.int32()), "bitmap": pa.array([bitmap.tobytes()], pa.binary())})
-
-    filters = docs.select("text").mapInArrow(hashed, "shard int, hashes binary").groupBy("shard").applyInArrow(merged, "shard int, bits int, bitmap binary")
-    return shard_bits, {r.shard: (r.bits, np.frombuffer(bytes(r.bitmap), np.uint8)) for r in filters.toLocalIterator()}
-
-
-def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_filter_mb: int = 64) -> DataFrame:
-    """(doc_id, keys): for each document the SHA-256 digests of the line keys that it loses."""
-    docs = docs.select("doc_id", "text")
-    shard_bits, filters = _twice_seen(docs, min_chars, max_filter_mb)
-    shards = docs.sparkSession.sparkContext.broadcast(filters)
-    top = np.uint64(64 - shard_bits)
-
-    def suspects(batch: pa.RecordBatch) -> pa.Table:
-        rows, keys = [], []
-        for i, text in enumerate(texts(batch.column(1))):
-            for k in _keys(text, min_chars):
-                rows.append(i)
-                keys.append(k)
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-        hit = np.zeros(len(keys), bool)
-        owner = (hashes >> top).astype(np.int64)
-        for shard in np.unique(owner):
-            if shard in shards.value:
-                bits, bitmap = shards.value[shard]
-                at = np.flatnonzero(owner == shard)
-                p, q = _positions(hashes[at], bits)
-                hit[at] = _has(bitmap, p) & _has(bitmap, q)
-        at = np.flatnonzero(hit)
-        ids = batch.column(0).cast(pa.int64()).take(pa.array([rows[i] for i in at], pa.int64()))
-        return pa.table({"doc_id": ids, "key": pa.array([hashlib.sha256(keys[i]).digest() for i in at], pa.binary())})
-
-    found = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each_batch(suspects), "doc_id long, key binary"))
+            for *doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
+                doc = tuple(doc)
+                for d in _digests(text, least):
+                    if d in again:
+                        rows.append((d, doc))
+                    elif (before := first.setdefault(d, doc)) != doc:
+                        del first[d]
+                        again.add(d)
+                        rows += [(d, before), (d, doc)]
+                if len(first) + len(again) + len(rows) > HELD:
+                    yield from out()
+                    first.clear()
+                    again.clear()
+        yield from out()
+
+    return docs.select(*document(), F.col("text").cast("string")).mapInArrow(run, SEEN)
+
+
+def suspects(seen: DataFrame, bits_a_key: int = BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(digest, doc_id, text_hash): the rows of :func:`seen_keys` whose key may be held by two documents."""
+    told = F.col("repeated") & F.col("text_hash").isNotNull()
+    dealt = seen.where(~told)
+    shards = max(1, -(-dealt.count() // shard_rows))
+    schema = seen.drop("repeated").schema
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one shard's rows
+        hashes = [np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)[::2] for b in held]
+        # What a task has seen twice counts twice.
+        twice = [b.column(3).to_numpy(zero_copy_only=False) for b in held]
+        marks = suspected([np.concatenate((h, h[t])) for h, t in zip(hashes, twice, strict=True)], bits_a_key)
+        for batch, mark in zip(held, marks, strict=True):
+            mine = mark[: len(batch)] & ~batch.column(3).to_numpy(zero_copy_only=False)
+            yield batch.select(["digest", "doc_id", "text_hash"]).filter(pa.array(mine))
+
+    found = dealt.repartition(shards, "digest").mapInArrow(probe, schema)
+    return seen.where(told).drop("repeated").union(found)
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_a_key: int = BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, text_hash, keys): for each document, as :func:`document` names it, the digests of the line keys that it loses."""
+    seen = settle(seen_keys(docs, min_chars))
     # Written, so that no aggregate stands between the join and its exchanges: Spark then splits a hot key's partition.
-    confirmed = settle(found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep"))
-    lost = found.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    found = settle(suspects(seen, bits_a_key, shard_rows))
+    confirmed = settle(found.groupBy("digest").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("digest", "keep"))
+    lost = found.join(confirmed, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("digest").alias("keys"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_filter_mb: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_a_key: int = BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """*docs* with its ``text`` cut to the lines that stay, and n_lines, n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower
@@ -147,19 +182,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_fil
     *docs* named n_lines or n_dropped are replaced; all others pass through.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    lost = repeated_lines(docs, min_chars, min_docs, max_filter_mb).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
-    joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    id_, hash_, keys_ = (free_name(docs.columns, c) for c in ("lost_id", "lost_hash", "lost_keys"))
+    lost = repeated_lines(docs, min_chars, min_docs, bits_a_key, shard_rows).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("keys").alias(keys_))
+    own = document()
+    joined = docs.join(lost, own[0].eqNullSafe(F.col(id_)) & (own[1] == F.col(hash_)), "left").drop(id_, hash_)
     out = docs.withColumns({"text": F.col("text").cast("string"), "n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     names = out.names
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         new, n, dropped = [], [], []
-        for text, keys in zip(texts(batch.column("text")), batch.column("__keys").to_pylist(), strict=True):
+        for text, keys in zip(texts(batch.column("text")), batch.column(keys_).to_pylist(), strict=True):
             lines = (text or b"").split(b"\n")
             stay = lines
             if keys:
                 gone = set(keys)
-                stay = [x for x in lines if len(x) < min_chars or (k := key_of(x, min_chars)) is None or hashlib.sha256(k).digest() not in gone]
+                stay = [x for x in lines if len(x) < min_chars or (k := key_of(x, min_chars)) is None or digest_of(k) not in gone]
             new.append(b"\n".join(stay) if keys else text or b"")
             n.append(len(lines))
             dropped.append(len(lines) - len(stay))
