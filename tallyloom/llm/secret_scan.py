@@ -12,6 +12,7 @@ Nothing is shuffled: a document is one row throughout.
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,14 +34,16 @@ SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """A class of candidates: its kind, the pattern that a whole candidate matches, and bits of entropy that a window must have."""
+    """A class of candidates: its kind, the pattern that a whole candidate matches, bits of entropy that a window must have, and its characters."""
 
     kind: str
     pattern: str
     threshold: float
+    alphabet: str
 
 
-CLASSES = (CharacterClass("hexent", r"^[0-9A-Fa-f]+$", 3.2), CharacterClass("alnument", r"^[A-Za-z0-9]+$", 3.7), CharacterClass("b64ent", r".", 3.8))
+_HEX, _ALNUM = string.digits + "abcdefABCDEF", string.digits + string.ascii_letters
+CLASSES = (CharacterClass("hexent", r"^[0-9A-Fa-f]+$", 3.2, _HEX), CharacterClass("alnument", r"^[A-Za-z0-9]+$", 3.7, _ALNUM), CharacterClass("b64ent", r".", 3.8, _ALNUM + "+/=_-"))
 #: Candidates that match are no secrets: no mix of letters and digits, UUIDs, placeholders, runs of the alphabet.
 ALLOW = (
     r"^[^0-9]*$",
@@ -52,20 +55,48 @@ ALLOW = (
 SIGNS, PLAIN = r"[/_=+-]", r"^([A-Za-z]{0,15}|[0-9]{1,8})$"
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) of the leftmost matches that don't overlap, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,found:string>>").alias("out"))
+#: Matches that are put in place together.
+TOGETHER = 128
+
+
+def _placed(pairs: Column, begin: Column) -> Column:
+    """(at, out): (start, end, found) of each of *pairs* (gap, found), the first gap beginning at *begin*, and where the last ends."""
+    start = F.struct(begin.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,found:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["found"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
+    return F.aggregate(pairs, start, step)
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spans_of(text: Column, pattern: str) -> Column:
+    """Array of (start, end, found) of the leftmost matches that don't overlap, in code points.
+
+    Places are running sums of the lengths of gaps and matches.  An array that grows by one is copied each time, so the matches are
+    summed in groups, and the groups' beginnings are summed apart: a text of very many matches costs no square of their number.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
     named = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["found"].alias("found")))
-    return F.aggregate(named, start, step, lambda acc: acc["out"])
+
+    def grouped(all_: Column) -> Column:
+        firsts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(TOGETHER))).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda i: _placed(F.slice(all_, i, F.lit(TOGETHER)), F.lit(0).cast("long")))
+
+    return F.flatten(_bound(_bound(named, grouped), _moved))
+
+
+def _moved(groups: Column) -> Column:
+    """The spans of each group, moved on by what all groups before it are long."""
+    begins = F.aggregate(groups, F.array(F.lit(0).cast("long")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g["at"])))
+    return F.zip_with(groups, F.slice(begins, F.lit(1), F.size(groups)), lambda g, by: F.transform(g["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["found"].alias("found"))))
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -76,13 +107,18 @@ def _c_log_c(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def high_entropy(found: Column, least: Column, window: int = WINDOW) -> Column:
-    """(first, last): the first and last window of *window* ASCII characters, from 1, whose entropy in bits is *least* or more; 0 for none."""
-    codes = F.transform(F.split(found, ""), lambda c: F.ascii(c))
+def high_entropy(found: Column, least: Column, cells: Column, window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES) -> Column:
+    """(first, last): the first and last window of *window* characters, from 1, whose entropy in bits is *least* or more; 0 for none.
+
+    The counts have *cells* places, which the characters of a class take in the order of :func:`_places`; one that no class has takes the last.
+    """
+    place = _places(classes)
+    every = F.array(*(F.lit(place.get(chr(c), -1)) for c in range(128)))
+    codes = F.transform(F.split(found, ""), lambda c: F.pmod(F.coalesce(F.get(every, F.ascii(c)), F.lit(-1)), cells))
     old = F.concat(F.array_repeat(F.lit(-1), window), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - window, F.lit(0))))
     # A place's character comes in as the one a window before it goes out.
     moves = F.zip_with(codes, F.slice(old, F.lit(1), F.size(codes)), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    start = F.struct(F.array_repeat(F.lit(0), cells).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def step(acc: Column, m: Column) -> Column:
         new, old = m["new"], m["old"]
@@ -98,6 +134,17 @@ def high_entropy(found: Column, least: Column, window: int = WINDOW) -> Column:
     return F.aggregate(moves, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _places(classes: tuple[CharacterClass, ...]) -> dict[str, int]:
+    """A place for every character of the classes, those of the first class first."""
+    return {c: i for i, c in enumerate(dict.fromkeys("".join(c.alphabet for c in classes)))}
+
+
+def _cells(c: CharacterClass, classes: tuple[CharacterClass, ...]) -> int:
+    """How many places the counts of a class need."""
+    place = _places(classes)
+    return 1 + max(place[x] for x in c.alphabet)
+
+
 def _entropy_spans(text: Column, window: int, classes: tuple[CharacterClass, ...], allow: tuple[str, ...]) -> Column:
     def allowed(found: Column) -> Column:
         out = F.forall(F.split(found, SIGNS), lambda p: p.rlike(PLAIN))
@@ -106,11 +153,13 @@ def _entropy_spans(text: Column, window: int, classes: tuple[CharacterClass, ...
         return out
 
     def classed(s: Column) -> Column:
-        kind, least = F.lit(KINDS.index(classes[-1].kind)), F.lit(classes[-1].threshold)
+        def of(c: CharacterClass) -> Column:
+            return F.struct(F.lit(KINDS.index(c.kind)).alias("kind"), F.lit(c.threshold).alias("least"), F.lit(_cells(c, classes)).alias("cells"))
+
+        own = of(classes[-1])
         for c in reversed(classes[:-1]):
-            here = s["found"].rlike(c.pattern)
-            kind, least = F.when(here, F.lit(KINDS.index(c.kind))).otherwise(kind), F.when(here, F.lit(c.threshold)).otherwise(least)
-        return F.struct(s["start"].alias("start"), kind.alias("kind"), high_entropy(s["found"], least, window).alias("high"))
+            own = F.when(s["found"].rlike(c.pattern), of(c)).otherwise(own)
+        return _bound(own, lambda c: F.struct(s["start"].alias("start"), c["kind"].alias("kind"), high_entropy(s["found"], c["least"], c["cells"], window, classes).alias("high")))
 
     # Each step binds its result, so that no fold is evaluated twice.
     kept = F.filter(spans_of(text, CANDIDATE), lambda s: ~allowed(s["found"]))

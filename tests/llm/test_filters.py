@@ -34,27 +34,43 @@ def brute_lines(data, least=40, docs=5):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("mb", [64, 0])
-def test_line_dedup_is_the_brute_force(docs, mb):
+@pytest.mark.parametrize(("bits", "shard"), [(16, 2_000_000), (1, 700), (16, 50)])
+def test_line_dedup_is_the_brute_force(docs, bits, shard):
     data = [(r.doc_id, r.text) for r in docs.collect()]
-    got = line_dedup.dedup_lines(docs, max_filter_mb=mb)
-    assert "key" in got.columns
+    clash = {c: F.lit("x") for c in ("n_lines", "n_dropped", "lost_id", "lost_hash", "lost_keys", "digest", "text_hash", "keys", "keep", "repeated")}
+    got = line_dedup.dedup_lines(docs.withColumns(clash), bits_a_key=bits, shard_rows=shard)
+    assert got.columns == [*docs.columns, *(c for c in clash if c not in ("n_lines", "n_dropped", *docs.columns)), "n_lines", "n_dropped"]
     assert rows(got.select("doc_id", "text", "n_lines", "n_dropped")) == brute_lines(data)
     assert got.agg(F.sum("n_dropped")).first()[0] > 10
 
 
+def test_line_dedup_of_rows_without_an_id(spark):
+    line = "a line that is long enough to be a key of its own"
+    data = [(i, line) for i in range(5)] + [(None, f"{line}\nand {i}") for i in range(40)] + [(None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+    assert rows(got.select("doc_id", "text", "n_lines", "n_dropped")) == brute_lines(data)
+
+
 def test_line_dedup_of_an_empty_table(empty):
     assert rows(line_dedup.dedup_lines(empty)) == []
 
 
-def test_twice_filter_misses_no_repeat():
+def test_filters_miss_no_repeat():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    bits, bitmap = line_dedup.twice_filter([a, np.concatenate((b, a[:700])), b[:5].repeat(2)], 30)
-    for x in (a[:700], b[:5]):
-        assert all(line_dedup._has(bitmap, p).all() for p in line_dedup._positions(x, bits))
-    p, q = line_dedup._positions(a[1000:], bits)
-    assert (line_dedup._has(bitmap, p) & line_dedup._has(bitmap, q)).mean() < 0.2
+    first, second, third = line_dedup.suspected([a, np.concatenate((b, a[:700])), b[:5].repeat(2)])
+    assert first[:700].all() and second[5000:].all() and second[:5].all() and third.all()
+    assert first[700:].mean() < 0.05 and second[5:5000].mean() < 0.05
+
+
+@pytest.mark.parametrize("docs", [500, 5000])
+def test_few_unique_lines_are_suspected_at_any_number_of_keys(spark, docs):
+    """Ten unique lines a document: with ten times the keys there are ten times the shards, and no more of the keys are suspected."""
+    line = F.concat(F.lit("a line of its own, long enough to be a key: "), F.col("id").cast("string"), F.lit("/"), F.col("k").cast("string"))
+    unique = spark.range(docs).select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).groupBy("id").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    seen = line_dedup.seen_keys(unique.select(F.col("id").alias("doc_id"), "text"), 40)
+    assert seen.count() == docs * 10
+    assert line_dedup.suspects(seen, shard_rows=500).count() < docs * 10 * 0.05
 
 
 def brute_contamination(data, items, size=10):
@@ -205,11 +221,26 @@ def test_secrets_are_the_brute_force(docs):
 def test_window_entropy_by_counts(spark):
     s = "aB3" * 9 + "Zk3vQ9xT7bLm2RpW8sYc4NfH"
     for least in (1.5, 3.0, 4.0, 4.2, 5.0):
-        got = spark.createDataFrame([(s,)], "s string").select(secret_scan.high_entropy(F.col("s"), F.lit(least))).first()[0]
+        got = spark.createDataFrame([(s,)], "s string").select(secret_scan.high_entropy(F.col("s"), F.lit(least), F.lit(62))).first()[0]
         high = [i + 1 for i, h in enumerate(entropies(s, 20)) if h >= least] or [0]
         assert tuple(got) == (high[0], high[-1])
 
 
+def test_secrets_in_a_text_of_very_many_matches(spark):
+    """Places over several groups of matches, beside characters of two and four bytes."""
+    text = " é😀 ".join(hashlib.sha256(str(i).encode()).hexdigest()[: 12 + i % 20] for i in range(3000))
+    data = [(1, text), (2, "deadbeefdeadbeef " * secret_scan.TOGETHER), (3, "deadbeefdeadbeef")]
+    for r in secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        assert [tuple(s) for s in r.base] == brute_base(r.text)
+        assert [tuple(s) for s in r.added] == brute_added(r.text)
+
+
+def test_secrets_replace_columns_of_their_names(docs):
+    clash = docs.withColumns({c: F.lit("x") for c in ("base", "added", "spans", "found", "start")})
+    got = secret_scan.scan(clash)
+    assert sorted(got.columns) == sorted(clash.columns) and rows(got.select("doc_id", "base", "added")) == rows(secret_scan.scan(docs).select("doc_id", "base", "added"))
+
+
 def test_secrets_of_an_empty_table(empty):
     assert rows(secret_scan.scan(empty)) == []
 
