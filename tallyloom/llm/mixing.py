@@ -9,7 +9,8 @@ Documents enter the iterations as counts of (source, size), made in one pass, wh
 needs; a source of a third of all rows is no more than its distinct sizes there.  Rates become
 copies by systematic rounding along the sizes of a source, so each source misses its target by about one document,
 and which documents of one size get the further copy goes by a hash of the id, within cells of bounded size.
-Reruns agree: no random numbers and no order of rows are used.
+Sums along an order (of sizes, of sources) are taken in two levels, by range and within it, so no task holds a whole source or all sources.
+Reruns agree: no random numbers and no order of rows are used, and what is rounded is summed in whole numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import settle, unsettle
+from tallyloom.llm.common import free_name, settle, unsettle
 
 #: Documents of one source and size that are ranked in one group.
 CELL = 256
@@ -35,6 +36,27 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """*df* with the sums of *sums* over all rows up to and including each, by *order*, for every value of *keys*.
+
+    Rows are dealt by range of (keys, order) and written with the number of their range.  A range's totals are one row for each value of the keys
+    in it, and the sums of what lies before a range are taken over these.  *order* must tell any two rows of one value of the keys apart.
+    """
+    keys = keys or []
+    own = df.repartitionByRange(*(F.col(k).asc_nulls_last() for k in keys), *order)
+    own = settle(own.withColumn("__part", F.spark_partition_id()))
+    parts = own.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__part", *(F.sum(f"__{n}").over(before).alias(f"__{n}") for n in sums))
+    within = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
+    met = F.col("a.__part") == F.col("b.__part")
+    for k in keys:
+        met = met & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = own.alias("a").join(parts.alias("b"), met).select("a.*", *(f"b.__{n}" for n in sums))
+    return both.withColumns({n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in sums}).drop("__part", *(f"__{n}" for n in sums))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target): *sources* has (source, source_size), one row a source.
 
@@ -42,17 +64,16 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     its source's size, and the excess is shared again among the others, until none is above.  That is one
     level of size per weight, found from the sources in the order of their own stops.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    own = running(sources, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("long")})
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    own = sources.withColumn("weight", F.get(cycle, place % len(weights))).withColumn("stop", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = own.withColumn("stopped", F.coalesce(F.sum("stop").over(before), F.lit(0.0))).withColumn("left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    own = own.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.col("stopped")) / F.col("left"))
+    own = own.withColumn("weight", F.get(cycle, ((F.col("place") - 1) % len(weights)).cast("int"))).withColumn("stop", F.col("source_size") * F.lit(float(cap)))
+    exact = "decimal(28,6)"  # so that no sum hangs on its order
+    own = settle(running(own, [F.col("stop") / F.col("weight"), F.col("place")], {"at": F.lit(1).cast("long"), "stopped": F.col("stop").cast(exact), "gone": F.col("weight").cast(exact)}))
+    total = own.agg(F.sum("source_size").alias("sizes"), F.sum(F.col("weight").cast(exact)).cast("double").alias("weights")).first()
+    level = (F.lit(float((total.sizes or 0) * share)) - (F.col("stopped").cast("double") - F.col("stop"))) / (F.lit(total.weights) - F.col("gone").cast("double") + F.col("weight"))
     # The first source, in that order, that the level doesn't stop gives the level of all that aren't stopped.
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("stop"), F.struct("at", "level"))).over(everything)
-    return own.withColumn("at", F.row_number().over(order)).withColumn("all", level["level"]).select("source", "source_size", F.when(F.col("all").isNull(), F.col("stop")).otherwise(F.least(F.col("stop"), F.col("all") * F.col("weight"))).alias("target"))
+    found = own.withColumn("level", level).agg(F.min(F.when(F.col("level") * F.col("weight") <= F.col("stop"), F.struct("at", "level"))).alias("least")).first().least
+    return own.select("source", "source_size", (F.col("stop") if found is None else F.least(F.col("stop"), F.lit(found.level) * F.col("weight"))).alias("target"))
 
 
 def _rate(cap: float) -> Column:
@@ -113,9 +134,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     lot = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))
     named = settle(named.withColumn("lot", lot).withColumn("cell", F.pmod(F.shiftrightunsigned("lot", 20), F.col("parts"))))
     per_cell = named.groupBy("source", "size", "cell", "rate").agg(F.count("*").alias("n"))
-    part = F.col("rate") - F.floor("rate")
-    upto = F.sum(F.col("n") * part).over(Window.partitionBy("source").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, 0))
-    extra = per_cell.withColumn("upto", upto).select("source", "size", "cell", (F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("n") * part + 0.5)).alias("extra"))
+    # Copies beyond the whole ones, in units of 1e-9, which rates are rounded to.
+    part = F.round((F.col("rate") - F.floor("rate")) * 1e9).cast("decimal(20,0)") * F.col("n")
+    upto = running(per_cell.withColumn("part", part.cast("decimal(38,0)")), [F.col("size"), F.col("cell")], {"upto": F.col("part")}, ["source"])
+
+    def whole(x: Column) -> Column:
+        return F.floor((x.cast("double") + 5e8) / 1e9)
+
+    extra = upto.select("source", "size", "cell", (whole(F.col("upto")) - whole(F.col("upto") - F.col("part"))).alias("extra"))
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("lot", "doc_id")))
     done = ranked.alias("d").join(extra.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.size") == F.col("e.size")) & (F.col("d.cell") == F.col("e.cell"))).select("d.*", "extra")
     copies = (F.floor("rate") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).cast("long")
@@ -124,6 +150,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of *docs* as often as *mixed* says, for tables in which doc_id is unique."""
-    wanted = mixed.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__n"))
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__id", "__n", "__i")
+    """The rows of *docs* as often as *mixed* says, for tables in which doc_id is unique; a null id is one too."""
+    id_, n_, i_ = (free_name(docs.columns, c) for c in ("mixed_id", "mixed_n", "mixed_i"))
+    wanted = mixed.where("copies > 0").select(F.col("doc_id").alias(id_), F.col("copies").alias(n_))
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(id_))).withColumn(i_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_)))).select(*docs.columns)
