@@ -46,7 +46,7 @@ def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_path(spark)
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
