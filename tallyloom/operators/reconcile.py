@@ -1,86 +1,110 @@
 """Reconciling an external ordered list of names with the tracked one, and reports on it.
 
-The walk over both lists is breadth-first and order-dependent, so one run is one task; runs are independent.
+The walk over both lists is order-dependent, so one run is one task; runs are independent.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.similarity import warped_distance
+from tallyloom.functions.similarity import warped_distance, warped_pairs
 from tallyloom.operators.windows import islands
 
 MATCH_AT_MOST = 12
+#: Pairs of names up to which one after the other is faster.
+FEW = 12
 SCHEMA = "run_id string, kind string, ext_index long, int_index long, name string, dist long, index_diff long"
 
 
-def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]], most_states: int | None = None) -> tuple[list[tuple], bool]:
-    """(kind, ext_index, int_index, name, dist, index_diff) rows and whether the frontier was cut off.
+def nearest(names: Sequence[str], aliases: Sequence[Sequence[str | None]]) -> list[int | None]:
+    """For each name the least distance to the aliases beside it, None where there are none."""
+    pairs = [(at, name, a) for at, (name, own) in enumerate(zip(names, aliases, strict=True)) for a in own if a is not None]
+    far = warped_pairs([p[1] for p in pairs], [p[2] for p in pairs]).tolist() if len(pairs) > FEW else [warped_distance(*p[1:]) for p in pairs]
+    out: list[int | None] = [None] * len(names)
+    for (at, *_), x in zip(pairs, far, strict=True):
+        out[at] = x if out[at] is None else min(out[at], x)
+    return out
 
-    *tracked*: (name, aliases).  Kinds: "match"; "skipped" for an external name beside an entity without a name;
-    "unread" for such an entity; "missing" for an external name without an entity.  A match commits the
-    path that leads to it and clears all others.  What follows the last match is not reported.
 
-    States are taken first in, first out, so the first path to a place in both lists reaches whatever follows before any later one
-    does, and the later ones are dropped: there are at most as many states as pairs of places.  *most_states*: where to cut off, if at all.
+def following(place: tuple[int, int], named: bool) -> list[tuple[int, int]]:
+    """Where the walk goes from a pair of places that don't match: on in one list, or past an entity without a name in both."""
+    e, i = place
+    return [(e + 1, i), (e, i + 1)] if named else [(e + 1, i + 1), (e, i + 1)]
+
+
+def told(before: tuple[int, int], after: tuple[int, int], named: bool, external: Sequence[str]) -> list[tuple]:
+    """The rows that a step of the walk leaves."""
+    e, i = before
+    if named:
+        return [("missing", e, None, external[e], None, None)] if after[0] > e else []
+    rows = [("unread", None, i, None, None, None)]
+    # An external index of 0 isn't noted as skipped.
+    return [*rows, ("skipped", e, i, external[e], 100, e - i)] if after[0] > e > 0 else rows
+
+
+def next_match(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]], start: tuple[int, int]) -> tuple[list[tuple], tuple[int, int] | None]:
+    """Rows from *start* up to and with the next match, and the pair of places after it; nothing and None where a list ends before.
+
+    Pairs are looked at in waves: all that are so many steps from the start, in the order in which the wave before led to them. Every pair
+    remembers the one that first led to it, so there is one way back from a match, and no more pairs than the lists have.
+    """
+    came: dict[tuple[int, int], tuple[int, int] | None] = {start: None}
+    wave = [start]
+    while True:
+        inside = [p for p in wave if p[0] < len(external) and p[1] < len(tracked)]
+        first_out = next((at for at, p in enumerate(wave) if p[0] >= len(external) or p[1] >= len(tracked)), len(wave))
+        named = [p for p in inside if tracked[p[1]][0] is not None]
+        far = dict(zip(named, nearest([external[e] for e, _ in named], [tracked[i][1] for _, i in named]), strict=True))
+        hit = next((p for p in wave[:first_out] if far.get(p) is not None and far[p] <= MATCH_AT_MOST), None)
+        if hit is not None:
+            way = [hit]
+            while (before := came[way[-1]]) is not None:
+                way.append(before)
+            way.reverse()
+            rows = [row for a, b in zip(way, way[1:], strict=False) for row in told(a, b, tracked[a[1]][0] is not None, external)]
+            e, i = hit
+            return [*rows, ("match", e, i, external[e], far[hit], abs(e - i))], (e + 1, i + 1)
+        if first_out < len(wave):
+            return [], None
+        after = []
+        for place in wave:
+            for to in following(place, tracked[place[1]][0] is not None):
+                if to not in came:
+                    came[to] = place
+                    after.append(to)
+        wave = after
+
+
+def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]]) -> list[tuple]:
+    """(kind, ext_index, int_index, name, dist, index_diff) rows of both lists side by side.
+
+    *tracked*: (name, aliases).  Kinds: "match"; "skipped" for an external name beside an entity without a name;
+    "unread" for such an entity; "missing" for an external name without an entity.  From each match the walk goes on
+    with the closest next one, by steps; what follows the last match is not reported.
     """
     out: list[tuple] = []
-    # A path is (the path before, its last row) or None.
-    queue: deque = deque([(0, 0, None)])
-    seen: set = set()
-    while queue:
-        e, i, path = queue.popleft()
-        if e >= len(external) or i >= len(tracked):
-            break
-        if (e, i) in seen:
-            continue
-        seen.add((e, i))
-        if most_states is not None and len(seen) > most_states:
-            return out, True
-        name, aliases = tracked[i]
-        if name is None:
-            unread = (path, ("unread", None, i, None, None, None))
-            # An external index of 0 isn't noted as skipped.
-            both = (unread, ("skipped", e, i, external[e], 100, e - i)) if e else unread
-            queue.append((e + 1, i + 1, both))
-            queue.append((e, i + 1, unread))
-            continue
-        scores = [warped_distance(external[e], a) for a in aliases if a is not None]
-        if scores and min(scores) <= MATCH_AT_MOST:
-            rows = []
-            while path:
-                path, row = path
-                rows.append(row)
-            out += reversed(rows)
-            out.append(("match", e, i, external[e], min(scores), abs(e - i)))
-            queue.clear()
-            seen.clear()
-            queue.append((e + 1, i + 1, None))
-        else:
-            queue.append((e + 1, i, (path, ("missing", e, None, external[e], None, None))))
-            queue.append((e, i + 1, path))
-    return out, False
-
-
-def reconcile(external: DataFrame, tracked: DataFrame, most_states: int | None = None) -> DataFrame:
+    place: tuple[int, int] | None = (0, 0)
+    while place is not None:
+        rows, place = next_match(external, tracked, place)
+        out += rows
+    return out
+
+
+def reconcile(external: DataFrame, tracked: DataFrame) -> DataFrame:
     """Rows of walk by run.  *external*: (run_id, line_no, name), *tracked*: (run_id, entity, name, aliases)."""
 
     def run(key: tuple, ext: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names = ext.sort_values("line_no")["name"].tolist()
         own = own.sort_values("entity")
         entities = [(n if isinstance(n, str) else None, list(a) if a is not None else []) for n, a in zip(own["name"], own["aliases"], strict=True)]
-        rows, cut = walk(names, entities, most_states)
-        if cut:
-            rows.append(("truncated", None, None, None, None, None))
-        out = pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        out = pd.DataFrame([(key[0], *r) for r in walk(names, entities)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
         return out.astype({c: "Int64" for c in ("ext_index", "int_index", "dist", "index_diff")})
 
-    return external.groupBy("run_id").cogroup(tracked.groupBy("run_id")).applyInPandas(run, SCHEMA)
+    return external.where(F.col("name").isNotNull()).groupBy("run_id").cogroup(tracked.groupBy("run_id")).applyInPandas(run, SCHEMA)
 
 
 def report(found: DataFrame) -> DataFrame:

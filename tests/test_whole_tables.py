@@ -68,14 +68,21 @@ def test_the_first_path_is_the_one_that_counts():
     for _ in range(150):
         names = [c * 16 for c in rng.choice(list("abcdefgh"), 9)]
         own = [(None, []) if rng.random() < 0.4 else (n, [n]) for n in (c * 16 for c in rng.choice(list("abcdefgh"), 8))]
-        assert reconcile.walk(names, own) == (by_all_paths(names, own), False)
+        assert reconcile.walk(names, own) == by_all_paths(names, own)
 
 
 def test_long_stretches_are_walked_to_their_end(monkeypatch):
-    monkeypatch.setattr(reconcile, "warped_distance", lambda a, b: 0 if a == b else 100)
+    monkeypatch.setattr(reconcile, "nearest", lambda names, aliases: [0 if n in a else 100 for n, a in zip(names, aliases, strict=True)])
     names = [*(f"external {i}" for i in range(460)), "both", *(f"later {i}" for i in range(500))]
     own = [(n, [n]) for n in (*(f"own {i}" for i in range(460)), "both", *(f"after {i}" for i in range(500)))]
-    rows, cut = reconcile.walk(names, own)
-    assert not cut and rows[-1][:3] == ("match", 460, 460) and sum(r[0] == "missing" for r in rows) == 460
-    rows, cut = reconcile.walk([*map(str, range(25)), "both"], [(None, [])] * 25 + [("both", ["both"])])
-    assert not cut and rows[-1][:3] == ("match", 25, 25)
+    rows = reconcile.walk(names, own)
+    assert rows[-1][:3] == ("match", 460, 460) and sum(r[0] == "missing" for r in rows) == 460
+    rows = reconcile.walk([*map(str, range(25)), "both"], [(None, [])] * 25 + [("both", ["both"])])
+    assert rows[-1][:3] == ("match", 25, 25)
+
+
+def test_distances_to_aliases_are_those_of_each():
+    names, aliases = ["Sam", "Berta", "x", "Dora"] * 5, [["San", None], ["Barta", "Berta"], [], ["Dorothea"]] * 5
+    want = [1, 0, None, reconcile.warped_distance("Dora", "Dorothea")]
+    assert reconcile.nearest(names[:4], aliases[:4])[1:] == want[1:]
+    assert reconcile.nearest(names, aliases) == reconcile.nearest(names[:4], aliases[:4]) * 5
