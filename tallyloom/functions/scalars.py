@@ -76,3 +76,42 @@ def non_zero(m: Column) -> Column:
 def last_n(a: Column, n: int) -> Column:
     """The last n of an array, or all of a shorter one."""
     return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n))
+
+
+# Frames after its entry, at 30 a second, at which a name begins to leave the screen and has left it.
+LEAVES, LEFT, AT_FPS = 147, 154, 30
+
+
+def exit_times(entered: Column, fps: float = AT_FPS) -> Column:
+    """(leaves, left): frames at which a name is expected to leave; null if it wasn't seen to enter, or did so at frame 0."""
+    known = F.when(entered != 0, entered)
+    return F.struct((known + LEAVES * AT_FPS / fps).alias("leaves"), (known + LEFT * AT_FPS / fps).alias("left"))
+
+
+def on_screen(entered: Column, frame: Column, fps: float = AT_FPS) -> Column:
+    """Whether a name that entered is expected to be there still."""
+    return F.coalesce(exit_times(entered, fps)["left"] > frame, F.lit(False))
+
+
+def map_text(m: Column, between: str = ",", after: str = "|") -> Column:
+    """The entries of a map, in their order, as text."""
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"].cast("string"), F.lit(between), e["value"].cast("string"))), after)
+
+
+def time_text(ms: Column, zone: str = "UTC", form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """An instant in milliseconds as a place's date and time."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone), form)
+
+
+def random_int(end: int, start: int = 0, seed: int | None = None) -> Column:
+    """A whole number from *start* to *end*, without *end*."""
+    return F.floor(F.rand(seed) * (end - start) + start)
+
+
+def chance(share: float = 0.5, seed: int | None = None) -> Column:
+    return F.rand(seed) <= share
+
+
+def one_or(test: Column, otherwise: int = 0) -> Column:
+    """1 where the test holds, else *otherwise*."""
+    return F.when(test, 1).otherwise(otherwise)

@@ -35,8 +35,17 @@ def letter_cost(a: str, b: str, case_penalty: bool = True) -> int:
 
 
 def warped_distances(test: str, names: list[str], case_penalty: bool = True) -> np.ndarray:
-    """The distance of *test* to every name, all names at once."""
+    """The distance of *test* to every name, all names of like length at once, so that none is padded to more than twice its length."""
     lengths = np.fromiter(map(len, names), np.int64, len(names))
+    sizes = np.frexp(lengths)[1]
+    out = np.empty(len(names), np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = _warped_alike(test, [names[i] for i in at.tolist()], lengths[at], case_penalty)
+    return out
+
+
+def _warped_alike(test: str, names: list[str], lengths: np.ndarray, case_penalty: bool) -> np.ndarray:
     width = int(lengths.max(initial=0))
     letters, codes = np.unique(np.array(list("".join(n.ljust(width, "\0") for n in names)) or ["\0"]), return_inverse=True)
     codes = codes[: len(names) * width].reshape(len(names), width)
@@ -142,25 +151,23 @@ def normalised(distance: Column, test: Column, match: Column) -> Column:
     return distance / (F.greatest(F.length(test), F.length(match)) * BORDER)
 
 
-def found_letters_score(test: str, match: str) -> float | None:
-    """The older score: -1 for each letter found, the gap between the places found, 2 for one missing; None if a letter runs out.
+def found_letters_score(test: Column, match: Column) -> Column:
+    """The older score: -1 for each letter found, the gap between the places found, 2 for one missing; null if a letter runs out.
 
-    The first place is never a gap's end, as in the score that it mirrors.
+    The n-th of a letter's occurrences in *test* is found at its n-th place in *match*.  A gap is measured from the place found before, unless
+    that is the first, as in the score that it mirrors.
     """
-    places: dict[str, list[int]] = {}
-    for i, c in enumerate(match):
-        places.setdefault(c, []).append(i)
-    score, last, used = 0, 0, dict.fromkeys(places, 0)
-    for c in test:
-        if c not in places:
-            score += 2
-            continue
-        if used[c] >= len(places[c]):
-            return None
-        at = places[c][used[c]]
-        used[c] += 1
-        score -= 1
-        if last:
-            score += abs(last + 1 - at)
-        last = at
-    return float(score)
+    own = F.filter(F.split(test, ""), lambda c: c != "")
+    other = F.filter(F.split(match, ""), lambda c: c != "")
+    places = F.transform(other, lambda c, i: F.struct(c.alias("letter"), i.alias("at")))
+
+    def place(c: Column, i: Column) -> Column:
+        mine = F.filter(places, lambda p: p["letter"] == c)
+        before = F.size(F.filter(F.slice(own, F.lit(1), i), lambda x: x == c))
+        return F.struct((F.size(mine) > 0).alias("there"), F.get(mine, before)["at"].alias("at"))
+
+    at = F.transform(own, place)
+    found = F.transform(F.filter(at, lambda x: x["there"]), lambda x: x["at"])
+    gaps = F.zip_with(found, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull() & (a > 0), F.abs(a + 1 - b)).otherwise(F.lit(0)))
+    score = F.aggregate(gaps, 2 * F.size(F.filter(at, lambda x: ~x["there"])) - F.size(found), lambda s, g: s + g)
+    return F.when(~F.exists(found, lambda x: x.isNull()), score)

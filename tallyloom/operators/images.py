@@ -5,12 +5,15 @@ A frame is a row; kernels run by Arrow batch, whole arrays at a time where order
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.functions.color import BOXES, FARTHEST
 
@@ -191,41 +194,52 @@ def greys(image: np.ndarray, name: str, scale: float = 1.0) -> tuple[np.ndarray,
     return np.floor((1 - (1 - far) ** np.where(inside, 2.0, 2.5)) * 255 + 0.5).astype(np.uint8), inside
 
 
-AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+def near(mask: np.ndarray, steps: int) -> np.ndarray:
+    """The pixels within *steps* of a pixel of the mask, by rows, columns and diagonals."""
+    out = mask
+    for axis in (0, 1):
+        spread = out.copy()
+        for k in range(1, steps + 1):
+            ahead, behind = [slice(None)] * 2, [slice(None)] * 2
+            ahead[axis], behind[axis] = slice(k, None), slice(None, -k)
+            spread[tuple(ahead)] |= out[tuple(behind)]
+            spread[tuple(behind)] |= out[tuple(ahead)]
+        out = spread
+    return out
 
 
-def flood(start: tuple[int, int], grey: np.ndarray, inside: np.ndarray, out: np.ndarray, visited: np.ndarray, expand: int = 3) -> int:
-    """Paint the pixels that hang together with (x, y), up to *expand* steps beyond the colour; the last found goes first."""
-    x, y = start
-    visited[y, x], out[y, x], n = True, 0, 0
-    stack = [(x + dx, y + dy, expand) for dx, dy in AROUND]
-    h, w = grey.shape
-    while stack:
-        x, y, left = stack.pop()
-        if not (0 <= x < w and 0 <= y < h) or visited[y, x]:
-            continue
-        visited[y, x], out[y, x] = True, grey[y, x]
-        n += 1
-        if left > 0 or inside[y, x]:
-            left -= not inside[y, x]
-            stack += [(x + dx, y + dy, left) for dx, dy in AROUND]
-    return n
+def grown(seeds: np.ndarray, hits: np.ndarray, expand: int = 3) -> np.ndarray:
+    """Which pixels are painted: all within *expand* steps of a hit that hangs together with a seed.
 
+    Hits hang together over gaps of at most *expand* pixels.  What is painted doesn't depend on any order of pixels.
+    """
+    joined = seeds & hits
+    while True:
+        more = near(joined, expand + 1) & hits
+        if (more == joined).all():
+            return near(joined, expand)
+        joined = more
 
-def binarise(image: np.ndarray, color: str | None = None, scale: float = 1.0) -> tuple[np.ndarray, str | None]:
-    """(grey raster on white, the colour's name) of a name's crop: scanned from the right, the first colour found is the name's."""
+
+def binarise(image: np.ndarray, color: str | None = None, scale: float = 1.0, expand: int = 3) -> tuple[np.ndarray, str | None]:
+    """(grey raster on white, the colour's name) of a name's crop.
+
+    Scanned in columns from the right, leaving out the border, the first pixel in a colour box gives the name's colour, the first box of several.
+    Hits of that colour inside the border are the seeds of what is painted; see :func:`grown`.
+    """
     h, w = image.shape[:2]
-    out, visited = np.full((h, w), 255, np.uint8), np.zeros((h, w), bool)
-    spots = [(x, y) for x in range(w - 3, 8, -1) for y in range(7, h - 5)]
+    out, inner = np.full((h, w), 255, np.uint8), np.zeros((h, w), bool)
+    inner[7 : max(7, h - 5), 9 : max(9, w - 2)] = True
     if color is None:
-        hits = {n: box_hits(image, n, scale) for n in BOXES}
-        color = next((n for x, y in spots for n in BOXES if hits[n][y, x]), None)
-    if color is None:
-        return out, None
+        hits = np.stack([box_hits(image, n, scale) & inner for n in BOXES])
+        columns = np.flatnonzero(hits.any(axis=(0, 1)))
+        if not len(columns):
+            return out, None
+        at = hits[:, :, columns[-1]]
+        color = list(BOXES)[int(at[:, at.any(axis=0).argmax()].argmax())]
     grey, inside = greys(image, color, scale)
-    for x, y in spots:
-        if inside[y, x] and not visited[y, x]:
-            flood((x, y), grey, inside, out, visited)
+    painted = grown(inside & inner, inside, expand)
+    out[painted] = grey[painted]
     return out, color
 
 
@@ -258,3 +272,184 @@ def read_names(crops: DataFrame, recognise, schema: str = "run_id string, user_i
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return crops.select("run_id", "user_idx", "image").mapInPandas(run, schema)
+
+
+FRAME = "run_id, frame_id, width, height, channels, data"
+
+
+def per_frame(frames: DataFrame, kernel: Callable[[np.ndarray], object], name: str, kind: str) -> DataFrame:
+    """(run_id, frame_id, *name*): the kernel's answer for every raster of *frames*, one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [kernel(raster(f.data, f.width, f.height, f.channels)) for f in batch.itertuples()]
+            yield pd.DataFrame({"run_id": batch["run_id"], "frame_id": batch["frame_id"], name: told})
+
+    return frames.select(*FRAME.split(", ")).mapInPandas(run, f"run_id string, frame_id long, {name} {kind}")
+
+
+def screens(frames: DataFrame, templates: list[tuple[np.ndarray, int, int, float]]) -> DataFrame:
+    """(run_id, frame_id, ready): whether any of (template, x, y, share) is in the frame; templates are few and go with the task."""
+    return per_frame(frames, lambda image: any_template(image, templates), "ready", "boolean")
+
+
+def chat_covered(frames: DataFrame) -> DataFrame:
+    """(run_id, frame_id, covered): whether the chat covers names."""
+    return per_frame(frames, chat_covers, "covered", "boolean")
+
+
+def binarised(crops: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(run_id, user_idx, width, height, grey, color): *crops* (run_id, user_idx, width, height, channels, data) with names dark on white."""
+    schema = "run_id string, user_idx int, width int, height int, grey binary, color string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for c in batch.itertuples():
+                grey, color = binarise(raster(c.data, c.width, c.height, c.channels), scale=scale)
+                rows.append((c.run_id, c.user_idx, c.width, c.height, grey.tobytes(), color))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return crops.select("run_id", "user_idx", "width", "height", "channels", "data").mapInPandas(run, schema)
+
+
+def differing_pixels(pairs: DataFrame) -> DataFrame:
+    """(pair_id, x, y) of the pixels in which two rasters of one size differ.  *pairs*: (pair_id, width, height, channels, a, b)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in batch.itertuples():
+                at = pixel_differences(*(raster(x, p.width, p.height, p.channels) for x in (p.a, p.b)))
+                yield pd.DataFrame({"pair_id": p.pair_id, "x": at[:, 0].astype("int32"), "y": at[:, 1].astype("int32")})
+
+    return pairs.select("pair_id", "width", "height", "channels", "a", "b").mapInPandas(run, "pair_id long, x int, y int")
+
+
+def principal_boxes(points: DataFrame, keys: list[str], p: tuple[str, str, str]) -> DataFrame:
+    """(keys, mean, axes, least, most): of each group's points along the axes of their population covariance, the least spread first.
+
+    Means and covariances are sums that Spark takes in parts; only their nine numbers a group reach Python, and the extent along the axes is a second pass over
+    the points.  An axis points to where its largest component is positive.
+    """
+    kinds = ", ".join(f"{k} {t}" for k, t in points.select(*keys).dtypes)
+    pairs = [(a, b) for i, a in enumerate(p) for b in p[i:]]
+    sums = points.groupBy(*keys).agg(F.array(*(F.avg(c) for c in p)).alias("mean"), F.array(*(F.covar_pop(a, b) for a, b in pairs)).alias("spread"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            axes = []
+            for spread in batch["spread"]:
+                full = np.zeros((3, 3))
+                full[np.triu_indices(3)] = spread
+                _, own = np.linalg.eigh(full + np.triu(full, 1).T)
+                axes.append([[float(x) for x in a * np.sign(a[np.abs(a).argmax()])] for a in own.T])
+            yield batch.drop(columns="spread").assign(axes=axes)
+
+    turned = sums.mapInPandas(run, f"{kinds}, mean array<double>, axes array<array<double>>")
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}"))
+    both = points.alias("p").join(turned.alias("t"), met)
+    place = F.array(*(sum(((F.col(f"p.{c}") - F.col("t.mean")[i]) * F.col("t.axes")[j][i] for i, c in enumerate(p)), F.lit(0.0)) for j in range(3)))
+    own = both.select(*(F.col(f"t.{k}").alias(k) for k in keys), F.col("t.mean").alias("mean"), F.col("t.axes").alias("axes"), place.alias("at"))
+    return own.groupBy(*keys, "mean", "axes").agg(F.array(*(F.min(F.col("at")[j]) for j in range(3))).alias("least"), F.array(*(F.max(F.col("at")[j]) for j in range(3))).alias("most"))
+
+
+def white_lines(image: np.ndarray, side: int, size: int = 1, balance: int = 70, least: int = 140, over: int = 26) -> np.ndarray:
+    """The older test for a line: which pixels, with the *size* - 1 before them, are white enough, and brighter than the pixel to one side (-1 left, 1 right)."""
+    rgb = image[:, :, :3].astype(np.float64)
+    line = sum((np.roll(rgb, side * k, axis=1) for k in range(1, size)), rgb) / size
+    r, g, b = np.moveaxis(line, 2, 0)
+    uneven = (np.abs(r - g) + np.abs(g - b) + np.abs(r - b)) / 3
+    beside = np.abs(line - np.roll(rgb, -side, axis=1)).sum(axis=2)
+    out = (uneven <= balance) & (line.sum(axis=2) >= least * 3) & (beside > over)
+    edge = np.zeros_like(out)
+    edge[:, size - 1 : -1] = True
+    return out & (edge if side > 0 else edge[:, ::-1])
+
+
+def encoded(image: np.ndarray, form: str = "png") -> bytes:
+    """A raster as a PNG, of grey, colours or colours with alpha, or as its bare bytes ("raw")."""
+    if form == "raw":
+        return image.tobytes()
+    h, w = image.shape[:2]
+    kind = {1: 0, 3: 2, 4: 6}[image.shape[2] if image.ndim == 3 else 1]
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], axis=1)
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def widened(image: np.ndarray, width: int = 400) -> np.ndarray:
+    """The raster at another width, each pixel being the mean of the four around its place by their nearness."""
+    h, w = image.shape[:2]
+    height = max(1, round(h * width / w))
+    y, x = ((np.arange(n) + 0.5) * m / n - 0.5 for n, m in ((height, h), (width, w)))
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    dy, dx = ((v - v0).reshape(shape) for v, v0, shape in ((y, y0, (-1, 1) + (1,) * (image.ndim - 2)), (x, x0, (1, -1) + (1,) * (image.ndim - 2))))
+    own = image.astype(np.float64)
+    top = own[y0][:, x0] * (1 - dx) + own[y0][:, x1] * dx
+    low = own[y1][:, x0] * (1 - dx) + own[y1][:, x1] * dx
+    return np.floor(top * (1 - dy) + low * dy + 0.5).astype(np.uint8)
+
+
+#: Confidences of an image that is kept without a text: nothing was read, or nothing was tried.
+UNREAD, UNTRIED = 11.1, -1.0
+#: The length at which an image is taken where none is known.
+BASIC_LENGTH = -300
+
+
+def read_slots(jobs: DataFrame, recognise: Callable[[bytes], list[tuple[str, float]]], least_chars: int = 4) -> DataFrame:
+    """Read names from their slots: crop, binarise, widen, recognise, and keep the image that shows it.
+
+    *jobs*: (run_id, user_idx, frame_id, slot, length, width, height, channels, data), one row a name to read; *recognise*: a PNG to lines (text, confidence).
+    Gives (run_id, user_idx, frame_id, text, confidence, image, failed): the first line of at least *least_chars* characters, trimmed; without a line a null text with the
+    confidence UNREAD; with only shorter ones no row; where no length is known, the image at BASIC_LENGTH with UNTRIED.  What can't be cropped or read has *failed*, and stops nothing.
+    """
+    schema = "run_id string, user_idx int, frame_id long, text string, confidence double, image binary, failed boolean"
+
+    def read(j) -> tuple | None:
+        image = raster(j.data, j.width, j.height, j.channels)
+        if pd.isna(j.length):
+            return None, UNTRIED, encoded(cut(image, name_crop(j.slot, BASIC_LENGTH))), False
+        length = int(j.length)
+        grey, _ = binarise(cut(image, name_crop(j.slot, length)))
+        lines = recognise(encoded(widened(grey)))
+        shown = encoded(cut(image, name_crop(j.slot, length, inner=False)))
+        if not lines:
+            return None, UNREAD, shown, False
+        first = next(((t, c) for t, c in lines if len(t) >= least_chars), None)
+        return first and (first[0].strip(), float(first[1]), shown, False)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for j in batch.itertuples():
+                try:
+                    told = read(j)
+                except Exception:  # noqa: BLE001  the recogniser is foreign code, and a length may not fit its frame
+                    told = None, None, None, True
+                if told:
+                    rows.append((j.run_id, j.user_idx, j.frame_id, *told))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return jobs.select("run_id", "user_idx", "frame_id", "slot", "length", "width", "height", "channels", "data").mapInPandas(run, schema)
+
+
+# Small digits as rows of three pixels.
+DIGITS = ("111 101 101 111", "011 001 001 001", "111 001 110 111", "111 011 001 111", "101 101 111 001", "111 110 001 111", "111 100 111 111", "111 001 001 001", "111 111 101 111", "111 111 001 111")
+
+
+def draw_number(image: np.ndarray, x: int, y: int, number: int, color: tuple[int, int, int] = (255, 0, 0)) -> np.ndarray:
+    """A copy of the raster with a whole number of zero or more written at (x, y), four pixels a digit, as far as it lies inside."""
+    shapes = [np.array([[c == "1" for c in line] for line in DIGITS[int(d)].split()]) for d in str(number)]
+    mask = np.concatenate([np.pad(s, ((0, 0), (0, 1))) for s in shapes], axis=1)
+    out = image.copy()
+    part = mask[: max(0, image.shape[0] - y), : max(0, image.shape[1] - x)]
+    out[y : y + part.shape[0], x : x + part.shape[1], :3][part] = color
+    return out

@@ -58,16 +58,22 @@ def first_usable_line(df: DataFrame, key: str, line_no: str, text: str, least: i
     return kept.withColumn(text, F.trim(text))
 
 
-def alias_length_gaps(df: DataFrame, key: str, alias: str, least: int = 3) -> DataFrame:
-    """(key, first, second, gap): pairs of one entity's aliases, in order, of which the first is over *least* letters longer.
+def alias_length_gaps(df: DataFrame, key: str, alias: str, order: str, least: int = 3) -> DataFrame:
+    """(key, first, second, gap): pairs of one entity's aliases, in the order in which they came, of which the first is over *least* letters longer.
 
-    Entities have few aliases; the pairs are made inside the row of the entity, never by a join of rows.
+    An alias came with its least *order*; of equals the first by code points.  Entities have few aliases; the pairs are made inside the row of the entity, never by a join of rows.
     """
-    sets = df.where(F.col(alias).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(alias)).alias("a"))
+    came = df.where(F.col(alias).isNotNull()).groupBy(key, alias).agg(F.min(order).alias("came"))
+    sets = came.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("came", F.col(alias).alias("alias")))), lambda x: x["alias"]).alias("a"))
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform(F.filter("a", lambda _, j: j > i), lambda y: F.struct(x.alias("first"), y.alias("second"), (F.length(x) - F.length(y)).alias("gap")))))
     return sets.select(key, F.explode(pairs).alias("p")).select(key, "p.*").where(F.col("gap") > least)
 
 
+def unverified(name: Column, confidence: Column, least: float = 0.5) -> Column:
+    """Whether a reading has no name or hardly any confidence (of 100)."""
+    return name.isNull() | F.coalesce(confidence < least, F.lit(True))
+
+
 def line_confidence(word_confidence: Column, letters: Column) -> Column:
     """The greater of a word's confidence and its letters' mean over 1.3."""
     total = F.aggregate(letters, F.lit(0.0), lambda a, x: a + x)

@@ -19,10 +19,10 @@ def neighbour_scores(df: DataFrame, keys: list[str], index: str, length: str) ->
     """
     w, x = by(keys, index), F.col(length)
     own = df.withColumn("score", (F.abs(x - F.coalesce(F.lag(x).over(w), x)) + F.abs(x - F.coalesce(F.lead(x).over(w), x))) / 2 + 1).where(x.isNotNull() & (x != 0))
-    both = own.withColumn("__key", F.explode(F.array(x - 1, x)))
-    shared = both.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "__key")))
-    per_row = shared.groupBy(*keys, index, length, "score").agg(F.collect_list("__n").alias("__n"))
-    return per_row.withColumn("score", F.aggregate("__n", F.col("score"), lambda s, n: s / n)).drop("__n")
+    # The key n - 1 is that of lengths n - 1 and n, the key n that of n and n + 1; all windows share one partitioning.
+    alike = Window.partitionBy(*keys).orderBy(length)
+    counts = [F.count("*").over(alike.rangeBetween(*around)) for around in ((-1, 0), (0, 1))]
+    return own.withColumn("score", F.col("score") / counts[0] / counts[1])
 
 
 def running_edges(value: Column, w: WindowSpec) -> Column:
@@ -129,3 +129,17 @@ def active_per_bucket(pings: DataFrame, viewer: str, time: str, interval_ms: int
     unit = bucket.split()[-1]
     touched = F.explode(F.sequence(F.date_trunc(unit, "since"), F.date_trunc(unit, "until"), F.expr(f"INTERVAL {bucket}")))
     return held.select(viewer, touched.alias("bucket")).groupBy("bucket").agg(F.countDistinct(viewer).alias("active"))
+
+
+def frame_durations(df: DataFrame, keys: list[str], order: str, downloaded: str, started: str, ended: str) -> DataFrame:
+    """process and whole: how long a frame took from its start and from its download; with the mean and deviation of process over ten frames and the mean of whole over five."""
+    w = by(keys, order)
+    own = df.withColumns({"process": F.col(ended) - F.col(started), "whole": F.col(ended) - F.col(downloaded)})
+    ten, five = w.rowsBetween(-9, 0), w.rowsBetween(-4, 0)
+    return own.withColumns({"process_mean": F.avg("process").over(ten), "process_sd": F.stddev_samp("process").over(ten), "whole_mean": F.avg("whole").over(five)})
+
+
+def turned_to(df: DataFrame, keys: list[str], order: list[str], value: str, wanted: str) -> DataFrame:
+    """The rows at which the value becomes *wanted*, having been another before or being the first."""
+    before = F.lag(value).over(by(keys, *order))
+    return df.withColumn("__before", before).where((F.col(value) == wanted) & ~F.col("__before").eqNullSafe(F.lit(wanted))).drop("__before")

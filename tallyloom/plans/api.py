@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators import reconcile, search, windows
+from tallyloom.operators import readings, reconcile, search, windows
 
 find = search.find
 
@@ -54,3 +54,23 @@ def last_lengths(entities: DataFrame, n: int = 24) -> DataFrame:
     """(run_id, lengths): of the last n entities, in order."""
     own = F.array_sort(F.collect_list(F.struct("user_idx", "length")))
     return entities.groupBy("run_id").agg(own.alias("a")).select("run_id", F.transform(F.slice("a", F.greatest(F.size("a") - n + 1, F.lit(1)), F.lit(n)), lambda x: x["length"]).alias("lengths"))
+
+
+#: Letters that a search must have.
+LEAST_LETTERS = 3
+
+
+def find_name(entities: DataFrame, text: str, k: int = 5, threshold: float = 12) -> DataFrame | None:
+    """As find, for what a viewer typed: nothing is searched (None) for blanks or fewer than LEAST_LETTERS letters."""
+    text = (text or "").strip()
+    return search.find(entities, [text], k, threshold) if len(text) >= LEAST_LETTERS else None
+
+
+def reading_status(entities: DataFrame) -> DataFrame:
+    """(run_id, users, known, unverified, images, has_name): the tracker's counts, and whether each entity, in order, has a name.
+
+    *entities*: (run_id, user_idx, name, confidence, images).
+    """
+    named = F.transform(F.array_sort(F.collect_list(F.struct("user_idx", F.col("name").isNotNull().alias("has")))), lambda x: x["has"])
+    open_ = F.count(F.when(readings.unverified(F.col("name"), F.col("confidence")), 1))
+    return entities.groupBy("run_id").agg(F.count("*").alias("users"), F.count("name").alias("known"), open_.alias("unverified"), F.sum(F.coalesce(F.size("images"), F.lit(0))).alias("images"), named.alias("has_name"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,7 +18,7 @@ JPG_END = bytes([0xFF, 0xD9])
 PNG_SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
 PNG_LAST = b"IEND"
 
-FRAMES = "stream string, image_no long, image binary"
+FRAMES = "stream string, image_no long, image binary, failed boolean"
 
 
 class JpgCutter:
@@ -25,36 +27,42 @@ class JpgCutter:
     def __init__(self, rest: bytes = b"", made: int = 0) -> None:
         self.rest, self.made = rest, made
 
-    def push(self, chunk: bytes) -> list[bytes]:
+    def push(self, chunk: bytes) -> list[tuple[bytes, bool]]:
+        """(image, whether it failed) of all that the chunk ends."""
         self.rest, out, fresh = self.rest + chunk, [], max(0, len(self.rest) - len(JPG_END) + 1)
         while (cut := self.rest.find(JPG_END, fresh)) >= 0:
             cut += len(JPG_END)
-            out.append(self.rest[:cut])
+            out.append((self.rest[:cut], False))
             self.rest, fresh = self.rest[cut:], 0
         self.made += len(out)
         return out
 
 
 class PngCutter:
-    """Walks a PNG's chunks (length, type, body, check sum) to its last one, over any number of pushed pieces."""
+    """Walks a PNG's chunks (length, type, body, check sum) to its last one, over any number of pushed pieces.
+
+    Bytes that are no PNG, up to the next signature, are an image that failed.
+    """
 
     def __init__(self, rest: bytes = b"", made: int = 0) -> None:
         self.rest, self.made = rest, made
 
-    def push(self, chunk: bytes) -> list[bytes]:
+    def push(self, chunk: bytes) -> list[tuple[bytes, bool]]:
+        """(image, whether it failed) of all that the chunk ends."""
         self.rest += chunk
         out = []
         while (end := self._end()) is not None:
-            out.append(self.rest[:end])
-            self.rest = self.rest[end:]
+            out.append((self.rest[: abs(end)], end < 0))
+            self.rest = self.rest[abs(end) :]
         self.made += len(out)
         return out
 
     def _end(self) -> int | None:
-        """Where the image at the start of what is held ends, if it does."""
+        """Where the image at the start of what is held ends, if it does; negative where what is no image does."""
         at = len(PNG_SIGNATURE)
-        if len(self.rest) >= at and not self.rest.startswith(PNG_SIGNATURE):
-            raise ValueError("the stream isn't at a PNG signature")
+        if not self.rest.startswith(PNG_SIGNATURE[: len(self.rest)]):
+            next_one = self.rest.find(PNG_SIGNATURE)
+            return -next_one if next_one > 0 else None
         while len(self.rest) >= at + 8:
             (length,) = struct.unpack_from(">I", self.rest, at)
             kind, at = self.rest[at + 4 : at + 8], at + 12 + length
@@ -69,31 +77,67 @@ CUTTERS = {"jpg": JpgCutter, "png": PngCutter}
 def _cut(stream: str, cutter: JpgCutter | PngCutter, rows: pd.DataFrame) -> pd.DataFrame:
     first = cutter.made
     found = [image for chunk in rows.sort_values("seq")["chunk"] if chunk is not None for image in cutter.push(bytes(chunk))]
-    out = [(stream, first + i, image) for i, image in enumerate(found)]
-    return pd.DataFrame(out, columns=["stream", "image_no", "image"]).astype({"image_no": "int64"})
+    out = [(stream, first + i, *image) for i, image in enumerate(found)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in FRAMES.split(", ")]).astype({"image_no": "int64", "failed": "bool"})
 
 
 def cut_images(chunks: DataFrame, form: str = "jpg") -> DataFrame:
-    """Images of each stream.  *chunks*: (stream, seq, chunk binary); a stream is cut in the order of seq."""
+    """Images of each stream.  *chunks*: (stream, seq, chunk binary); a stream is cut in the order of seq.  What follows the last end is no image."""
     return chunks.groupBy("stream").applyInPandas(lambda key, rows: _cut(key[0], CUTTERS[form](), rows), FRAMES)
 
 
-def cut_image_stream(chunks: DataFrame, form: str = "jpg") -> DataFrame:
-    """As cut_images, over a stream of chunks; what is left of a stream is state."""
+def timeout(idle_ms: int | None) -> str:
+    """How the state of a stream's keys ends: never, or in a query that runs on, after so many milliseconds without a row."""
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def cut_image_stream(chunks: DataFrame, form: str = "jpg", idle_ms: int | None = None) -> DataFrame:
+    """As cut_images, over a stream of chunks; what is left of a stream is state, with *idle_ms* (see timeout) until it has been idle for so long."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         cutter = CUTTERS[form](*(state.get if state.exists else ()))
         yield _cut(key[0], cutter, pd.concat(list(batches)))
         state.update((cutter.rest, cutter.made))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
 
-    return chunks.groupBy("stream").applyInPandasWithState(run, FRAMES, "rest binary, made long", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream").applyInPandasWithState(run, FRAMES, "rest binary, made long", "append", timeout(idle_ms))
 
 
-def frame_folder(spark: SparkSession, path: str, skip_to: int = 0) -> DataFrame:
-    """(frame_no, path, image): files of a folder by the number before their suffix, without text files."""
-    files = spark.read.format("binaryFile").load(path).where(~F.col("path").endswith(".txt"))
+def _numbered(files: DataFrame, skip_to: int) -> DataFrame:
     number = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\d+)\.", 1).try_cast("long")
-    return files.select(number.alias("frame_no"), "path", F.col("content").alias("image")).where(F.col("frame_no") >= skip_to)
+    return files.where(~F.col("path").endswith(".txt")).select(number.alias("frame_no"), "path", F.col("content").alias("image")).where(F.col("frame_no") >= skip_to)
+
+
+def frame_folder(spark: SparkSession, path: str, skip_to: int = 0) -> DataFrame:
+    """(frame_no, path, image): files of a folder by the number before their suffix, in its order, without text files."""
+    return _numbered(spark.read.format("binaryFile").load(path), skip_to).orderBy("frame_no")
+
+
+def replayed_folder(spark: SparkSession, path: str, skip_to: int = 0, a_batch: int = 1) -> DataFrame:
+    """The files of frame_folder as a stream, *a_batch* of them in each, in the order in which they were written; a trigger of the query paces it."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return _numbered(spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", a_batch).load(path), skip_to)
+
+
+def settings(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """*defaults* with what a JSON file of settings says, group by group; a file that isn't there says nothing, and unknown names are left out."""
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = None
+    said = json.loads(text.value) if text else {}
+
+    def merged(own: dict, new: object) -> dict:
+        new = new if isinstance(new, dict) else {}
+        return {k: merged(v, new.get(k)) if isinstance(v, dict) else v if new.get(k) is None else new[k] for k, v in own.items()}
+
+    return merged(defaults, said)
 
 
 def name_list(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
@@ -130,16 +174,24 @@ def hocr_lines(xml: str) -> list[dict]:
     return out
 
 
-HOCR = "job_id string, line_no int, text string, x0 int, y0 int, x1 int, y1 int, confidence double, char_conf_avg double"
+HOCR = "job_id string, line_no int, text string, x0 int, y0 int, x1 int, y1 int, confidence double, char_conf_avg double, failed boolean"
 
 
 def parse_hocr(pages: DataFrame) -> DataFrame:
-    """Lines of each page.  *pages*: (job_id, xml)."""
+    """Lines of each page.  *pages*: (job_id, xml).  A page that can't be read gives one row with only *failed*; a null page none."""
+    columns = [c.split()[0] for c in HOCR.split(", ")]
+    kinds = dict.fromkeys(("line_no", "x0", "y0", "x1", "y1"), "Int32") | dict.fromkeys(("confidence", "char_conf_avg"), "Float64") | {"failed": "bool"}
+
+    def lines(job: str, xml: str) -> list[dict]:
+        try:
+            return [{"job_id": job, "line_no": i, **x, "failed": False} for i, x in enumerate(hocr_lines(xml))]
+        except (ET.ParseError, AttributeError, IndexError, ValueError):  # no XML, a line without a title, a field that is short or no number
+            return [{"job_id": job, "failed": True}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"job_id": job, "line_no": i, **x} for job, xml in zip(batch["job_id"], batch["xml"], strict=True) if xml for i, x in enumerate(hocr_lines(xml))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HOCR.split(", ")])
+            rows = [[x.get(c) for c in columns] for job, xml in zip(batch["job_id"], batch["xml"], strict=True) if xml for x in lines(job, xml)]
+            yield pd.DataFrame(rows, columns=columns, dtype=object).astype(kinds)
 
     return pages.select("job_id", "xml").mapInPandas(run, HOCR)
 

@@ -9,26 +9,57 @@ from dataclasses import asdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
+from tallyloom.operators import lifecycle
 from tallyloom.operators.tracking import LOG, Entity, Run, log_of
+from tallyloom.sources import frames
 
 
-def track_stream(observations: DataFrame) -> DataFrame:
+
+def track_stream(observations: DataFrame, quick: bool = False, idle_ms: int | None = None) -> DataFrame:
     """As operators.tracking.track, over a stream.
 
     A batch's rows of one run are put together and taken in frame order; a frame at or before the last one taken is late and dropped.
+    Of a run that is over only this is remembered, without its entities.  With *idle_ms*, for a query that runs on without end, a run without a frame for so many milliseconds is
+    forgotten, and begins anew if it comes back; a query that stops at the end of its input must go without.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = Run()
         if state.exists:
             held = json.loads(state.get[0])
             own = Run(**held | {"entities": [Entity(**e) for e in held["entities"]]})
-        yield log_of(key[0], own, pd.concat(list(batches)))
+        yield log_of(key[0], own, pd.concat(list(batches)), quick)
+        if own.status == "COMPLETE":
+            own.entities = []
         state.update((json.dumps(asdict(own)),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+
+    return observations.groupBy("run_id").applyInPandasWithState(run, LOG, "run string", "append", frames.timeout(idle_ms))
+
+
+def follow_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """As operators.lifecycle.follow, over a stream of (run_id, at, event); a batch's events of one run are taken in order of their time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else lifecycle.STOPPED
+        out = lifecycle.steps(key[0], before, pd.concat(list(batches)))
+        if len(out):
+            before = out["after"].iloc[-1]
+        yield out
+        state.update((before,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
 
-    return observations.groupBy("run_id").applyInPandasWithState(run, LOG, "run string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("run_id").applyInPandasWithState(run, lifecycle.STEPS, "state string", "append", frames.timeout(idle_ms))
 
 
 def quiet_runs(events: DataFrame, keys: list[str], time: str, quiet: str = "5 seconds", late: str = "10 seconds") -> DataFrame:

@@ -1,10 +1,12 @@
 """Pages that overlap, and the answers of the service."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom.functions import similarity
+from tallyloom.functions import color, similarity
 from tallyloom.operators import pages
 from tallyloom.plans import api
+from tallyloom.sources import sinks
 
 NAMES = ["Aaronson", "Bellatrix", "Casparus", "Dorothea", "Evangeline", "Ferdinand", "Guinevere", "Hieronymus"]
 
@@ -43,3 +45,33 @@ def test_status_and_entities(spark):
     assert bytes(api.image_by_index(people, 0, 1).first().image) == b"1" and api.image_by_index(people, 1, 3).first().image is None
     assert api.last_lengths(people).first().lengths == [-5, None]
     assert [x.name for x in api.user_list(people).collect()] == ["Sam", None]
+
+
+def test_short_searches_ask_nothing(spark):
+    people = spark.createDataFrame([(0, ["Malice"]), (1, ["Barou"])], "entity int, aliases array<string>")
+    assert api.find_name(people, " ab ") is None is api.find_name(people, None)
+    assert api.find_name(people, " Baro ").first().entity == 1
+
+
+def test_texts_of_a_run(spark):
+    log = spark.createDataFrame([("r", 1, "A", "*", 2, True, "length", 0)], "run_id string, frame_id long, shown string, expected string, offset int, good boolean, by string, first_index int")
+    timing = spark.createDataFrame([("r", 1, 12.345)], "run_id string, frame_id long, process double")
+    text = sinks.log_text(log, timing).first().value.split("\n")
+    assert text[:2] == ["V: A", "P: *"] and text[3] == "------ end frame: 1 | 12.35ms -------"
+    checks = spark.createDataFrame([("r", "color", 1.0), ("r", "color", 2.0), ("r", "quick", 0.5)], "run_id string, kind string, ms double")
+    assert sinks.timing_means(checks).first().value == "Color Avg: 1.50ms\nQuick length Avg: 0.50ms\nLength Avg: -"
+
+
+def test_an_enclosing_color_has_no_better_neighbour(spark):
+    rng = np.random.default_rng(7)
+    data = [(k, *(int(x) for x in rng.integers(0, 256, 3))) for k in range(3) for _ in range(40)] + [(9, 1, 2, 3)] * 2
+    df = spark.createDataFrame(data, "k int, r int, g int, b int")
+    for row in color.enclosing_colors(df, ["k"]).collect():
+        own = np.array([x[1:] for x in data if x[0] == row.k], float)
+        center = np.array([row.r, row.g, row.b], float)
+        assert abs(color.farthest(center[None], own)[0] - row.distance) < 1e-9
+        for channel in range(3):
+            tried = np.repeat(center[None], 256, axis=0)
+            tried[:, channel] = np.arange(256)
+            assert color.farthest(tried, own).min() >= row.distance - 1e-9
+        assert row.k != 9 or (row.r, row.g, row.b, row.distance) == (1, 2, 3, 0)

@@ -32,6 +32,11 @@ def plain(a, b):
     return row[-1]
 
 
+def test_one_long_name_pads_no_other():
+    names = ["ab"] * 5000 + ["x" * 200_000, ""]
+    assert similarity.warped_distances("abc", names).tolist() == [plain("abc", "ab")] * 5000 + [plain("abc", "x" * 200_000), 6]
+
+
 def test_distances_of_many_names_are_those_of_each(spark):
     rng = np.random.default_rng(2)
     letters = list("oO0nitrlaeL1Aa48dz")
@@ -51,10 +56,11 @@ def test_letter_costs_are_asymmetric():
     assert similarity.letter_cost("a", "A", case_penalty=False) == 0
 
 
-def test_found_letters_score():
-    assert similarity.found_letters_score("ab", "ab") == -2 + 0
-    assert similarity.found_letters_score("xb", "ab") == 2 - 1
-    assert similarity.found_letters_score("aa", "a") is None
+def test_found_letters_score(spark):
+    cases = [("ab", "ab", -2), ("xb", "ab", 1), ("aa", "a", None), ("", "ab", 0), ("ab", "", 4), ("cab", "abcc", -3 + 3), ("bcb", "abcb", -3), ("dca", "abcd", -3 + 2 + 3)]
+    df = spark.createDataFrame(cases, "test string, match string, want int")
+    for r in df.withColumn("got", similarity.found_letters_score(F.col("test"), F.col("match"))).collect():
+        assert r.got == r.want, r
 
 
 def test_labels(spark):
@@ -104,11 +110,10 @@ def test_color_offset():
 def test_walk():
     ext = ["Aaron", "Bella", "Casper", "Quentin Longname", "Dora"]
     own = [("Aaron", ["Aaron"]), (None, []), ("Casper", ["Casper", "Caspar"]), ("Dora", ["Dora"])]
-    rows, cut = reconcile.walk(ext, own)
-    assert not cut
+    rows = reconcile.walk(ext, own)
     assert [(k, e, i) for k, e, i, *_ in rows if k == "match"] == [("match", 0, 0), ("match", 2, 2), ("match", 4, 3)]
     assert [r[0] for r in rows] == ["match", "unread", "skipped", "match", "missing", "match"]
-    assert reconcile.walk(["abcdefghijklmnop"] * 40, [("zzzzzzzzzzzzzzzzzzzz", ["zzzzzzzzzzzzzzzzzzzz"])] * 40, 500)[1]
+    assert reconcile.walk(["abcdefghijklmnop"] * 40, [("zzzzzzzzzzzzzzzzzzzz", ["zzzzzzzzzzzzzzzzzzzz"])] * 40) == []
 
 
 def test_colors(spark):
@@ -126,7 +131,14 @@ def test_colors(spark):
     assert value(spark, color.redmean((F.lit(0),) * 3, (F.lit(255),) * 3)) == pytest.approx(math.sqrt((2 + 127.5 / 256 + 4 + 2 + 127.5 / 256) * 255**2))
 
 
+def test_random_values(spark):
+    got = spark.range(200).select(scalars.random_int(5, 2, seed=1).alias("n"), scalars.chance(0.3, seed=2).alias("c")).collect()
+    assert {r.n for r in got} == {2, 3, 4} and 30 < sum(r.c for r in got) < 90
+
+
 def test_scalars(spark):
+    assert value(spark, scalars.exit_times(F.lit(0))) == (None, None) and value(spark, scalars.exit_times(F.lit(10), 60)) == (83.5, 87.0)
+    assert value(spark, scalars.on_screen(F.lit(10), F.lit(163))) and not value(spark, scalars.on_screen(F.lit(10), F.lit(164))) and not value(spark, scalars.on_screen(F.lit(None).cast("int"), F.lit(1)))
     assert value(spark, scalars.to_percent(F.lit(0.12345))) == "12.35%"
     for ms, want in ((5, "5ms"), (1500, "1s 500ms"), (60_000, "1m"), (3_661_001, "1h 1ms 1s 1m"), (86_400_000, "24h")):
         assert value(spark, scalars.duration_text(F.lit(ms))) == want

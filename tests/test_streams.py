@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import lifecycle, tracking
 from tallyloom.sources import frames, sinks
 from tallyloom.streaming import tracker
 
@@ -26,7 +27,7 @@ def test_images_are_cut_across_batches(spark, tmp_path):
     chunks = [[("s", i, data[i * 12 : i * 12 + 12])] for i in range(6)]
     stream = source(spark, tmp_path / "in", chunks, "stream string, seq int, chunk binary")
     got = all_rows(spark, frames.cut_image_stream(stream), "cut", tmp_path / "ck")
-    assert [(r.image_no, bytes(r.image)) for r in sorted(got)] == list(enumerate(images))
+    assert [(r.image_no, bytes(r.image), r.failed) for r in sorted(got)] == [(i, x, False) for i, x in enumerate(images)]
 
 
 SECONDS = [[("a", 0), ("a", 3), ("b", 1)], [("a", 20), ("b", 2)], [("c", 100)]]
@@ -51,3 +52,43 @@ def test_frames_are_written_by_batch(spark, tmp_path):
     query = sinks.write_frames(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert query.exception() is None and spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_run_that_is_over_keeps_no_entities(spark, tmp_path):
+    schema = "run_id string, frame_id long, vidx int, appear boolean, length int, len_checked boolean, color string"
+    seen = [("r", f, v, True, -100 - v, True, None) for f in range(2) for v in range(3)]
+    quiet = [("r", f, 0, False, None, False, None) for f in range(2, 160)]
+    late = [("r", 200, 0, True, -100, True, None)]
+    stream = source(spark, tmp_path / "in", [seen, quiet, late], schema)
+    got = all_rows(spark, tracker.track_stream(stream), "over", tmp_path / "ck")
+    want = tracking.track(spark.createDataFrame([*seen, *quiet, *late], schema)).collect()
+    assert sorted(got, key=lambda r: r.frame_id) == sorted(want, key=lambda r: r.frame_id) and max(r.frame_id for r in got) == 152
+    import json
+
+    held = spark.read.format("statestore").load(str(tmp_path / "ck")).select("value.*").first()
+    state = json.loads(next(iter(held.asDict(recursive=True)["groupState"].values())))
+    assert state["status"] == "COMPLETE" and state["entities"] == []
+
+
+CONTROL = [("a", 1, "screen"), ("a", 2, "start"), ("a", 3, "start"), ("a", 4, "screen"), ("a", 5, "other"), ("a", 6, "quiet"), ("a", 7, "force"), ("a", 8, "clear"), ("b", 1, "force"), ("b", 2, "stop"), ("b", 3, None), ("b", 4, "start")]
+
+
+def test_runs_are_moved_on_by_events(spark, tmp_path):
+    timed = lambda df: df.withColumn("at", F.timestamp_seconds("s"))
+    schema = "run_id string, s long, event string"
+    told = lifecycle.follow(timed(spark.createDataFrame(CONTROL, schema)))
+    batch = sorted((r.run_id, r.at, r.after) for r in told.collect())
+    assert [x[2] for x in batch] == ["STOPPED", "WAITING", "WAITING", "READING", "READING", "COMPLETE", "READING", "STOPPED", "READING", "STOPPED", "STOPPED", "WAITING"]
+    last = {r.run_id: r for r in lifecycle.entered(told).collect()}
+    assert (last["a"].state, last["a"].reading, last["b"].state, last["b"].waiting.second, last["b"].reading.second) == ("STOPPED", None, "WAITING", 4, 1)
+    stream = timed(source(spark, tmp_path / "in", [CONTROL[:3], CONTROL[3:10], CONTROL[10:]], schema))
+    got = all_rows(spark, tracker.follow_stream(stream), "followed", tmp_path / "ck")
+    assert sorted((r.run_id, r.at, r.after) for r in got) == batch
+
+
+def test_folders_are_replayed_by_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in (1, 2, 3):
+        (tmp_path / "in" / f"{n}.png").write_bytes(bytes([n]))
+    got = all_rows(spark, frames.replayed_folder(spark, str(tmp_path / "in"), 2), "replayed", tmp_path / "ck")
+    assert sorted((r.frame_no, bytes(r.image)) for r in got) == [(2, b"\x02"), (3, b"\x03")]
