@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import color, scalars, similarity
-from tallyloom.operators import align, pages, readings, reconcile, search, tracking, windows
-from tallyloom.sources import frames
+from tallyloom.operators import align, images, lifecycle, pages, readings, reconcile, search, tracking, windows
+from tallyloom.plans import api
+from tallyloom.sources import frames, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +87,22 @@ def distance_in_sql_functions(spark, d):
     return names.select("alias", similarity.warped_distance_column(F.lit("shiny"), F.col("alias")).alias("dist"))
 
 
+#: The n-th occurrence of a letter meets its n-th place; one row for each letter of the test.
+_FOUND = """WITH w AS (SELECT p_partkey, p_name AS test, reverse(p_type) AS match FROM part),
+t AS (SELECT *, unnest(range(1, length(test) + 1)) AS i FROM w),
+l AS (SELECT *, substr(test, i, 1) AS c, length(substr(test, 1, i)) - length(replace(substr(test, 1, i), substr(test, i, 1), '')) AS nth FROM t),
+a AS (SELECT *, contains(match, c) AS there, [j - 1 FOR j IN range(1, length(match) + 1) IF substr(match, j, 1) = c][nth] AS spot FROM l),
+g AS (SELECT *, lag(spot) OVER (PARTITION BY p_partkey ORDER BY i) AS before FROM a WHERE there),
+s AS (SELECT p_partkey, count(*) FILTER (spot IS NULL) AS short, sum(CASE WHEN before > 0 THEN abs(before + 1 - spot) ELSE 0 END) - count(*) AS score FROM g GROUP BY p_partkey)
+SELECT w.p_partkey, CASE WHEN coalesce(short, 0) = 0 THEN CAST(coalesce(score, 0) + 2 * (SELECT count(*) FROM a WHERE a.p_partkey = w.p_partkey AND NOT there) AS INTEGER) END AS score FROM w LEFT JOIN s ON s.p_partkey = w.p_partkey"""
+
+
+@query(_FOUND)
+def found_letters(spark, d):
+    """Each part's name against its type, read backwards."""
+    return table(spark, d, "part").select("p_partkey", similarity.found_letters_score(F.col("p_name"), F.reverse("p_type")).alias("score"))
+
+
 @query("""SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(sum(value), 4) AS total, round(stddev_samp(value), 4) AS sd, round(var_pop(value), 4) AS variance
 FROM events GROUP BY event_type""")
 def welford_by_type(spark, d):
@@ -212,45 +229,58 @@ def screen_window_24(spark, d):
     return windows.screen(own.withColumn("__c", cursor), ["o_custkey"], "idx", F.col("__c")).select("o_custkey", "slot", "idx", F.coalesce("o_orderkey", F.lit(-1).cast("long")).alias("o_orderkey"))
 
 
-#: A user's events in order as slots of a length; those moved on by three are what is seen.
-_SEQ = "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS i, CAST(floor(value) AS BIGINT) AS length, event_type AS color FROM events"
+#: A user's events in order as slots of a length, cut into screens of twenty.  A screen predicts its own slots and those of the next; what is seen has moved on by three.
+_SCREENS = """n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, CAST(floor(value) AS BIGINT) AS length, event_type AS color FROM events),
+p AS (SELECT user_id, i // 20 AS screen, CAST(i % 20 AS INTEGER) AS pidx, length, color FROM n UNION ALL SELECT user_id, i // 20 - 1, CAST(i % 20 + 20 AS INTEGER), length, color FROM n WHERE i >= 20),
+q AS (SELECT user_id, (i - 3) // 20 AS screen, CAST((i - 3) % 20 AS INTEGER) AS vidx, length, color FROM n WHERE i >= 3)"""
+_RUN = ["user_id", "screen"]
 
 
-def _sequences(spark, d, most=40):
+def _screens(spark, d):
     w = windows.by(["user_id"], "event_id")
-    own = events(spark, d).select("user_id", (F.row_number().over(w) - 1).alias("i"), F.floor("value").alias("length"), F.col("event_type").alias("color")).where(F.col("i") < most)
-    return own.withColumnRenamed("i", "pidx"), own.where((F.col("i") >= 3) & (F.col("i") < 20)).withColumn("vidx", F.col("i") - 3).drop("i")
+    own = events(spark, d).select("user_id", (F.row_number().over(w) - 1).cast("long").alias("i"), F.floor("value").alias("length"), F.col("event_type").alias("color"))
+    place = F.explode(F.filter(F.array(F.struct(F.floor(F.col("i") / 20).alias("screen"), (F.col("i") % 20).alias("pidx")), F.struct((F.floor(F.col("i") / 20) - 1).alias("screen"), (F.col("i") % 20 + 20).alias("pidx"))), lambda x: x["screen"] >= 0))
+    predicted = own.withColumn("p", place).select("user_id", "p.screen", F.col("p.pidx").cast("int").alias("pidx"), "length", "color")
+    moved = F.col("i") - 3
+    return predicted, own.where(moved >= 0).select("user_id", F.floor(moved / 20).alias("screen"), (moved % 20).cast("int").alias("vidx"), "length", "color")
 
 
-_VOTES = f"""WITH s AS ({_SEQ}), v AS (SELECT p.user_id, p.i - (q.i - 3) AS "offset", count(DISTINCT q.i) AS votes FROM s p JOIN s q ON p.user_id = q.user_id AND p.length = q.length
-WHERE p.i < 40 AND q.i >= 3 AND q.i < 20 GROUP BY 1, 2)"""
+_VOTES = f"""WITH {_SCREENS}, v AS (SELECT p.user_id, p.screen, pidx - vidx AS "offset", count(DISTINCT vidx) AS votes FROM p JOIN q ON p.user_id = q.user_id AND p.screen = q.screen AND p.length = q.length GROUP BY ALL)"""
 
 
-@query(_VOTES + """ SELECT user_id, CAST("offset" AS INTEGER) AS "offset", votes FROM v""")
+@query(_VOTES + """ SELECT user_id, screen, "offset", votes FROM v""")
 def offset_votes(spark, d):
-    return align.offset_votes(*_sequences(spark, d), ["user_id"])
+    return align.offset_votes(*_screens(spark, d), _RUN)
 
 
-@query(_VOTES + """ SELECT user_id, CAST("offset" AS INTEGER) AS "offset", votes, votes >= 2 AS good FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, abs("offset"), "offset") AS r FROM v) WHERE r = 1""")
+@query(_VOTES + """ SELECT user_id, screen, "offset", votes, votes >= 2 AS good FROM (SELECT *, row_number() OVER (PARTITION BY user_id, screen ORDER BY votes DESC, abs("offset"), "offset") AS r FROM v) WHERE r = 1""")
 def best_offset(spark, d):
-    return align.best_offsets(align.offset_votes(*_sequences(spark, d), ["user_id"]), ["user_id"])
+    return align.best_offsets(align.offset_votes(*_screens(spark, d), _RUN), _RUN)
 
 
-@query(f"""WITH s AS ({_SEQ}), p AS (SELECT * FROM s WHERE i < 40), q AS (SELECT user_id, i - 3 AS vidx, length AS seen FROM s WHERE i >= 3 AND i < 20),
-f AS (SELECT user_id, min(vidx) AS first, count(*) AS slots FROM q GROUP BY 1),
-w AS (SELECT a.user_id, a.i AS shift, f.first, f.slots, q.seen, b.i AS there, b.length FROM p a JOIN q ON a.user_id = q.user_id JOIN f ON f.user_id = a.user_id LEFT JOIN p b ON b.user_id = a.user_id AND b.i = a.i + q.vidx - f.first)
-SELECT user_id, shift, count(CASE WHEN abs(length - seen) < 3 THEN 1 END) AS matched, round(count(CASE WHEN abs(length - seen) < 3 THEN 1 END) / (slots - 0.5 * count(CASE WHEN there IS NOT NULL AND length IS NULL THEN 1 END)), 4) AS share
-FROM w GROUP BY user_id, shift, first, slots""")
+_SHARES = f"""WITH {_SCREENS}, f AS (SELECT user_id, screen, min(vidx) AS first, count(*) AS slots FROM q GROUP BY ALL),
+w AS (SELECT a.user_id, a.screen, a.pidx AS shift, first, slots, q.length AS seen, b.pidx AS there, b.length FROM p a JOIN q ON a.user_id = q.user_id AND a.screen = q.screen JOIN f ON f.user_id = a.user_id AND f.screen = a.screen
+  LEFT JOIN p b ON b.user_id = a.user_id AND b.screen = a.screen AND b.pidx = a.pidx + q.vidx - first),
+h AS (SELECT user_id, screen, shift, shift - first AS "offset", count(*) FILTER (abs(length - seen) < 3) AS matched, count(*) FILTER (abs(length - seen) < 3) / (slots - 0.5 * count(*) FILTER (there IS NOT NULL AND length IS NULL)) AS share FROM w GROUP BY user_id, screen, shift, first, slots)"""
+
+
+@query(_SHARES + " SELECT user_id, screen, shift, matched, round(share, 4) AS share FROM h")
 def shift_match_pct(spark, d):
-    return align.shift_shares(*_sequences(spark, d), ["user_id"]).select("user_id", "shift", "matched", r4("share").alias("share"))
+    return align.shift_shares(*_screens(spark, d), _RUN).select(*_RUN, "shift", "matched", r4("share").alias("share"))
+
 
+@query(_SHARES + """ SELECT user_id, screen, "offset", round(share, 4) AS share, share > 0.7 AS good FROM h WHERE share > 0
+QUALIFY row_number() OVER (PARTITION BY user_id, screen ORDER BY share <= 0.7, CASE WHEN share > 0.7 THEN 0 ELSE -share END, shift) = 1""")
+def best_shift(spark, d):
+    return align.best_shift(align.shift_shares(*_screens(spark, d), _RUN), _RUN).withColumn("share", r4("share"))
 
-@query(f"""WITH s AS ({_SEQ}), p AS (SELECT user_id, i AS pidx, color FROM s WHERE i < 40), q AS (SELECT user_id, i - 3 AS vidx, color FROM s WHERE i >= 3 AND i < 20),
-l AS (SELECT user_id, max(pidx) AS lp, arg_max(color, pidx) AS lc FROM p GROUP BY 1),
-c AS (SELECT q.user_id, lp - vidx AS o, vidx AS anchor FROM q JOIN l ON q.user_id = l.user_id WHERE color = lc AND lp >= vidx)
-SELECT DISTINCT user_id, CAST(o AS INTEGER) AS "offset" FROM c WHERE NOT EXISTS (SELECT 1 FROM q JOIN p ON p.user_id = q.user_id AND p.pidx = q.vidx + c.o WHERE q.user_id = c.user_id AND q.vidx < c.anchor AND p.color <> q.color)""")
+
+@query(f"""WITH {_SCREENS}, l AS (SELECT user_id, screen, max(pidx) AS lp, arg_max(color, pidx) AS lc FROM p GROUP BY ALL),
+c AS (SELECT q.user_id, q.screen, lp - vidx AS o, vidx AS anchor FROM q JOIN l ON q.user_id = l.user_id AND q.screen = l.screen WHERE color = lc AND lp >= vidx)
+SELECT DISTINCT user_id, screen, o AS "offset" FROM c
+WHERE NOT EXISTS (SELECT 1 FROM q JOIN p ON p.user_id = q.user_id AND p.screen = q.screen AND p.pidx = q.vidx + c.o WHERE q.user_id = c.user_id AND q.screen = c.screen AND q.vidx < c.anchor AND p.color <> q.color)""")
 def wildcard_alignment(spark, d):
-    return align.wildcard_offsets(*_sequences(spark, d), ["user_id"])
+    return align.wildcard_offsets(*_screens(spark, d), _RUN)
 
 
 @query("SELECT count(DISTINCT user_id) AS viewers FROM events")
@@ -281,10 +311,8 @@ def state_durations(spark, d):
 
 @query("""SELECT user_id, string_agg(CASE WHEN event_type <> 'error' AND value > 20 AND value > 90 THEN 'D' WHEN event_type <> 'error' THEN 'A' WHEN value <= 90 THEN '_' ELSE '?' END, '' ORDER BY event_id) AS glyphs FROM events GROUP BY user_id""")
 def glyph_string(spark, d):
-    from tallyloom.operators.tracking import glyphs
-
     e = events(spark, d)
-    return glyphs(e, ["user_id"], "event_id", F.col("event_type") != "error", F.when(F.col("value") <= 90, F.col("value")), F.col("value") > 20)
+    return tracking.glyphs(e, ["user_id"], "event_id", F.col("event_type") != "error", F.when(F.col("value") <= 90, F.col("value")), F.col("value") > 20)
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER o OR row_number() OVER o = 1 OR value < 5 AS shown FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) WHERE shown""")
@@ -357,20 +385,19 @@ def coord_hash(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.coordinate_hash(x, y).alias("hash"), scalars.pixel_offset(x, y, 1920, 4).alias("place"))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id, event_type AS t FROM events)
-SELECT x.user_id, x.t AS first, y.t AS second, CAST(length(x.t) - length(y.t) AS INTEGER) AS gap FROM a x JOIN a y ON x.user_id = y.user_id AND x.t < y.t WHERE length(x.t) - length(y.t) > 1""")
+@query("""WITH a AS (SELECT user_id, event_type AS t, min(event_id) AS came FROM events GROUP BY ALL)
+SELECT x.user_id, x.t AS first, y.t AS second, CAST(length(x.t) - length(y.t) AS INTEGER) AS gap FROM a x JOIN a y ON x.user_id = y.user_id AND x.came < y.came WHERE length(x.t) - length(y.t) > 1""")
 def alias_pair_lengths(spark, d):
-    return readings.alias_length_gaps(events(spark, d), "user_id", "event_type", 1)
+    return readings.alias_length_gaps(events(spark, d), "user_id", "event_type", "event_id", 1)
 
 
-@query("""SELECT event_id, CASE WHEN value < 40 THEN 'length' WHEN event_id % 24 <> 23 AND value > 80 THEN 'capture' END AS action FROM events WHERE event_id % 24 <= 20""")
+@query("""WITH s AS (SELECT event_id, event_id % 24 AS vidx, user_id * 7 % 24 AS last, event_type <> 'error' AND CAST(floor(value) AS BIGINT) % 3 <> 0 AS unchecked, value > 60 AS known, event_type IN ('click', 'view') AS ready, CAST(floor(value) AS BIGINT) % 2 = 0 AS image FROM events)
+SELECT event_id, CASE WHEN vidx > last THEN NULL WHEN unchecked AND NOT known THEN 'length' WHEN unchecked AND ready AND vidx < 23 THEN 'read' WHEN vidx = last AND vidx < 23 AND NOT image THEN 'capture' END AS action FROM s""")
 def slot_action(spark, d):
-    from tallyloom.operators.tracking import action
-
-    e = events(spark, d).where(F.col("event_id") % 24 <= 20)
-    vidx = F.col("event_id") % 24
-    told = action(vidx, F.col("value") < 40, F.lit(False), F.lit(None).cast("int"), F.lit(True), F.col("value") <= 80, F.when(F.col("value") < 40, 23).otherwise(vidx))
-    return e.select("event_id", told.alias("action"))
+    """Every event as a slot; each of the rule's inputs comes from the event's columns."""
+    vidx, whole = F.col("event_id") % 24, F.floor("value")
+    told = tracking.action(vidx, F.col("event_type") != "error", whole % 3 == 0, F.when(F.col("value") > 60, whole), F.col("event_type").isin("click", "view"), whole % 2 == 0, F.col("user_id") * 7 % 24)
+    return events(spark, d).select("event_id", told.alias("action"))
 
 
 @query("SELECT event_id, printf('%.2f%%', floor(value) * 100) AS pct, floor(value) > 40 AND floor(value) < 60 AS near FROM events")
@@ -407,11 +434,38 @@ def _pages(spark, d):
     return own.select(F.col("user_id").alias("run_id"), page.alias("page"), "i", F.concat("event_type", F.lit("-"), F.col("event_id").cast("string")).alias("text")).withColumn("division", F.col("i") - F.col("page") * 4)
 
 
-@query()
+#: The distance of every pair of lines of two pages in a row, then votes by nearest line.
+_PAGE_OFFSETS = f"""
+WITH RECURSIVE n AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, event_type || '-' || event_id AS text FROM events),
+l AS (SELECT run_id, i // 4 AS page, i % 4 AS division, text FROM n UNION ALL SELECT run_id, i // 4 - 1, i % 4 + 4, text FROM n WHERE i >= 4),
+m AS (SELECT l.run_id, l.page, l.division, l.text AS a, o.division AS old, o.text AS b FROM l JOIN l o ON l.run_id = o.run_id AND l.page = o.page + 1),
+d(a, b, x, line) AS (
+  SELECT DISTINCT a, b, 0, [CAST(2 * y AS INTEGER) FOR y IN range(0, length(b) + 1)] FROM m
+  UNION ALL
+  SELECT a, b, x + 1,
+    list_reduce([[CAST(2 * (x + 1) AS INTEGER)]] || [[line[y + 1], line[y],
+        {_COST.format(a="substr(a, x + 1, 1)", b="substr(b, y, 1)").replace("near[", _NEAR + "[")}] FOR y IN range(1, length(b) + 1)],
+      lambda q, c: q || [CAST(c[3] + least(q[-1], c[1], c[2]) AS INTEGER)])
+  FROM d WHERE x < length(a)),
+near AS (SELECT m.*, line[-1] AS dist FROM m JOIN d ON d.a = m.a AND d.b = m.b AND d.x = length(m.a) WHERE line[-1] < 4),
+f AS (SELECT *, row_number() OVER (PARTITION BY run_id, page, division ORDER BY dist, old) AS r FROM near),
+v AS (SELECT run_id, page, old - division AS "offset", count(*) AS votes FROM f WHERE r = 1 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id, page ORDER BY votes DESC, abs("offset"), "offset") AS r FROM v WHERE votes >= 3)
+"""
+
+
+@query(_PAGE_OFFSETS + """SELECT run_id, page, "offset", votes FROM o WHERE r = 1""")
 def page_offsets(spark, d):
     return pages.page_offsets(_pages(spark, d).drop("i"))
 
 
+@query(_PAGE_OFFSETS + """, s AS (SELECT g.run_id, g.page, CAST(coalesce(sum("offset") OVER (PARTITION BY g.run_id ORDER BY g.page), 0) AS BIGINT) AS moved FROM (SELECT DISTINCT run_id, page FROM l) g LEFT JOIN o ON o.run_id = g.run_id AND o.page = g.page AND o.r = 1)
+SELECT l.run_id, l.page, division + moved AS place, text FROM l JOIN s ON s.run_id = l.run_id AND s.page = l.page""")
+def stitched_pages(spark, d):
+    own = _pages(spark, d).drop("i")
+    return pages.stitched(own, pages.page_offsets(own)).select("run_id", "page", "place", "text")
+
+
 @query("""WITH e AS (SELECT user_id, floor(value / 10) AS key, event_type AS text, value AS confidence FROM events)
 SELECT user_id, CAST(key AS BIGINT) AS key, arg_max(text, {'c': confidence, 't': text}) AS name, max(confidence) AS confidence, count(*) AS seen, array_to_string(list_sort(list(DISTINCT text)), ',') AS aliases FROM e GROUP BY user_id, key""")
 def gathered_lines(spark, d):
@@ -432,13 +486,22 @@ def accuracy_report(spark, d):
     return reconcile.report(reconcile_lists(spark, d))
 
 
-@query()
-def track_frames(spark, d):
-    """Screens of a user's events, moving on by one event a frame, through the tracker."""
+def _screen_rows(spark, d):
+    """Screens of a user's events, moving on by one event a frame."""
     own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), (F.row_number().over(windows.by(["user_id"], "event_id")) - 1).alias("i"), (-F.floor("value") - 1).cast("int").alias("length"), "event_type")
     frame = F.explode(F.sequence(F.greatest(F.col("i") - 19, F.lit(0)), F.col("i"))).alias("frame_id")
-    rows = own.select("*", frame).select("run_id", F.col("frame_id").cast("long"), (F.col("i") - F.col("frame_id")).alias("vidx"), F.lit(True).alias("appear"), "length", F.lit(True).alias("len_checked"), F.col("event_type").alias("color"))
-    return tracking.track(rows)
+    return own.select("*", frame).select("run_id", F.col("frame_id").cast("long"), (F.col("i") - F.col("frame_id")).alias("vidx"), F.lit(True).alias("appear"), "length", F.lit(True).alias("len_checked"), F.col("event_type").alias("color"))
+
+
+@query()
+def track_frames(spark, d):
+    return tracking.track(_screen_rows(spark, d))
+
+
+@query()
+def track_frames_quick(spark, d):
+    """As track_frames, where lengths are looked for instead of measured."""
+    return tracking.track(_screen_rows(spark, d), quick=True)
 
 
 @query("""SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'seen' WHEN 1 THEN 'seen' WHEN 2 THEN 'processing' WHEN 3 THEN 'named' ELSE 'unknown' END AS label, round((-1 - vec_id % 294) * 100.0 / -294, 4) AS width FROM embeddings""")
@@ -458,3 +521,100 @@ SELECT event_id, CASE WHEN v % 100000 < 1000 THEN (v % 100000) || 'ms' WHEN v %
 ELSE '1m' || CASE WHEN v % 1000 = 0 THEN '' ELSE ' ' || v % 1000 || 'ms' END || CASE WHEN (v % 100000) // 1000 % 60 = 0 THEN '' ELSE ' ' || (v % 100000) // 1000 % 60 || 's' END END AS text FROM e""")
 def duration_texts(spark, d):
     return events(spark, d).select("event_id", scalars.duration_text(F.col("ms") % 100_000).alias("text"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS down, floor(value) AS wait, floor(value * 3) AS work FROM events),
+t AS (SELECT user_id, event_id, CAST(work - wait AS BIGINT) AS process, CAST(work AS BIGINT) AS whole FROM e)
+SELECT *, round(avg(process) OVER w, 6) AS process_mean, round(stddev_samp(process) OVER w, 6) AS process_sd, round(avg(whole) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING), 6) AS whole_mean
+FROM t WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING)""")
+def frame_durations(spark, d):
+    own = events(spark, d).select("user_id", "event_id", F.col("ms").alias("downloaded"), (F.col("ms") + F.floor("value")).alias("started"), (F.col("ms") + F.floor(F.col("value") * 3)).alias("ended"))
+    told = windows.frame_durations(own, ["user_id"], "event_id", "downloaded", "started", "ended")
+    return told.select("user_id", "event_id", "process", "whole", *(F.round(c, 6).alias(c) for c in ("process_mean", "process_sd", "whole_mean")))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, lag(event_type, 1, '') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type = 'purchase' AND before <> 'purchase'""")
+def turned_to_purchase(spark, d):
+    return windows.turned_to(events(spark, d), ["user_id"], ["event_id"], "event_type", "purchase").select("user_id", "event_id")
+
+
+#: Events of a user as what moves a run on.
+_CONTROL = {"signup": "start", "view": "screen", "click": "force", "purchase": "quiet", "error": "stop"}
+_STATES = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) // 1000 AS ms, event_type,
+  CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'screen' WHEN 'purchase' THEN 'quiet' WHEN 'click' THEN CASE WHEN value > 150 THEN 'force' ELSE 'ping' END ELSE CASE WHEN value < 10 THEN 'clear' ELSE 'stop' END END AS event, ts FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event) AS r FROM e),
+s AS (SELECT run_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS before, 'STOPPED' AS after FROM n WHERE r = 1
+  UNION ALL SELECT n.run_id, n.r, s.after, CASE WHEN event IN ('stop', 'clear') THEN 'STOPPED' WHEN event = 'force' THEN 'READING' WHEN event = 'start' AND s.after IN ('STOPPED', 'COMPLETE') THEN 'WAITING'
+    WHEN event = 'screen' AND s.after = 'WAITING' THEN 'READING' WHEN event = 'quiet' AND s.after = 'READING' THEN 'COMPLETE' ELSE s.after END
+  FROM s JOIN n ON n.run_id = s.run_id AND n.r = s.r + 1),
+t AS (SELECT n.run_id, n.r, ms, event, before, after FROM s JOIN n ON n.run_id = s.run_id AND n.r = s.r)"""
+
+
+def _control(spark, d):
+    name = F.try_element_at(F.create_map(*(F.lit(x) for pair in _CONTROL.items() for x in pair)), F.col("event_type"))
+    high, low = F.col("value") > 150, F.col("value") < 10
+    event = F.when(name == "force", F.when(high, "force").otherwise("ping")).when((name == "stop") & low, "clear").otherwise(name)
+    return events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").alias("at"), event.alias("event"))
+
+
+@query(_STATES + " SELECT run_id, ms, event, before, after FROM t")
+def run_states(spark, d):
+    return lifecycle.follow(_control(spark, d)).select("run_id", F.unix_millis("at").alias("ms"), "event", "before", "after")
+
+
+@query(_STATES + """, c AS (SELECT run_id, max(ms) AS cleared FROM t WHERE event = 'clear' GROUP BY 1),
+m AS (SELECT t.* FROM t LEFT JOIN c ON c.run_id = t.run_id WHERE before <> after AND (cleared IS NULL OR ms > cleared))
+SELECT l.run_id, state, w.waiting, w.reading, w.complete FROM (SELECT run_id, arg_max(after, r) AS state FROM t GROUP BY 1) l LEFT JOIN
+(SELECT run_id, max(ms) FILTER (after = 'WAITING') AS waiting, max(ms) FILTER (after = 'READING') AS reading, max(ms) FILTER (after = 'COMPLETE') AS complete FROM m GROUP BY 1) w ON w.run_id = l.run_id""")
+def run_entered(spark, d):
+    own = lifecycle.entered(lifecycle.follow(_control(spark, d)))
+    return own.select("run_id", "state", *(F.unix_millis(c).alias(c) for c in ("waiting", "reading", "complete")))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(floor(value) AS BIGINT) AS entered, event_id % 300 AS frame FROM events)
+SELECT event_id, round(CASE WHEN entered <> 0 THEN entered + 147 * 0.5 END, 4) AS leaves, round(CASE WHEN entered <> 0 THEN entered + 154 * 0.5 END, 4) AS gone, entered <> 0 AND entered + 77 > frame AS there FROM e""")
+def exit_times(spark, d):
+    own = events(spark, d).select("event_id", F.floor("value").alias("entered"), (F.col("event_id") % 300).alias("frame"))
+    out = scalars.exit_times(F.col("entered"), 60)
+    return own.select("event_id", r4(out["leaves"]).alias("leaves"), r4(out["left"]).alias("gone"), scalars.on_screen(F.col("entered"), F.col("frame"), 60).alias("there"))
+
+
+@query("""SELECT event_id, 'type=' || event_type || ';user=' || user_id AS entries, strftime(ts, '%d.%m.%Y %H:%M:%S') AS told, base64(CAST(event_type AS BLOB)) AS payload, CASE WHEN event_type = 'error' THEN 1 ELSE -1 END AS sign FROM events""")
+def small_texts(spark, d):
+    own = events(spark, d)
+    entries = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    return own.select("event_id", scalars.map_text(entries, "=", ";").alias("entries"), scalars.time_text(F.col("ms"), "UTC", "dd.MM.yyyy HH:mm:ss").alias("told"), sinks.payload(F.col("event_type").cast("binary")).alias("payload"), scalars.one_or(F.col("event_type") == "error", -1).alias("sign"))
+
+
+@query(f"""{_RGB}, x AS (SELECT CAST(g AS DOUBLE) / nullif(r, 0) AS a, CAST(b AS DOUBLE) / nullif(g, 0) AS b, CAST(r AS DOUBLE) / nullif(b, 0) AS c FROM c)
+SELECT round(avg(a), 6) AS r, round(avg(b), 6) AS g, round(avg(c), 6) AS b, round((sum(a) + sum(b) + sum(c)) / (count(a) + count(b) + count(c)), 6) AS "all" FROM x""")
+def overlay_ratio(spark, d):
+    own = color.overlay_ratio(_rgb(spark, d)[0], ("r", "g", "b"), ("g", "b", "r"))
+    return own.select(*(F.round(c, 6).alias(c) for c in ("r", "g", "b", "all")))
+
+
+@query()
+def enclosing_colors(spark, d):
+    own, _ = _rgb(spark, d)
+    return color.enclosing_colors(own.withColumn("part", F.col("vec_id") % 5), ["part"]).withColumn("distance", r4("distance"))
+
+
+@query()
+def principal_boxes(spark, d):
+    own, _ = _rgb(spark, d)
+    return images.principal_boxes(own.withColumn("part", F.col("vec_id") % 5), ["part"], ("r", "g", "b"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS users, count(*) FILTER (event_type <> 'error') AS known, count(*) FILTER (event_type = 'error' OR value < 0.5) AS unverified, CAST(sum(floor(value) % 3) AS BIGINT) AS images,
+string_agg(CASE WHEN event_type = 'error' THEN '0' ELSE '1' END, '' ORDER BY event_id) AS has_name FROM events GROUP BY user_id""")
+def reading_status(spark, d):
+    name = F.when(F.col("event_type") != "error", F.col("event_type"))
+    own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("user_idx"), name.alias("name"), F.col("value").alias("confidence"), F.array_repeat(F.lit("x"), (F.floor("value") % 3).cast("int")).alias("images"))
+    return api.reading_status(own).withColumn("has_name", F.array_join(F.transform("has_name", lambda x: x.cast("int").cast("string")), ""))
+
+
+@query(_DISTANCES.replace(repr(TERMS), repr(["shiny"])) + """
+SELECT CAST(row_number() OVER (ORDER BY dist, p_partkey) AS INTEGER) AS rank, p_partkey AS entity, CAST(dist AS BIGINT) AS dist FROM dist JOIN part ON p_name = alias WHERE dist < 12 QUALIFY rank <= 5""")
+def find_name(spark, d):
+    entities = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.array("p_name").alias("aliases"))
+    return api.find_name(entities, "  shiny ").select("rank", "entity", "dist")
