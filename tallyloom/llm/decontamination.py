@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import each_batch, texts
+from tallyloom.llm.common import each_batch, free_name, texts
 
 #: ASCII letters and digits and all bytes of other characters stay, A-Z as a-z; the rest parts words.
 WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -156,7 +156,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     """
     docs = docs.drop("n_words", "n_hit", "items")
     names = docs.columns
-    own = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "__hit": T.BinaryType()}
+    hit_words = free_name(names, "hit_words")
+    own = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), hit_words: T.BinaryType()}
     out = T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in own.items())])
     state = docs.withColumns({k: F.lit(None).cast(t) for k, t in own.items()})
     for block in _blocks(benchmark, block_words):
@@ -165,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         sent = docs.sparkSession.sparkContext.broadcast(windows)
 
         def mark(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            index, hits, items, n = sent.value, batch.column("__hit").to_pylist(), batch.column("items").to_pylist(), []
+            index, hits, items, n = sent.value, batch.column(hit_words).to_pylist(), batch.column("items").to_pylist(), []
             for i, text in enumerate(texts(batch.column("text").cast(pa.string()))):
                 words = words_of(text)
                 n.append(len(words))
@@ -180,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *own])
 
         state = state.mapInArrow(each_batch(mark), out)
-    return state.drop("__hit")
+    return state.drop(hit_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LOWER, each_batch, settle, texts, unsettle
+from tallyloom.llm.common import LOWER, each_batch, free_name, settle, texts, unsettle
 
 SEED = 42
 HALF = 32
@@ -212,5 +212,6 @@ def keep_one(docs: DataFrame, bits: int = 3, words: int = 3) -> DataFrame:
 
     Of repeated rows of one doc_id all stay with it.
     """
-    found = near_duplicates(docs, bits, words).where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone_id = free_name(docs.columns, "gone_id")
+    found = near_duplicates(docs, bits, words).where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")

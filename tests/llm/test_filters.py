@@ -19,7 +19,7 @@ def lower(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
-def brute_lines(data, least=40, docs=5):
+def brute_lines(data, least=40, docs=5, in_order=False):
     holders = defaultdict(set)
     for doc, text in data:
         for line in (text or "").split("\n"):
@@ -31,7 +31,7 @@ def brute_lines(data, least=40, docs=5):
         lines = (text or "").split("\n")
         stay = [x for x in lines if not (len(holders.get(k := lower(x.strip(WS)), ())) >= docs and doc != max(holders[k]))]
         out.append((doc, "\n".join(stay), len(lines), len(lines) - len(stay)))
-    return sorted(out, key=repr)
+    return out if in_order else sorted(out, key=repr)
 
 
 @pytest.mark.parametrize(("bits", "shard"), [(16, 2_000_000), (1, 700), (16, 50)])
@@ -104,6 +104,8 @@ def test_contamination_is_the_brute_force(spark, docs, block):
     want = brute_contamination([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.collect()])
     assert rows(got.select("doc_id", "n_words", "n_hit", "items")) == want
     assert sum(x[2] > 0 for x in want) > 8
+    clash = {c: F.lit("x") for c in ("n_words", "n_hit", "items", "hit_words", "item_id")}
+    assert rows(decontamination.contamination(docs.withColumns(clash), items.withColumn("n_hit", F.lit(1)), block_words=block).select("doc_id", "n_words", "n_hit", "items")) == want
     clean = decontamination.decontaminate(docs, items)
     assert clean.columns == docs.columns and clean.count() == sum(x[2] == 0 for x in want)
 
@@ -172,6 +174,8 @@ def test_near_duplicates_of_an_empty_table(empty):
 
 
 def test_keep_one_keeps_null_ids_and_repeats(docs):
+    clash = docs.withColumns({c: F.lit("x") for c in ("gone_id", "fp", "component_id", "fingerprint")})
+    assert simhash.keep_one(clash).columns == clash.columns
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert kept.where("doc_id is null").count() == 1

@@ -69,5 +69,7 @@ def test_given_documents_are_the_brute_force(spark):
 
 def test_null_ids_and_repeats_stay(docs, empty):
     assert rows(near_copies.keep_one(empty)) == []
+    clash = docs.withColumns({c: F.lit("x") for c in ("gone_id", "v", "keys", "label", "first")})
+    assert near_copies.keep_one(clash).columns == clash.columns
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 9005").count() == 2
