@@ -8,7 +8,7 @@ log likelihood is the sum over its words, and each distinct word is run once by
 task as far as a bounded memory of words reaches.
 
 What goes to the driver and out to the executors is the table of pieces by language: at most
-the vocabulary times the number of languages, whatever the size of the input.
+the vocabulary times ``most_langs``, whatever the size of the input and whatever its labels hold.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 #: Words that a task remembers the scores of.
 KNOWN = 300_000
 SMOOTHING = 0.1
+#: Languages that are learned at most.
+MOST_LANGS = 256
 UNDETERMINED = "und"
+#: Letters that a random text is made of, and the end of a word.
+CHARACTERS = 27
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -88,8 +92,11 @@ class Scorer:
         return np.array([self.scores[[at[w] for w in words]].sum(axis=0) if words else np.zeros(self.weights.shape[1]) for words in documents])
 
 
-def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """(languages, log piece probabilities by language) from the rows with *learn_from* and a lang."""
+def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray]:
+    """(languages, log piece probabilities by language) from the rows with *learn_from* and a lang.
+
+    Of more than *most_langs* values of lang those with the most rows are learned, the first by code points of equals.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
@@ -110,26 +117,32 @@ def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "piece", "n"])
 
     labelled = docs.where(learn_from & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    rows = labelled.mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
+    named = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    langs = sorted(r.lang for r in named.collect())
     counts = np.zeros((pieces(model).size, len(langs)))
     if langs:
-        counts[rows.column("piece").to_numpy(), [langs.index(x) for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
+        rows = labelled.where(F.col("lang").isin(langs)).mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        place = {lang: i for i, lang in enumerate(langs)}
+        counts[rows.column("piece").to_numpy(), [place[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
     return langs, log_weights(counts, SMOOTHING)
 
 
-def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str = VOCABULARY) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str = VOCABULARY, margin: bool = False) -> DataFrame:
     """*docs* with lang_pred and score, the posterior of that language under equal priors.
 
-    A text that is null, empty or without a letter is "und" with score 0, as is every
+    With *margin* there is also the column margin: by how much, in log10, the whole text is likelier in that language than
+    as random characters, of which each word's and its end have a chance of one in CHARACTERS.  A text of none of the learned languages, or of no language, is far below 0.
+
+    A text that is null, empty or without a letter is "und" with score 0 and a null margin, as is every
     text where no language was learned.  Ties go to the first language by code
-    points.  Repeated rows are predicted alike; columns lang_pred and score of *docs*
+    points.  Repeated rows are predicted alike; columns of *docs* named as the new ones
     are replaced, other columns pass through and aren't read.
     """
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    new = {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)} | ({"margin": F.lit(None).cast("double")} if margin else {})
+    docs = docs.drop(*new)
+    names, added = docs.columns, list(new)
     sent = docs.sparkSession.sparkContext.broadcast((langs, weights))
-    out = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    out = docs.withColumns(new).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, weights = sent.value
@@ -139,14 +152,19 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str =
                 batch = whole.slice(at, 512)
                 own = texts(batch.column("text").cast(pa.string()))
                 letters = np.array([has_letter(t) for t in own], bool) & bool(langs)
-                pred, score = [UNDETERMINED] * len(own), np.zeros(len(own))
+                pred, score, over = [UNDETERMINED] * len(own), np.zeros(len(own)), np.full(len(own), np.nan)
                 if letters.any():
-                    logs = scorer.score([words_of(t) for t in own])
+                    words = [words_of(t) for t in own]
+                    logs = scorer.score(words)
                     best = logs.argmax(axis=1)
                     top = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                     for i in np.flatnonzero(letters):
                         pred[i], score[i] = langs[best[i]], top[i]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                    if margin:
+                        size = np.array([len(b" ".join(w).decode("utf-8", "replace")) + 1 for w in words])
+                        over = np.where(letters, (logs.max(axis=1) + size * np.log(CHARACTERS)) / np.log(10), np.nan)
+                found = [pa.array(pred, pa.string()), pa.array(score), pa.array(over, from_pandas=True)][: len(added)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *added])
 
     return docs.mapInArrow(run, out)
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyloom.llm import chat_windows, language_id, lattice, lattice_lm, mixing, token_counts, vector_search
@@ -70,6 +71,45 @@ def test_language_id_reads_no_label_of_a_prediction(docs):
     assert rows(a) == rows(language_id.predict(changed, langs, weights).select("text", "lang_pred", "score"))
 
 
+def test_language_id_is_the_brute_force(spark):
+    """Training and prediction, word by word and segmentation by segmentation."""
+    data = [(1, "the thing and", "en"), (2, "der Ding und", "de"), (3, "the x", "en"), (4, None, "de"), (5, "12", "en"), (6, "la réo", None), (7, "und the", "fr"), (8, "der der the", "de"), (8, "der der the", "de"), (None, "the the", "en"), (9, "日 the", "en")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    clash = df.withColumns({c: F.lit("x") for c in ("lang_pred", "score", "margin", "words")})
+    own = lattice.pieces(lattice.VOCABULARY)
+    split = lambda t: re.findall(r"[a-z\x80-\U0010ffff]+", lower(t or ""))
+    langs = sorted({x for d, _, x in data if x and crc(d) != 0})
+    counts = np.zeros((own.size, len(langs)))
+    for d, t, x in data:
+        if x and crc(d) != 0:
+            for ids in own.encode([w.lower() for w in split(t)]):
+                np.add.at(counts, (own._of[ids], langs.index(x)), 1)
+    weights = np.log((counts + language_id.SMOOTHING) / (counts + language_id.SMOOTHING).sum(axis=0))
+    want = []
+    for d, t, _ in data:
+        words = split(t)
+        if not any(c.isalpha() for c in t or ""):
+            want.append((d, "und", 0.0, None))
+            continue
+        logs = np.array([sum(all_segmentations(own, lattice.MARK + w.lower(), weights[:, [k]]) for w in words) for k in range(len(langs))])
+        best = int(logs.argmax())
+        by_chance = -sum(len(w) + 1 for w in words) * math.log(27)
+        want.append((d, langs[best], 1 / np.exp(logs - logs[best]).sum(), (logs[best] - by_chance) / math.log(10)))
+    learned = language_id.train(df, fold() != 0)
+    assert learned[0] == langs and np.allclose(learned[1], weights)
+    got = rows(language_id.predict(clash, *learned, margin=True).select("doc_id", "lang_pred", "score", "margin"))
+    for a, b in zip(got, sorted(want, key=repr), strict=True):
+        assert a[:2] == b[:2] and (a[2:] == b[2:] if b[3] is None else a[2:] == pytest.approx(b[2:], rel=1e-9))
+
+
+def test_languages_with_the_most_rows_are_learned(spark):
+    data = [(i, f"word{i} und the", f"l{i % 7}") for i in range(70)] + [(100 + i, "more", "l6") for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    langs, weights = language_id.train(df, F.lit(True), most_langs=3)
+    assert langs == ["l0", "l1", "l6"] and weights.shape[1] == 3
+    assert {r.lang_pred for r in language_id.predict(df, langs, weights).collect()} <= set(langs)
+
+
 def test_language_id_without_training_rows(docs, empty):
     found = language_id.identify(docs, F.lit(False))
     assert {r.lang_pred for r in found.collect()} == {"und"}
@@ -104,8 +144,19 @@ def test_lattice_lm_is_the_brute_force(docs, block):
         assert tuple(r[1:]) == pytest.approx(want[r.doc_id][0], rel=1e-9)
 
 
-def test_lattice_lm_of_an_empty_table(empty):
+def test_lattice_lm_of_an_empty_table(docs, empty):
     assert rows(lattice_lm.log_likelihood(empty, fold() != 1)) == []
+    clash = docs.withColumns({c: F.lit("x") for c in ("learned", "block", "word", "words", "place", "c", "score")})
+    assert rows(lattice_lm.log_likelihood(clash.where("doc_id > 9020"), F.lit(False)).select("doc_id", "n_known", "train_tokens")) == sorted(((r.doc_id, 0, 0) for r in docs.where("doc_id > 9020").collect()), key=repr)
+
+
+def test_words_of_long_texts_are_cut_alike(monkeypatch):
+    monkeypatch.setattr(lattice_lm, "SLICE", 7)
+    text = " Some words,\n\tand anotherverylongone x ".encode() * 5
+    assert [w for part in lattice_lm.words_of(text) for w in part] == text.lower().split()
+    numbers = np.array([65_536, 0, 1, 65_535, 9_999_999, 1, 0], np.int32)
+    assert lattice_lm.unpacked(lattice_lm.packed(numbers)).tolist() == sorted(numbers.tolist())
+    assert len(lattice_lm.unpacked(lattice_lm.packed(numbers[:0]))) == 0
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
@@ -141,6 +192,12 @@ def brute_sections(text, rule):
     return out
 
 
+def test_section_tokens_of_an_empty_table(docs, empty):
+    assert rows(token_counts.section_tokens(empty)) == []
+    clash = docs.withColumns({c: F.lit("x") for c in ("section", "cuts", "n_tokens", "char_start")})
+    assert rows(token_counts.section_tokens(clash)) == rows(token_counts.section_tokens(docs))
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_section_tokens_are_the_brute_force(spark, rule):
     texts = ["", "a\n\n\n  b\n", "\n\n\n\n", "é😀\n\n日本\n\n\n   語 x\n", "one two\n\n\n\nthree\n \n \n"]
@@ -258,10 +315,87 @@ def test_solved_rates_are_exponential_and_exact(spark):
         assert total == pytest.approx(f * len(sizes), rel=1e-8)
 
 
+def brute_rates(sizes, target, cap=2):
+    """The rate of each size of one source, by halving."""
+    mean = sum(sizes) / len(sizes)
+    if not mean:
+        return dict.fromkeys(sizes, 1.0)
+    rate = lambda lam, z: min(cap, math.exp(min(50.0, lam * z)))
+    low, high = -700.0 * mean / min(x for x in sizes if x), math.log(cap) * mean / min(x for x in sizes if x) * 1.001
+    for _ in range(300):
+        lam = (low + high) / 2
+        low, high = (lam, high) if sum(x * rate(lam, x / mean) for x in sizes) < target else (low, lam)
+    return {x: rate(high, x / mean) if x else 1.0 for x in sizes}
+
+
+def lot(doc):
+    """Spark's hash of an id as text and a word, signed."""
+    seed = 42 if doc is None else xxhash.xxh64_intdigest(str(doc), 42)
+    return (xxhash.xxh64_intdigest("mix", seed) ^ 1 << 63) - (1 << 63)
+
+
+def brute_copies(data, rates):
+    """Copies by source: places along (size, cell), and in a cell by lot."""
+    out = defaultdict(list)
+    for source in {s for _, s, _ in data}:
+        own = [(d, n) for d, s, n in data if s == source]
+        count = Counter(n for _, n in own)
+        cells = defaultdict(list)
+        for d, n in own:
+            cells[n, (lot(d) % (1 << 64) >> 20) % math.ceil(count[n] / mixing.CELL)].append((lot(d), d is not None, d or 0, d))
+        upto = 0
+        for (n, _), members in sorted(cells.items()):
+            rate = rates[source, n]
+            part = round((rate - math.floor(rate)) * 1e9) * len(members)
+            extra = (upto + part + 500_000_000) // 10**9 - (upto + 500_000_000) // 10**9
+            upto += part
+            for rank, (*_, d) in enumerate(sorted(members)):
+                out[d].append(math.floor(rate) + (rank < extra))
+    return out
+
+
+@pytest.mark.parametrize("cell", [256, 3])
+def test_mixing_rates_and_copies_are_the_brute_force(spark, docs, monkeypatch, cell):
+    monkeypatch.setattr(mixing, "CELL", cell)
+    ties = spark.createDataFrame([(20_000 + i, "four words of text", "z") for i in range(700)] + [(30_000, None, "nothing"), (30_001, "", "nothing")], "doc_id long, text string, source string")
+    clash = {c: F.lit("x") for c in ("size", "rate", "copies", "taken", "target", "source_size", "lot", "cell", "part", "n", "rank")}
+    own = docs.select("doc_id", "text", "source").union(ties)
+    got = mixing.mix(own.withColumns(clash)).collect()
+    data = [(r.doc_id, r.source, r.size) for r in got]
+    sizes = defaultdict(list)
+    for _, s, n in data:
+        sizes[s].append(n)
+    want = brute_targets({s: sum(x) for s, x in sizes.items()})
+    by_hand = {s: brute_rates(x, want[s]) for s, x in sizes.items()}
+    for r in got:
+        assert r.rate == pytest.approx(by_hand[r.source][r.size], rel=1e-6, abs=1e-6)
+    copies = brute_copies(data, {(r.source, r.size): r.rate for r in got})
+    told = defaultdict(list)
+    for r in got:
+        told[r.doc_id].append(r.copies)
+    assert {d: sorted(x) for d, x in told.items()} == {d: sorted(x) for d, x in copies.items()}
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"), F.when(F.col("id") % 3 > 0, F.lit("k")).alias("k")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that there are several ranges
+    try:
+        got = mixing.running(df, [F.col("x")], {"upto": F.col("x"), "n": F.lit(1)}, ["k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for r in got:
+        below = [s.x for s in got if s.k == r.k and s.x <= r.x]
+        assert (r.upto, r.n) == (sum(below), len(below))
+
+
 def test_mixing_reruns_agree_and_take_empty_tables(docs, empty):
     assert rows(mixing.mix(docs)) == rows(mixing.mix(docs.repartition(2)))
     assert rows(mixing.mix(empty)) == []
-    assert mixing.repeated(docs.where("doc_id < 9000"), mixing.mix(docs.where("doc_id < 9000"))).columns == docs.columns
+    some = docs.where("doc_id < 9000").withColumn("mixed_id", F.lit("x"))
+    told = mixing.mix(some)
+    again = mixing.repeated(some, told)
+    assert again.columns == some.columns
+    assert rows(again.groupBy("doc_id").agg(F.count("*"))) == rows(told.where("copies > 0").select("doc_id", "copies"))
 
 
 def brute_top(data, k=5):
