@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 STOPPED, WAITING, READING, COMPLETE = "STOPPED", "WAITING", "READING", "COMPLETE"
 
@@ -52,3 +53,15 @@ def entered(followed: DataFrame) -> DataFrame:
     moved = followed.where(F.col("before") != F.col("after")).join(last, "run_id").where(F.col("__cleared").isNull() | (F.col("at") > F.col("__cleared")))
     times = moved.groupBy("run_id").agg(*(F.max(F.when(F.col("after") == s, F.col("at"))).alias(s.lower()) for s in (WAITING, READING, COMPLETE)))
     return last.drop("__cleared").join(times, "run_id", "left")
+
+
+def while_in(rows: DataFrame, followed: DataFrame, states: tuple[str, ...] = (WAITING, READING)) -> DataFrame:
+    """Those of *rows* (run_id, at and others) at whose time their run is in one of *states*; an event at that very time has happened.
+
+    Rows and events of a run are put in one order and each row takes the last state before it, so the two are never joined pair by pair.
+    """
+    own = rows.select("run_id", "at", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("after"), F.struct("*").alias("row"))
+    marks = followed.select("run_id", "at", F.lit(0).alias("kind"), "event", "after", F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+    upto = Window.partitionBy("run_id").orderBy("at", "kind", "event").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.coalesce(F.last("after", ignorenulls=True).over(upto), F.lit(STOPPED))
+    return own.union(marks).withColumn("state", state).where(F.col("row").isNotNull() & F.col("state").isin(*states)).select("row.*")

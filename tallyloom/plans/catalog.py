@@ -547,7 +547,7 @@ s AS (SELECT run_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS before, 'S
   UNION ALL SELECT n.run_id, n.r, s.after, CASE WHEN event IN ('stop', 'clear') THEN 'STOPPED' WHEN event = 'force' THEN 'READING' WHEN event = 'start' AND s.after IN ('STOPPED', 'COMPLETE') THEN 'WAITING'
     WHEN event = 'screen' AND s.after = 'WAITING' THEN 'READING' WHEN event = 'quiet' AND s.after = 'READING' THEN 'COMPLETE' ELSE s.after END
   FROM s JOIN n ON n.run_id = s.run_id AND n.r = s.r + 1),
-t AS (SELECT n.run_id, n.r, ms, event, before, after FROM s JOIN n ON n.run_id = s.run_id AND n.r = s.r)"""
+t AS (SELECT n.run_id, n.r, ms, ts, event, before, after FROM s JOIN n ON n.run_id = s.run_id AND n.r = s.r)"""
 
 
 def _control(spark, d):
@@ -571,6 +571,13 @@ def run_entered(spark, d):
     return own.select("run_id", "state", *(F.unix_millis(c).alias(c) for c in ("waiting", "reading", "complete")))
 
 
+@query(_STATES + """ SELECT event_id FROM (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, ts + INTERVAL 1 HOUR AS ts FROM events) f ASOF JOIN t ON f.run_id = t.run_id AND f.ts >= t.ts WHERE after IN ('WAITING', 'READING')""")
+def frames_while_reading(spark, d):
+    """Events, an hour late, as frames of which those are taken that come while their run waits or reads."""
+    late = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("at"), "event_id")
+    return lifecycle.while_in(late, lifecycle.follow(_control(spark, d))).select("event_id")
+
+
 @query("""WITH e AS (SELECT event_id, CAST(floor(value) AS BIGINT) AS entered, event_id % 300 AS frame FROM events)
 SELECT event_id, round(CASE WHEN entered <> 0 THEN entered + 147 * 0.5 END, 4) AS leaves, round(CASE WHEN entered <> 0 THEN entered + 154 * 0.5 END, 4) AS gone, entered <> 0 AND entered + 77 > frame AS there FROM e""")
 def exit_times(spark, d):
