@@ -130,15 +130,15 @@ def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY, most_lan
 def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str = VOCABULARY, margin: bool = False) -> DataFrame:
     """*docs* with lang_pred and score, the posterior of that language under equal priors.
 
-    With *margin* there is also the column margin: by how much, in log10, the whole text is likelier in that language than
-    as random characters, of which each word's and its end have a chance of one in CHARACTERS.  A text of none of the learned languages, or of no language, is far below 0.
+    With *margin* there are also the columns characters, of its words and their ends, and margin: by how much, in log10, the whole text is likelier in that language than
+    as random characters, each with a chance of one in CHARACTERS.  A text of none of the learned languages, or of no language, is far below 0.
 
-    A text that is null, empty or without a letter is "und" with score 0 and a null margin, as is every
+    A text that is null, empty or without a letter is "und" with score 0, with nulls for both, as is every
     text where no language was learned.  Ties go to the first language by code
     points.  Repeated rows are predicted alike; columns of *docs* named as the new ones
     are replaced, other columns pass through and aren't read.
     """
-    new = {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)} | ({"margin": F.lit(None).cast("double")} if margin else {})
+    new = {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)} | ({"margin": F.lit(None).cast("double"), "characters": F.lit(None).cast("long")} if margin else {})
     docs = docs.drop(*new)
     names, added = docs.columns, list(new)
     sent = docs.sparkSession.sparkContext.broadcast((langs, weights))
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str =
                 batch = whole.slice(at, 512)
                 own = texts(batch.column("text").cast(pa.string()))
                 letters = np.array([has_letter(t) for t in own], bool) & bool(langs)
-                pred, score, over = [UNDETERMINED] * len(own), np.zeros(len(own)), np.full(len(own), np.nan)
+                pred, score, over, size = [UNDETERMINED] * len(own), np.zeros(len(own)), np.full(len(own), np.nan), np.zeros(len(own), np.int64)
                 if letters.any():
                     words = [words_of(t) for t in own]
                     logs = scorer.score(words)
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str =
                     if margin:
                         size = np.array([len(b" ".join(w).decode("utf-8", "replace")) + 1 for w in words])
                         over = np.where(letters, (logs.max(axis=1) + size * np.log(CHARACTERS)) / np.log(10), np.nan)
-                found = [pa.array(pred, pa.string()), pa.array(score), pa.array(over, from_pandas=True)][: len(added)]
+                found = [pa.array(pred, pa.string()), pa.array(score), pa.array(over, from_pandas=True), pa.array(size, mask=~letters)][: len(added)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *added])
 
     return docs.mapInArrow(run, out)

@@ -75,7 +75,7 @@ def test_language_id_is_the_brute_force(spark):
     """Training and prediction, word by word and segmentation by segmentation."""
     data = [(1, "the thing and", "en"), (2, "der Ding und", "de"), (3, "the x", "en"), (4, None, "de"), (5, "12", "en"), (6, "la réo", None), (7, "und the", "fr"), (8, "der der the", "de"), (8, "der der the", "de"), (None, "the the", "en"), (9, "日 the", "en")]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
-    clash = df.withColumns({c: F.lit("x") for c in ("lang_pred", "score", "margin", "words")})
+    clash = df.withColumns({c: F.lit("x") for c in ("lang_pred", "score", "margin", "characters", "words")})
     own = lattice.pieces(lattice.VOCABULARY)
     split = lambda t: re.findall(r"[a-z\x80-\U0010ffff]+", lower(t or ""))
     langs = sorted({x for d, _, x in data if x and crc(d) != 0})
