@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat_windows, decontamination, language_id, lattice_lm, line_dedup, mixing, secret_scan, simhash, token_counts, vector_search
+from tallyloom.llm import bpe, chat_windows, decontamination, language_id, lattice_lm, line_dedup, mixing, secret_scan, simhash, token_counts, vector_search
 from tallyloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and the text decoded from them, as digests."""
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -86,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_counts, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_vector_search, op9_near_duplicates, op10_lm_scoring, pipeline)
+    own = (op1_token_counts, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_vector_search, op9_near_duplicates, op10_lm_scoring, op11_bpe, pipeline)
     return {f.__name__: f for f in own}
 
 
