@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tallyloom.llm.common import each_batch, free_name, settle, unsettle
+from tallyloom.llm.common import free_name, settle, unsettle
 
 #: A public vocabulary; its path is a parameter of every operator that uses it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -34,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF = 32_768
 #: Tokens on each side of a join that are encoded anew at first.
 WINDOW = 32
+#: Rows that a task encodes or decodes at once.
+ROWS = 256
 #: Code points before a cut among which there is no apostrophe: the longest that the pattern joins to one.
 AFTER_APOSTROPHE = 3
 
@@ -73,10 +75,10 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ids give nothing, bytes that are no UTF-8 the replacement character."""
-        try:
+        if min(ids, default=0) >= 0 and max(ids, default=0) < len(self.bytes):
             out = b"".join(map(self.bytes.__getitem__, ids))
-        except (IndexError, TypeError):
-            out = b"".join(self.bytes[i] for i in ids if i is not None and 0 <= i < len(self.bytes))
+        else:
+            out = b"".join(self.bytes[i] for i in ids if 0 <= i < len(self.bytes))
         return out.decode("utf-8", "replace")
 
 
@@ -115,9 +117,20 @@ def int_lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *parts]), pa.int32()))
 
 
+def in_parts(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An iterator function for mapInArrow that applies *fn* to so few rows at once that a task holds little besides the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                yield fn(batch.slice(at, ROWS))
+
+    return run
+
+
 def lists_of(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a column of integers, in numpy; a null is an empty one."""
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    """The lists of a column of integers, in numpy; a null list is an empty one, a null in a list -1."""
+    ends, values = column.offsets.to_numpy(), column.values.fill_null(-1).to_numpy()
     return [values[a:b] if known else values[:0] for a, b, known in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
 
 
@@ -140,7 +153,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
         ids = int_lists([own.encode(t or "") for t in batch.column(column).cast(pa.string()).to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
 
-    short = docs.where(F.length(whole) <= 2 * leaf).mapInArrow(each_batch(alone), schema)
+    short = docs.where(F.length(whole) <= 2 * leaf).mapInArrow(in_parts(alone), schema)
     # Written once, so that a row keeps its number.
     number = free_name(docs.columns, "number")
     long = settle(docs.where(F.length(whole) > 2 * leaf).withColumns({number: F.monotonically_increasing_id(), size: F.ceil(F.length(whole) / leaf).cast("int")}))
@@ -160,12 +173,12 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = VO
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), int_lists([joined(own, a, b, window) if len(b) else a for a, b in both])], ["n", "at", "ids"])
 
     kind = "n long, at int, ids array<int>"
-    nodes = settle(cut.repartition("n", "at").mapInArrow(each_batch(leaves), kind))
+    nodes = settle(cut.repartition("n", "at").mapInArrow(in_parts(leaves), kind))
     for _ in range(math.ceil(math.log2(most))):
         half = F.shiftright("at", 1)
         left = nodes.where(F.col("at") % 2 == 0).select("n", half.alias("at"), "ids")
         right = nodes.where(F.col("at") % 2 == 1).select("n", half.alias("at"), F.col("ids").alias("more"))
-        old, nodes = nodes, settle(left.join(right, ["n", "at"], "left").mapInArrow(each_batch(joins), kind))
+        old, nodes = nodes, settle(left.join(right, ["n", "at"], "left").mapInArrow(in_parts(joins), kind))
         unsettle(old)
     met = long.join(nodes.select(F.col("n").alias(number), F.col("ids").alias(out)), number).select(*docs.columns, out)
     return short.union(met)
@@ -181,7 +194,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
-        found = [own.decode(x or []) for x in batch.column(column).to_pylist()]
+        found = [own.decode(x.tolist()) for x in lists_of(batch.column(column))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, out])
 
-    return rows.mapInArrow(each_batch(run), StructType([*rows.schema, StructField(out, StringType(), False)]))
+    return rows.mapInArrow(in_parts(run), StructType([*rows.schema, StructField(out, StringType(), False)]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_windows, decontamination, language_id, lattice_lm, line_dedup, mixing, secret_scan, simhash, token_counts, vector_search
+from tallyloom.llm import bpe, chat_windows, decontamination, language_id, lattice_lm, line_dedup, merkle, mixing, secret_scan, simhash, token_counts, vector_search
 from tallyloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,17 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and way to the root, and whether what a change of n_chars leaves of it still gives that root."""
+    docs = table(spark, sf_dir, "documents")
+    id_ = F.col("doc_id").cast("string")
+    changed = F.col("n_chars") + F.when(F.crc32(id_.cast("binary")) % 7 == 0, 1).otherwise(0)
+    before, after = (merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")) for n in (F.col("n_chars"), changed))
+    found = merkle.manifest(docs.select("doc_id", "lang", before.alias("leaf"), after.alias("given")))
+    again = found.withColumn("folded_root", merkle.folded(F.col("given"), F.col("proof")))
+    return again.select("doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -93,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_counts, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_vector_search, op9_near_duplicates, op10_lm_scoring, op11_bpe, pipeline)
+    own = (op1_token_counts, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_vector_search, op9_near_duplicates, op10_lm_scoring, op11_bpe, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -210,6 +221,34 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: crc32 byte by byte; levels of pairs; a leaf is folded along them.
+_OP13 = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, *, CAST(doc_id AS VARCHAR) AS id,
+         list_reduce([4294967295] || [ascii(c) FOR c IN regexp_extract_all(CAST(doc_id AS VARCHAR), '.')],
+           lambda a, b: list_reduce([xor(a, b)] || [0 FOR i IN range(8)], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM documents),
+h AS (
+  SELECT rid, doc_id, lang, [sha256(array_to_string([CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END FOR x IN [id, source, lang, CAST(n AS VARCHAR), text]], '')) FOR n IN
+         [n_chars, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END]] AS both FROM d),
+a AS (SELECT rid, doc_id, lang, both[1] AS leaf, both[2] AS given, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, both[1]) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+t(level, lang, i, n, hash) AS (
+  SELECT 0, lang, i, n, leaf FROM a
+  UNION ALL SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY level, lang, i // 2, n),
+s AS (SELECT lang, hash, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, i, n, hash) AS (
+  SELECT 0, i, n, hash FROM s UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+f(rid, level, lang, i, n, own, sib) AS (
+  SELECT rid, 0, lang, i, n, given, '' FROM a
+  UNION ALL SELECT rid, f.level + 1, f.lang, f.i // 2, (f.n + 1) // 2, sha256(CASE f.i % 2 WHEN 0 THEN own || coalesce(hash, '') ELSE hash || own END), sib || coalesce(hash, '')
+  FROM f LEFT JOIN t ON t.level = f.level AND t.lang IS NOT DISTINCT FROM f.lang AND t.i = xor(f.i, 1) WHERE f.n > 1),
+g(rid, level, i, n, own, sib) AS (
+  SELECT rid, 0, s.i, s.n, own, sib FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+  UNION ALL SELECT rid, g.level + 1, g.i // 2, (g.n + 1) // 2, sha256(CASE g.i % 2 WHEN 0 THEN own || coalesce(hash, '') ELSE hash || own END), sib || coalesce(hash, '')
+  FROM g LEFT JOIN u ON u.level = g.level AND u.i = xor(g.i, 1) WHERE g.n > 1)
+SELECT doc_id, leaf, s.hash AS subroot, r.hash AS root, sha256(sib) AS proof_sha256, own AS folded_root, own = r.hash AS verified
+FROM a JOIN g ON g.rid = a.rid AND g.n = 1 JOIN s ON s.lang IS NOT DISTINCT FROM a.lang JOIN (SELECT hash FROM u WHERE n = 1) r ON true
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _OP2, "op4_secret_scan": _OP4, "op5_line_dedup": _OP5, "op6_decontamination": _OP6, "op8_vector_search": _OP8}
+    return {"op2_chat_formatting": _OP2, "op4_secret_scan": _OP4, "op5_line_dedup": _OP5, "op6_decontamination": _OP6, "op8_vector_search": _OP8, "op13_merkle_manifest": _OP13}
