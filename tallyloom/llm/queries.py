@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_windows, decontamination, language_id, lattice_lm, line_dedup, merkle, mixing, secret_scan, simhash, token_counts, vector_search
+from tallyloom.llm import bpe, chat_windows, decontamination, language_id, lattice_lm, line_dedup, merkle, mixing, secret_scan, simhash, token_counts, vector_search, whitening
 from tallyloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 strongest components, at unit covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and way to the root, and whether what a change of n_chars leaves of it still gives that root."""
     docs = table(spark, sf_dir, "documents")
@@ -104,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_token_counts, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_vector_search, op9_near_duplicates, op10_lm_scoring, op11_bpe, op13_merkle_manifest, pipeline)
+    own = (op1_token_counts, op2_chat_formatting, op3_language_id, op4_secret_scan, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_vector_search, op9_near_duplicates, op10_lm_scoring, op11_bpe, op12_whitening, op13_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -229,8 +234,8 @@ WITH RECURSIVE d AS (
            lambda a, b: list_reduce([xor(a, b)] || [0 FOR i IN range(8)], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM documents),
 h AS (
   SELECT rid, doc_id, lang, [sha256(array_to_string([CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END FOR x IN [id, source, lang, CAST(n AS VARCHAR), text]], '')) FOR n IN
-         [n_chars, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END]] AS both FROM d),
-a AS (SELECT rid, doc_id, lang, both[1] AS leaf, both[2] AS given, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, both[1]) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+         [n_chars, n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END]] AS two FROM d),
+a AS (SELECT rid, doc_id, lang, two[1] AS leaf, two[2] AS given, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, two[1]) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
 t(level, lang, i, n, hash) AS (
   SELECT 0, lang, i, n, leaf FROM a
   UNION ALL SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY level, lang, i // 2, n),
