@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tallyloom.operators.ranges import running_sum
+
 
 def by(keys: list[str], *order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -120,6 +122,18 @@ def stays(pings: DataFrame, viewer: str, time: str, interval_ms: int) -> DataFra
     return numbered.groupBy(viewer, "stay").agg(F.min(time).alias("since"), (F.max(time) + F.expr(f"INTERVAL {interval_ms / 1000:.3f} SECOND")).alias("until"))
 
 
+def active_changes(pings: DataFrame, viewer: str, time: str, interval_ms: int, ranges: int | None = None) -> DataFrame:
+    """(at, change, active): each time at which stays begin or end, by how many more or fewer viewers there are then, and how many from then on.
+
+    A stay counts from its first ping until the interval after its last is over.  Times at which as many come as leave are rows with a change of 0.
+    Pings without a time or a viewer count nothing.
+    """
+    held = stays(pings.where(F.col(viewer).isNotNull() & F.col(time).isNotNull()), viewer, time, interval_ms)
+    ends = F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("change")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("change"))))
+    changes = held.select(ends.alias("e")).groupBy("e.at").agg(F.sum("e.change").alias("change")).withColumns({"active": F.col("change"), "us": F.unix_micros("at")})
+    return running_sum(changes, "active", "us", ranges).select("at", "change", "active")
+
+
 def active_per_bucket(pings: DataFrame, viewer: str, time: str, interval_ms: int, bucket: str = "1 day") -> DataFrame:
     """(bucket, active): viewers with a stay that touches the stretch of time.
 
