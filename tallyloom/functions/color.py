@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,41 +119,3 @@ def overlay_ratio(df: DataFrame, below: tuple[str, str, str], above: tuple[str,
     """(r, g, b, all): mean of what is above over what is below, by channel and over all; channels of 0 below count nothing."""
     ratios = [F.try_divide(F.col(a), F.col(b)) for a, b in zip(above, below, strict=True)]
     return df.agg(*(F.avg(x).alias(n) for x, n in zip(ratios, "rgb", strict=True)), (sum((F.sum(x) for x in ratios[1:]), F.sum(ratios[0])) / sum((F.count(x) for x in ratios[1:]), F.count(ratios[0]))).alias("all"))
-
-
-def enclosing_colors(df: DataFrame, keys: list[str], p: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
-    """(keys, r, g, b, distance): for each group the colour whose largest redmean distance to the group's colours is least.
-
-    Each different colour counts once, so a group has at most 2^24.  The search takes the best value of one channel after the other until none gets better, from the
-    middle of the group's colours.
-    """
-    distinct = df.select(*keys, *(F.col(c).cast("int").alias(n) for c, n in zip(p, "rgb", strict=True))).distinct()
-    kinds = ", ".join(f"{k} {t}" for k, t in distinct.dtypes[: len(keys)])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[["r", "g", "b"]].to_numpy(np.float64)
-        center = np.round((own.min(axis=0) + own.max(axis=0)) / 2)
-        best = farthest(center[None], own)[0]
-        while True:
-            before = best
-            for channel in range(3):
-                tried = np.repeat(center[None], 256, axis=0)
-                tried[:, channel] = np.arange(256)
-                far = farthest(tried, own)
-                if far.min() < best:
-                    best, center = far.min(), tried[far.argmin()]
-            if best == before:
-                return pd.DataFrame([(*key, *map(int, center), best)], columns=[*keys, "r", "g", "b", "distance"])
-
-    return distinct.groupBy(*keys).applyInPandas(run, f"{kinds}, r int, g int, b int, distance double")
-
-
-def farthest(centers: np.ndarray, colors: np.ndarray, at_once: int = 4096) -> np.ndarray:
-    """The largest redmean distance of each centre to the colours."""
-    out = np.zeros(len(centers))
-    for at in range(0, len(colors), at_once):
-        some = colors[at : at + at_once]
-        mean = (centers[:, None, 0] + some[None, :, 0]) / 2
-        r, g, b = np.moveaxis((centers[:, None] - some[None]) ** 2, 2, 0)
-        np.maximum(out, np.sqrt((2 + mean / 256) * r + 4 * g + (2 + (255 - mean) / 256) * b).max(axis=1), out=out)
-    return out

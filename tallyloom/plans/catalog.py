@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import color, scalars, similarity
+from tallyloom.functions import color, enclosing, scalars, similarity
 from tallyloom.operators import align, images, lifecycle, pages, readings, reconcile, search, tracking, windows
 from tallyloom.plans import api
 from tallyloom.sources import frames, sinks
@@ -295,6 +295,15 @@ def active_viewers(spark, d):
     return own.select(F.date_format("bucket", "yyyy-MM-dd").alias("day"), "active")
 
 
+@query("""WITH n AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS c FROM events),
+g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM n), s AS (SELECT min(ts) AS since, max(ts) + INTERVAL 2 HOUR AS until FROM g GROUP BY user_id, g),
+e AS (SELECT epoch_us(since) AS us, 1 AS change FROM s UNION ALL SELECT epoch_us(until), -1 FROM s), c AS (SELECT us, CAST(sum(change) AS BIGINT) AS change FROM e GROUP BY us)
+SELECT us, change, CAST(sum(change) OVER (ORDER BY us) AS BIGINT) AS active FROM c""")
+def active_changes(spark, d):
+    """Each time at which the number of viewers changes, and that number."""
+    return windows.active_changes(events(spark, d), "user_id", "ts", 7_200_000).select(F.unix_micros("at").alias("us"), "change", "active")
+
+
 @query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 21600000000 THEN 1 ELSE 0 END AS c FROM events),
 s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, CAST(s AS BIGINT) AS session, epoch_us(min(ts)) // 1000 AS started, epoch_us(max(ts)) // 1000 AS ended, count(*) AS n FROM s GROUP BY user_id, s""")
@@ -603,7 +612,17 @@ def overlay_ratio(spark, d):
 @query()
 def enclosing_colors(spark, d):
     own, _ = _rgb(spark, d)
-    return color.enclosing_colors(own.withColumn("part", F.col("vec_id") % 5), ["part"]).withColumn("distance", r4("distance"))
+    return enclosing.enclosing_colors(own.withColumn("part", F.col("vec_id") % 5), ["part"]).withColumn("distance", r4("distance"))
+
+
+@query(f"""{_RGB}, p AS (SELECT DISTINCT vec_id % 5 AS part, r // 16 AS r, g // 16 AS g, b // 16 AS b FROM c),
+m AS (SELECT CAST(x.range AS INTEGER) AS x, CAST(y.range AS INTEGER) AS y, CAST(z.range AS INTEGER) AS z FROM range(16) x, range(16) y, range(16) z),
+d AS (SELECT part, x, y, z, max((1024 + x + r) * (x - r) ** 2 + 2048 * (y - g) ** 2 + (1534 - x - r) * (z - b) ** 2) AS far FROM p, m GROUP BY part, x, y, z)
+SELECT part, x AS r, y AS g, z AS b, round(sqrt(far / 512.0), 4) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY part ORDER BY far, x, y, z) = 1""")
+def enclosing_colors_16(spark, d):
+    """As enclosing_colors, in sixteen steps a channel."""
+    own = _rgb(spark, d)[0].select((F.col("vec_id") % 5).alias("part"), *(F.floor(F.col(c) / 16).alias(c) for c in "rgb"))
+    return enclosing.enclosing_colors(own, ["part"], top=15).withColumn("distance", r4("distance"))
 
 
 @query()
