@@ -1,22 +1,29 @@
 """Reconciling an external ordered list of names with the tracked one, and reports on it.
 
-The walk over both lists is order-dependent, so one run is one task; runs are independent.
+The walk over both lists is order-dependent, so one run is one task, which holds both lists and nothing that grows with the pairs of places; runs are independent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.similarity import warped_distance, warped_pairs
+from tallyloom.functions.similarity import BORDER, NEIGHBOURS, letter_cost, warped_distance, warped_pairs
 from tallyloom.operators.windows import islands
 
 MATCH_AT_MOST = 12
 #: Pairs of names up to which one after the other is faster.
 FEW = 12
+#: Possible matches that are scored at once.
+FEW_PLACES = 4096
+#: Waves, and entities, whose bounds are one product.
+TILE = 512
+#: Places of the waves that are looked at together, but for those beside nameless entities.
+MOST_PLACES = 1 << 20
 SCHEMA = "run_id string, kind string, ext_index long, int_index long, name string, dist long, index_diff long"
 
 
@@ -30,10 +37,58 @@ def nearest(names: Sequence[str], aliases: Sequence[Sequence[str | None]]) -> li
     return out
 
 
-def following(place: tuple[int, int], named: bool) -> list[tuple[int, int]]:
-    """Where the walk goes from a pair of places that don't match: on in one list, or past an entity without a name in both."""
-    e, i = place
-    return [(e + 1, i), (e, i + 1)] if named else [(e + 1, i + 1), (e, i + 1)]
+def cost_table(rows: list[str], columns: list[str]) -> np.ndarray:
+    """letter_cost of each letter of *rows* to each of *columns*."""
+    at = {c: k for k, c in enumerate(columns)}
+    alike: dict[str, list[str]] = {}
+    for c in columns:
+        alike.setdefault(c.lower(), []).append(c)
+    out = np.full((len(rows), len(columns)), BORDER, np.float32)
+    for k, c in enumerate(rows):
+        for other in {*alike.get(c.lower(), ()), *NEIGHBOURS.get(c, "")} & at.keys():
+            out[k, at[other]] = letter_cost(c, other)
+    return out
+
+
+def _counts(name: str, at: dict[str, int]) -> np.ndarray:
+    return np.bincount(np.fromiter((at[c] for c in name), np.int64, len(name)), minlength=len(at)).astype(np.float32)
+
+
+class Lists:
+    """The two lists of a run as the walk needs them: which entities have a name, how many have none before each, and letters for lower bounds.
+
+    Each letter of either name meets at least one of the other, so what its letters cost with the best one each adds up to no more than the distance.  An
+    entity's aliases are bounded together.
+    """
+
+    def __init__(self, external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str | None]]]) -> None:
+        self.external, self.aliases = list(external), [[a for a in own if a is not None] for _, own in tracked]
+        self.named = np.array([name is not None and bool(own) for (name, _), own in zip(tracked, self.aliases, strict=True)], bool)
+        self.nameless = np.concatenate(([0], np.cumsum([name is None for name, _ in tracked]))).astype(np.int64)
+        mine, other = (sorted(set().union(*map(set, names))) for names in (self.external, [a for own in self.aliases for a in own]))
+        at, there = ({c: k for k, c in enumerate(x)} for x in (mine, other))
+        costs = cost_table(mine, other)
+        self.letters, self.back = np.zeros((len(self.external), len(mine)), np.float32), np.full((len(self.external), len(other)), BORDER, np.float32)
+        for e, name in enumerate(self.external):
+            self.letters[e] = _counts(name, at)
+            if name:
+                self.back[e] = costs[[at[c] for c in set(name)]].min(axis=0)
+        self.costs, self.least = np.full((len(self.aliases), len(mine)), BORDER, np.float32), np.zeros((len(self.aliases), len(other)), np.float32)
+        for i, own in enumerate(self.aliases):
+            met = {there[c] for a in own for c in a}
+            if met:
+                self.costs[i] = costs[:, sorted(met)].min(axis=1)
+            if own:
+                self.least[i] = np.minimum.reduce([_counts(a, there) for a in own])
+
+    def unread(self, i: int) -> bool:
+        return bool(self.nameless[i + 1] > self.nameless[i])
+
+    def possible(self, rows: slice, columns: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(external, entity) places of a rectangle that can be a match."""
+        near = (self.letters[rows] @ self.costs[columns].T <= MATCH_AT_MOST) & self.named[columns]
+        e, i = np.nonzero(near & (self.back[rows] @ self.least[columns].T <= MATCH_AT_MOST))
+        return e + rows.start, i + columns.start
 
 
 def told(before: tuple[int, int], after: tuple[int, int], named: bool, external: Sequence[str]) -> list[tuple]:
@@ -46,37 +101,72 @@ def told(before: tuple[int, int], after: tuple[int, int], named: bool, external:
     return [*rows, ("skipped", e, i, external[e], 100, e - i)] if after[0] > e > 0 else rows
 
 
-def next_match(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]], start: tuple[int, int]) -> tuple[list[tuple], tuple[int, int] | None]:
-    """Rows from *start* up to and with the next match, and the pair of places after it; nothing and None where a list ends before.
-
-    Pairs are looked at in waves: all that are so many steps from the start, in the order in which the wave before led to them. Every pair
-    remembers the one that first led to it, so there is one way back from a match, and no more pairs than the lists have.
+def possible_in(lists: Lists, start: tuple[int, int], waves: range) -> np.ndarray:
+    """(wave, entity, minus external index) of places in some waves that can be a match, in the order in which the walk comes to them."""
+    e0, i0 = start
+    free = lists.nameless - lists.nameless[i0]
+    found = [np.empty((0, 3), np.int64)]
+    to_wave = min(len(lists.named), i0 + waves.stop)
+    for at in range(i0, to_wave, TILE):
+        to = min(to_wave, at + TILE)
+        # A column before a wave's number has one place in it; in the column of that number lie all places that the nameless before it leave.
+        low = 0 if to - 1 - i0 >= waves.start else int(free[to - 1]) + waves.start - (to - 1 - i0)
+        high = int(free[to - 1]) + max(0, waves.stop - (at - i0))
+        rows = slice(e0 + low, min(len(lists.external), e0 + high + 1))
+        if rows.start < rows.stop:
+            e, i = lists.possible(rows, slice(at, to))
+            wave = i - i0 + np.maximum(0, e - e0 - free[i])
+            own = (wave >= waves.start) & (wave < waves.stop)
+            found.append(np.stack((wave[own], i[own], -e[own]), axis=1))
+    every = np.concatenate(found)
+    return every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+
+
+def next_match(lists: Lists, start: tuple[int, int]) -> tuple[int, int, int] | None:
+    """(external, entity, distance) of the next match from *start*; None where a list ends before.
+
+    A step goes on by one in one list, past an entity without a name by one in both or in the entities alone.  So a place is as many steps away as there are entities on the way, and as many more as
+    there are external names beyond the nameless among these.  Places are looked at by waves, those of one number of steps, with the first entity and then the
+    last external name first; waves are taken one, then more at a time, and nothing of a wave is kept.
+    """
+    e0, i0 = start
+    rows, columns = len(lists.external) - e0, len(lists.named) - i0
+    first = i0
+    while first < i0 + columns and lists.unread(first):
+        first += 1
+    # The first place that is beyond a list ends the walk.
+    end = (rows, min(first, i0 + rows), -(e0 + rows)) if rows <= columns else (columns, i0 + columns, -(e0 + int(lists.nameless[i0 + columns] - lists.nameless[i0])))
+    wave, width = 0, 1
+    while wave <= end[0]:
+        near = [p for p in map(tuple, possible_in(lists, start, range(wave, wave + width)).tolist()) if p < end]
+        for at in range(0, len(near), FEW_PLACES):
+            some = near[at : at + FEW_PLACES]
+            far = nearest([lists.external[-e] for _, _, e in some], [lists.aliases[i] for _, i, _ in some])
+            for (_, i, e), x in zip(some, far, strict=True):
+                if x is not None and x <= MATCH_AT_MOST:
+                    return -e, i, x
+        wave, width = wave + width, max(1, min(2 * width, TILE, MOST_PLACES // (wave + 1)))
+    return None
+
+
+def way(lists: Lists, start: tuple[int, int], hit: tuple[int, int]) -> list[tuple]:
+    """The rows from *start* to before a match.
+
+    Of several ways the first is taken: external names beyond the nameless entities are passed at the first entity with a name, and of the nameless as many
+    as are needed take an external name with them, the first ones.
     """
-    came: dict[tuple[int, int], tuple[int, int] | None] = {start: None}
-    wave = [start]
-    while True:
-        inside = [p for p in wave if p[0] < len(external) and p[1] < len(tracked)]
-        first_out = next((at for at, p in enumerate(wave) if p[0] >= len(external) or p[1] >= len(tracked)), len(wave))
-        named = [p for p in inside if tracked[p[1]][0] is not None]
-        far = dict(zip(named, nearest([external[e] for e, _ in named], [tracked[i][1] for _, i in named]), strict=True))
-        hit = next((p for p in wave[:first_out] if far.get(p) is not None and far[p] <= MATCH_AT_MOST), None)
-        if hit is not None:
-            way = [hit]
-            while (before := came[way[-1]]) is not None:
-                way.append(before)
-            way.reverse()
-            rows = [row for a, b in zip(way, way[1:], strict=False) for row in told(a, b, tracked[a[1]][0] is not None, external)]
-            e, i = hit
-            return [*rows, ("match", e, i, external[e], far[hit], abs(e - i))], (e + 1, i + 1)
-        if first_out < len(wave):
-            return [], None
-        after = []
-        for place in wave:
-            for to in following(place, tracked[place[1]][0] is not None):
-                if to not in came:
-                    came[to] = place
-                    after.append(to)
-        wave = after
+    (e, i), (last, stop) = start, hit
+    beyond = max(0, last - e - int(lists.nameless[stop] - lists.nameless[i]))
+    rows: list[tuple] = []
+    while (e, i) != (last, stop):
+        named = not lists.unread(i)
+        if named and beyond:
+            beyond, after = beyond - 1, (e + 1, i)
+        else:
+            after = (e + (not named and e < last), i + 1)
+        rows += told((e, i), after, named, lists.external)
+        e, i = after
+    return rows
 
 
 def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str]]]) -> list[tuple]:
@@ -87,10 +177,11 @@ def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[s
     with the closest next one, by steps; what follows the last match is not reported.
     """
     out: list[tuple] = []
-    place: tuple[int, int] | None = (0, 0)
-    while place is not None:
-        rows, place = next_match(external, tracked, place)
-        out += rows
+    lists, place = Lists(external, tracked), (0, 0)
+    while (hit := next_match(lists, place)) is not None:
+        e, i, far = hit
+        out += [*way(lists, place, (e, i)), ("match", e, i, lists.external[e], far, abs(e - i))]
+        place = e + 1, i + 1
     return out
 
 

@@ -86,3 +86,64 @@ def test_distances_to_aliases_are_those_of_each():
     want = [1, 0, None, reconcile.warped_distance("Dora", "Dorothea")]
     assert reconcile.nearest(names[:4], aliases[:4])[1:] == want[1:]
     assert reconcile.nearest(names, aliases) == reconcile.nearest(names[:4], aliases[:4]) * 5
+
+
+def by_waves(external, tracked):
+    """The walk by waves that are held as lists, every place remembering the one that first led to it."""
+    out, start = [], (0, 0)
+    while start is not None:
+        came, wave, found = {start: None}, [start], None
+        while found is None:
+            for e, i in wave:
+                if e >= len(external) or i >= len(tracked):
+                    return out
+                far = reconcile.nearest([external[e]], [tracked[i][1]])[0] if tracked[i][0] is not None else None
+                if far is not None and far <= reconcile.MATCH_AT_MOST:
+                    found = (e, i, far)
+                    break
+            after = []
+            for e, i in wave if found is None else []:
+                for to in ((e + 1, i), (e, i + 1)) if tracked[i][0] is not None else ((e + 1, i + 1), (e, i + 1)):
+                    if to not in came:
+                        came[to] = (e, i)
+                        after.append(to)
+            wave = after
+        e, i, far = found
+        path = [(e, i)]
+        while came[path[-1]] is not None:
+            path.append(came[path[-1]])
+        path.reverse()
+        for a, b in zip(path, path[1:], strict=False):
+            out += reconcile.told(a, b, tracked[a[1]][0] is not None, external)
+        out.append(("match", e, i, external[e], far, abs(e - i)))
+        start = (e + 1, i + 1)
+    return out
+
+
+@pytest.mark.parametrize("unread", [0.0, 0.2, 0.6, 1.0])
+def test_places_and_ways_are_those_of_all_waves(unread):
+    rng = np.random.default_rng(int(unread * 10))
+
+    def name():
+        return "".join(rng.choice(list("abcdefghZ0OÉ"), int(rng.integers(0, 22))))
+
+    hits = 0
+    for _ in range(250):
+        names = [name() for _ in range(int(rng.integers(0, 14)))]
+        own = [(None, []) if rng.random() < unread else (n, [n, *(name() for _ in range(int(rng.integers(0, 3)))), None][int(rng.random() < 0.1) :]) for n in (name() if rng.random() < 0.7 or not names else str(rng.choice(names)) for _ in range(int(rng.integers(0, 14))))]
+        own = [(n, []) if rng.random() < 0.1 else (n, a) for n, a in own]
+        got = reconcile.walk(names, own)
+        assert got == by_waves(names, own)
+        hits += sum(r[0] == "match" for r in got)
+    assert hits > (100 if unread < 1 else -1)
+
+
+def test_bounds_are_not_above_distances():
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("aAbcgqoO0il1|sz"), int(rng.integers(0, 9)))) for _ in range(60)]
+    lists = reconcile.Lists(names, [(n, [n, n[1:]]) for n in reversed(names)])
+    first, second = lists.letters @ lists.costs.T, lists.back @ lists.least.T
+    for e, name in enumerate(names):
+        for i, own in enumerate(lists.aliases):
+            far = min(reconcile.warped_distance(name, a) for a in own)
+            assert first[e, i] <= far and second[e, i] <= far
