@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.similarity import BORDER, NEIGHBOURS, letter_cost, warped_distance, warped_pairs
+from tallyloom.functions.prefix_tree import best_costs, cost_table, letter_counts
+from tallyloom.functions.similarity import warped_distance, warped_pairs
 from tallyloom.operators.windows import islands
 
 MATCH_AT_MOST = 12
@@ -37,23 +38,6 @@ def nearest(names: Sequence[str], aliases: Sequence[Sequence[str | None]]) -> li
     return out
 
 
-def cost_table(rows: list[str], columns: list[str]) -> np.ndarray:
-    """letter_cost of each letter of *rows* to each of *columns*."""
-    at = {c: k for k, c in enumerate(columns)}
-    alike: dict[str, list[str]] = {}
-    for c in columns:
-        alike.setdefault(c.lower(), []).append(c)
-    out = np.full((len(rows), len(columns)), BORDER, np.float32)
-    for k, c in enumerate(rows):
-        for other in {*alike.get(c.lower(), ()), *NEIGHBOURS.get(c, "")} & at.keys():
-            out[k, at[other]] = letter_cost(c, other)
-    return out
-
-
-def _counts(name: str, at: dict[str, int]) -> np.ndarray:
-    return np.bincount(np.fromiter((at[c] for c in name), np.int64, len(name)), minlength=len(at)).astype(np.float32)
-
-
 class Lists:
     """The two lists of a run as the walk needs them: which entities have a name, how many have none before each, and letters for lower bounds.
 
@@ -65,21 +49,16 @@ class Lists:
         self.external, self.aliases = list(external), [[a for a in own if a is not None] for _, own in tracked]
         self.named = np.array([name is not None and bool(own) for (name, _), own in zip(tracked, self.aliases, strict=True)], bool)
         self.nameless = np.concatenate(([0], np.cumsum([name is None for name, _ in tracked]))).astype(np.int64)
-        mine, other = (sorted(set().union(*map(set, names))) for names in (self.external, [a for own in self.aliases for a in own]))
-        at, there = ({c: k for k, c in enumerate(x)} for x in (mine, other))
+        mine, other = (sorted(set().union(*map(set, names)) if names else ()) for names in (self.external, [a for own in self.aliases for a in own]))
         costs = cost_table(mine, other)
-        self.letters, self.back = np.zeros((len(self.external), len(mine)), np.float32), np.full((len(self.external), len(other)), BORDER, np.float32)
-        for e, name in enumerate(self.external):
-            self.letters[e] = _counts(name, at)
-            if name:
-                self.back[e] = costs[[at[c] for c in set(name)]].min(axis=0)
-        self.costs, self.least = np.full((len(self.aliases), len(mine)), BORDER, np.float32), np.zeros((len(self.aliases), len(other)), np.float32)
-        for i, own in enumerate(self.aliases):
-            met = {there[c] for a in own for c in a}
-            if met:
-                self.costs[i] = costs[:, sorted(met)].min(axis=1)
-            if own:
-                self.least[i] = np.minimum.reduce([_counts(a, there) for a in own])
+        self.letters = letter_counts(self.external, mine)
+        self.back = best_costs(self.letters, costs)
+        # All aliases of an entity as one name, and what each of them has at least.
+        together = ["".join(own) for own in self.aliases]
+        self.costs = best_costs(letter_counts(together, other), costs.T.copy())
+        first = np.cumsum([0, *map(len, self.aliases)])
+        each = letter_counts([a for own in self.aliases for a in own], other)
+        self.least = np.array([each[a:b].min(axis=0) if b > a else np.zeros(len(other)) for a, b in zip(first, first[1:], strict=False)], np.float32).reshape(len(self.aliases), len(other))
 
     def unread(self, i: int) -> bool:
         return bool(self.nameless[i + 1] > self.nameless[i])
@@ -131,6 +110,11 @@ def next_match(lists: Lists, start: tuple[int, int]) -> tuple[int, int, int] | N
     """
     e0, i0 = start
     rows, columns = len(lists.external) - e0, len(lists.named) - i0
+    if rows > 0 and columns > 0 and not lists.unread(i0):
+        # Mostly the next names match at once.
+        far = nearest([lists.external[e0]], [lists.aliases[i0]])[0]
+        if far is not None and far <= MATCH_AT_MOST:
+            return e0, i0, far
     first = i0
     while first < i0 + columns and lists.unread(first):
         first += 1

@@ -72,6 +72,16 @@ def fuzzy_find_top5(spark, d):
     return search.find(entities, TERMS).select("term", "rank", "dist", "entity", "match_status")
 
 
+@query(_DISTANCES.replace(f"SELECT unnest({TERMS!r}) AS term", "SELECT DISTINCT lower(n_name) AS term FROM nation") + """
+, best AS (SELECT term, p_partkey AS entity, min(dist) AS dist FROM dist JOIN part ON p_name = alias WHERE dist < 15 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY term ORDER BY dist, entity) AS INTEGER) AS rank FROM best)
+SELECT term, rank, CAST(dist AS BIGINT) AS dist, entity FROM r WHERE rank <= 5""")
+def fuzzy_find_all(spark, d):
+    """A table of terms: the names of nations among those of parts."""
+    entities = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.array("p_name").alias("aliases"))
+    return search.find_all(entities, table(spark, d, "nation").select(F.lower("n_name").alias("term")), threshold=15).select("term", "rank", "dist", "entity")
+
+
 @query(_DISTANCES + """
 , r AS (SELECT term, p_partkey AS entity, alias, dist, CAST(row_number() OVER (PARTITION BY term ORDER BY dist, p_partkey, alias) AS INTEGER) AS rank
         FROM dist JOIN part ON p_name = alias WHERE dist < 12)
