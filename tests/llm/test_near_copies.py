@@ -74,3 +74,42 @@ def test_null_ids_and_repeats_stay(docs, empty):
     assert near_copies.keep_one(clash).columns == clash.columns
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 9005").count() == 2
+
+
+def test_copies_that_are_not_similar_make_no_pairs_of_all(spark, monkeypatch):
+    """Every row shares keys with half of all others, and none is similar to another: pairs to verify grow with the rows, and all stay."""
+    rng = np.random.default_rng(2)
+    counts, verified = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: counts.append(pairs.count()) or verified(pairs, sets))
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    for n in (150, 600):
+        df = spark.createDataFrame([(i, " ".join(edited(base, 10, rng))) for i in range(n)], "doc_id long, text string").repartition(3)
+        assert near_copies.keep_one(df).count() == n
+    assert len(counts) == 2 and all(c <= near_copies.BANDS * n for c, n in zip(counts, (150, 600), strict=True)) and counts[1] < 6 * counts[0]
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+    data = [(i, " ".join(edited(base, 1 + i % 6, rng))) for i in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    rows_ = near_copies.signatures(df).select("v").distinct().withColumns({"key": F.lit(1), "label": F.col("v")})
+    met = {frozenset((a.v, b.v)) for group in _by_group(near_copies.dealt(rows_, 7)) for a in group for b in group if a.v < b.v and (a.side != b.side or a.part.a == a.part.b)}
+    assert len(met) == len({r.v for r in rows_.collect()}) * (rows_.count() - 1) // 2
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == kept_by_brute(data)
+
+
+def _by_group(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r.key, r.part), []).append(r)
+    return out.values()
+
+
+def test_overlaps_are_those_of_sets(monkeypatch):
+    monkeypatch.setattr(near_copies, "COLUMNS", 5)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in (0, 1, 5, 30, 30, 50)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[2:]] for a in sets[:4]]
+    assert near_copies.overlaps(sets[:4], sets[2:]).tolist() == want
