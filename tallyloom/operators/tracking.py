@@ -54,6 +54,8 @@ class Run:
     """State of a run."""
 
     entities: list[Entity] = field(default_factory=list)
+    #: The number of the first entity that is held; those before it have left.
+    base: int = 0
     first: int = 0
     known: bool = False
     quiet: int = 0
@@ -62,9 +64,9 @@ class Run:
 
     def expect(self, frame: int) -> list[Entity]:
         """The entities of a full screen from the cursor, new ones where there are none yet."""
-        while len(self.entities) < self.first + SCREEN:
+        while self.base + len(self.entities) < self.first + SCREEN:
             self.entities.append(Entity(entered=frame if self.known else None))
-        return self.entities[self.first : self.first + SCREEN]
+        return self.entities[self.first - self.base : self.first - self.base + SCREEN]
 
 
 # The letter of a visible slot by how its length was found.
@@ -144,7 +146,7 @@ def step(run: Run, frame: int, slots: Iterable[tuple[int, bool, int | None, bool
         if not good:
             offset, skip = fallback(offset, visible)
     if offset is not None and 0 < offset <= MOST_SHIFT:
-        for e in run.entities[run.first : run.first + offset]:
+        for e in run.entities[run.first - run.base : run.first - run.base + offset]:
             e.left = frame
         run.first += offset
         expected = run.expect(frame)

@@ -63,11 +63,28 @@ def test_a_run_that_is_over_keeps_no_entities(spark, tmp_path):
     got = all_rows(spark, tracker.track_stream(stream), "over", tmp_path / "ck")
     want = tracking.track(spark.createDataFrame([*seen, *quiet, *late], schema)).collect()
     assert sorted(got, key=lambda r: r.frame_id) == sorted(want, key=lambda r: r.frame_id) and max(r.frame_id for r in got) == 152
-    import json
+    assert tracker.tracked_entities(spark, str(tmp_path / "ck")).count() == 0
+    run = spark.read.format("statestore").option("stateVarName", "run").load(str(tmp_path / "ck")).select("value.*").first()
+    assert run.status == "COMPLETE"
 
-    held = spark.read.format("statestore").load(str(tmp_path / "ck")).select("value.*").first()
-    state = json.loads(next(iter(held.asDict(recursive=True)["groupState"].values())))
-    assert state["status"] == "COMPLETE" and state["entities"] == []
+
+def moving(frames_):
+    """A run whose screen of twenty moves on by one every frame; every length is another."""
+    return [("r", f, v, True, -(50 + (f + v) * 7 % 240), True, "UNSUB_WHITE" if (f + v) % 3 else "SUB_BLUE") for f in frames_ for v in range(20)]
+
+
+def test_what_a_batch_writes_does_not_grow_with_what_has_left(spark, tmp_path):
+    schema = "run_id string, frame_id long, vidx int, appear boolean, length int, len_checked boolean, color string"
+    parts = [moving(range(i * 8, i * 8 + 8)) for i in range(8)]
+    got = all_rows(spark, tracker.track_stream(source(spark, tmp_path / "in", parts, schema)), "moving", tmp_path / "ck")
+    want = tracking.track(spark.createDataFrame([r for p in parts for r in p], schema)).collect()
+    assert sorted(got, key=lambda r: r.frame_id) == sorted(want, key=lambda r: r.frame_id) and want[-1].first_index > 40
+    held = tracker.tracked_entities(spark, str(tmp_path / "ck"))
+    assert held.count() == max(r.first_index for r in want) + tracking.SCREEN and held.where("left is not null").count() == max(r.first_index for r in want)
+    # What a batch changed of the entities: the same number in the third and in the last.
+    rows = {b: {r.idx: tuple(r) for r in tracker.tracked_entities(spark, str(tmp_path / "ck"), b).collect()} for b in (1, 2, 6, 7)}
+    written = [len(set(rows[b].values()) - set(rows[b - 1].values())) for b in (2, 7)]
+    assert written[0] == written[1] < 40
 
 
 CONTROL = [("a", 1, "screen"), ("a", 2, "start"), ("a", 3, "start"), ("a", 4, "screen"), ("a", 5, "other"), ("a", 6, "quiet"), ("a", 7, "force"), ("a", 8, "clear"), ("b", 1, "force"), ("b", 2, "stop"), ("b", 3, None), ("b", 4, "start")]

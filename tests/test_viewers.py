@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import windows
@@ -11,13 +10,6 @@ from tallyloom.streaming import viewers
 SCHEMA = "viewer string, us long"
 
 
-@pytest.fixture(scope="module", autouse=True)
-def rocks(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
 def timed(df):
     return df.withColumn("ts", F.timestamp_micros("us"))
 
