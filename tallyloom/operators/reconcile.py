@@ -9,8 +9,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyloom.functions.prefix_tree import best_costs, cost_table, letter_counts
 from tallyloom.functions.similarity import warped_distance, warped_pairs
@@ -194,3 +195,25 @@ def report(found: DataFrame) -> DataFrame:
 def offset_stretches(found: DataFrame) -> DataFrame:
     """(run_id, index_diff, first, last, n): consecutive external indexes of one difference."""
     return islands(found.where("index_diff is not null"), ["run_id"], ["ext_index"], "index_diff")
+
+
+def score_report(found: DataFrame, keys: list[str], score: str, sets: list[list[str]]) -> DataFrame:
+    """(keys, n, low, median, high, mean) of a score, for each of several groupings at once; a key that a grouping leaves out is null.
+
+    Everything comes from the histogram, which is small: rows are counted by keys and score once.  median is exact, the mean of the two middle scores where their number is even.
+    low and high are the exact quartiles, each the least score that as many scores are not above.  Rows without a score count nothing; a null key is a value like any other.
+    """
+    counts = found.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("__score")).agg(F.count("*").alias("__n"))
+    grouped = counts.groupingSets([[*(F.col(k) for k in own), F.col("__score")] for own in sets], *keys, "__score").agg(F.sum("__n").alias("__n"), F.grouping_id(*keys, "__score").alias("__set"))
+    own = ["__set", *keys]
+    w = Window.partitionBy(*own)
+    upto = grouped.withColumns({"__all": F.sum("__n").over(w), "__upto": F.sum("__n").over(w.orderBy("__score").rowsBetween(Window.unboundedPreceding, 0))})
+
+    def at(place) -> Column:
+        """The score of a place, counted from 1."""
+        return F.min(F.when(F.col("__upto") >= place, F.col("__score")))
+
+    n = F.col("__all")
+    middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    told = upto.groupBy(*own).agg(F.sum("__n").alias("n"), at(F.ceil(n / 4)).alias("low"), middle.alias("median"), at(F.ceil(n * 3 / 4)).alias("high"), (F.sum(F.col("__score") * F.col("__n")) / F.sum("__n")).alias("mean"))
+    return told.drop("__set")

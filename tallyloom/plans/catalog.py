@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import color, enclosing, scalars, similarity
-from tallyloom.operators import align, images, lifecycle, pages, readings, reconcile, search, tracking, windows
+from tallyloom.operators import align, images, intervals, lifecycle, pages, readings, reconcile, search, tracking, windows
 from tallyloom.plans import api
 from tallyloom.sources import frames, sinks
 
@@ -641,6 +641,38 @@ def principal_boxes(spark, d):
     return images.principal_boxes(own.withColumn("part", F.col("vec_id") % 5), ["part"], ("r", "g", "b"))
 
 
+_STAYS = """WITH n AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) > lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) + 7200000000 THEN 1 ELSE 0 END AS c FROM events),
+g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM n), s AS (SELECT user_id, min(us) AS since, max(us) + 7200000000 AS until FROM g GROUP BY user_id, g)"""
+
+
+@query(_STAYS + """ SELECT event_id, s.user_id AS viewer FROM events JOIN s ON epoch_us(ts) >= since AND epoch_us(ts) < until WHERE event_type = 'purchase'""")
+def viewers_at_purchases(spark, d):
+    """Everyone who was there at each purchase."""
+    own = events(spark, d)
+    held = windows.stays(own, "user_id", "ts", 7_200_000).select(F.col("user_id").alias("viewer"), *(F.unix_micros(c).alias(c) for c in ("since", "until")))
+    bought = own.where("event_type = 'purchase'").select("event_id", F.unix_micros("ts").alias("us"))
+    return intervals.points_in(bought, held, [], "us", "since", "until").select("event_id", "viewer")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, CAST(floor(value) AS BIGINT) % 400 AS frame FROM events),
+i AS (SELECT run_id, event_id AS entity, frame - 77 AS entered, CASE WHEN event_id % 11 <> 0 THEN frame + event_id % 50 END AS left_at FROM e)
+SELECT e.run_id, e.event_id AS at, entity FROM e JOIN i ON e.run_id = i.run_id AND frame >= entered AND (left_at IS NULL OR frame < left_at)""")
+def entities_on_screen(spark, d):
+    """Each event as a frame and as an entity that comes 77 frames before and leaves some frames after, or stays."""
+    own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), "event_id", (F.floor("value") % 400).alias("frame"))
+    there = own.select("run_id", F.col("event_id").alias("entity"), (F.col("frame") - 77).alias("entered"), F.when(F.col("event_id") % 11 != 0, F.col("frame") + F.col("event_id") % 50).alias("left"))
+    return intervals.points_in(own.withColumnRenamed("event_id", "at"), there, ["run_id"], "frame", "entered", "left").select("run_id", "at", "entity")
+
+
+@query("""SELECT l_returnflag AS run, l_linestatus AS kind, count(*) AS n, CAST(quantile_disc(l_quantity, 0.25) AS DOUBLE) AS low, CAST(median(l_quantity) AS DOUBLE) AS median, CAST(quantile_disc(l_quantity, 0.75) AS DOUBLE) AS high,
+round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), (l_linestatus), ())""")
+def score_report(spark, d):
+    """Scores by run and kind, by each of them, and all together, with medians and quartiles."""
+    own = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_linestatus").alias("kind"), F.col("l_quantity").cast("double").alias("score"))
+    told = reconcile.score_report(own, ["run", "kind"], "score", [["run", "kind"], ["run"], ["kind"], []])
+    return told.withColumn("mean", F.round("mean", 6))
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS users, count(*) FILTER (event_type <> 'error') AS known, count(*) FILTER (event_type = 'error' OR value < 0.5) AS unverified, CAST(sum(floor(value) % 3) AS BIGINT) AS images,
 string_agg(CASE WHEN event_type = 'error' THEN '0' ELSE '1' END, '' ORDER BY event_id) AS has_name FROM events GROUP BY user_id""")
 def reading_status(spark, d):
