@@ -439,17 +439,3 @@ def read_slots(jobs: DataFrame, recognise: Callable[[bytes], list[tuple[str, flo
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return jobs.select("run_id", "user_idx", "frame_id", "slot", "length", "width", "height", "channels", "data").mapInPandas(run, schema)
-
-
-# Small digits as rows of three pixels.
-DIGITS = ("111 101 101 111", "011 001 001 001", "111 001 110 111", "111 011 001 111", "101 101 111 001", "111 110 001 111", "111 100 111 111", "111 001 001 001", "111 111 101 111", "111 111 001 111")
-
-
-def draw_number(image: np.ndarray, x: int, y: int, number: int, color: tuple[int, int, int] = (255, 0, 0)) -> np.ndarray:
-    """A copy of the raster with a whole number of zero or more written at (x, y), four pixels a digit, as far as it lies inside."""
-    shapes = [np.array([[c == "1" for c in line] for line in DIGITS[int(d)].split()]) for d in str(number)]
-    mask = np.concatenate([np.pad(s, ((0, 0), (0, 1))) for s in shapes], axis=1)
-    out = image.copy()
-    part = mask[: max(0, image.shape[0] - y), : max(0, image.shape[1] - x)]
-    out[y : y + part.shape[0], x : x + part.shape[1], :3][part] = color
-    return out

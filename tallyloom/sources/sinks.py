@@ -13,7 +13,7 @@ def entity_json(name: Column, length: Column, index: Column, confidence: Column,
 
 
 def _millis(column: str, unknown: str) -> Column:
-    return F.when(F.col(column).isNotNull(), F.format_string("%.2fms", F.col(column).cast("double"))).otherwise(F.lit(unknown))
+    return F.when(F.col(column).isNotNull(), F.format_string("%.2f ms", F.col(column).cast("double"))).otherwise(F.lit(unknown))
 
 
 def log_text(log: DataFrame, timing: DataFrame | None = None) -> DataFrame:
@@ -21,10 +21,10 @@ def log_text(log: DataFrame, timing: DataFrame | None = None) -> DataFrame:
 
     *timing*: (run_id, frame_id, process), milliseconds; with it each block ends with the frame's time.
     """
-    parts = [F.concat(F.lit("V: "), "shown"), F.concat(F.lit("P: "), "expected"), F.concat(F.lit("Obj: "), F.to_json(F.struct("frame_id", "offset", "good", "by", "first_index")))]
+    parts = [F.concat(F.lit("seen     "), "shown"), F.concat(F.lit("expected "), "expected"), F.concat(F.lit("found    "), F.to_json(F.struct("frame_id", "offset", "good", "by", "first_index")))]
     if timing is not None:
         log = log.join(timing.select("run_id", "frame_id", "process"), ["run_id", "frame_id"], "left")
-        parts.append(F.format_string("------ end frame: %d | %s -------", "frame_id", _millis("process", "?")))
+        parts.append(F.format_string("frame %d took %s", "frame_id", _millis("process", "?")))
     return log.select("run_id", "frame_id", F.concat_ws("\n", *parts).alias("value"))
 
 
@@ -48,9 +48,9 @@ def write_frames(frames: DataFrame, path: str, checkpoint: str):
 
 def timing_means(checks: DataFrame) -> DataFrame:
     """(run_id, value): the mean time of each kind of check as text.  *checks*: (run_id, kind, ms), kind "color", "quick" or "length"."""
-    named = {"color": "Color Avg", "quick": "Quick length Avg", "length": "Length Avg"}
+    named = {"color": "colour", "quick": "quick look", "length": "length"}
     means = checks.groupBy("run_id").agg(*(F.avg(F.when(F.col("kind") == k, F.col("ms"))).alias(k) for k in named))
-    lines = [F.concat(F.lit(f"{text}: "), _millis(k, "-")) for k, text in named.items()]
+    lines = [F.concat(F.lit(f"mean of a {text} check: "), _millis(k, "-")) for k, text in named.items()]
     return means.select("run_id", F.concat_ws("\n", *lines).alias("value"))
 
 

@@ -56,6 +56,6 @@ def test_texts_of_a_run(spark):
     log = spark.createDataFrame([("r", 1, "A", "*", 2, True, "length", 0)], "run_id string, frame_id long, shown string, expected string, offset int, good boolean, by string, first_index int")
     timing = spark.createDataFrame([("r", 1, 12.345)], "run_id string, frame_id long, process double")
     text = sinks.log_text(log, timing).first().value.split("\n")
-    assert text[:2] == ["V: A", "P: *"] and text[3] == "------ end frame: 1 | 12.35ms -------"
+    assert text[:2] == ["seen     A", "expected *"] and text[3] == "frame 1 took 12.35 ms"
     checks = spark.createDataFrame([("r", "color", 1.0), ("r", "color", 2.0), ("r", "quick", 0.5)], "run_id string, kind string, ms double")
-    assert sinks.timing_means(checks).first().value == "Color Avg: 1.50ms\nQuick length Avg: 0.50ms\nLength Avg: -"
+    assert sinks.timing_means(checks).first().value == "mean of a colour check: 1.50 ms\nmean of a quick look check: 0.50 ms\nmean of a length check: -"
