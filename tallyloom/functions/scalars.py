@@ -40,17 +40,21 @@ def scaled_box(x: Column, y: Column, w: Column, h: Column, width: Column, height
 
 
 def duration_text(ms: Column, many: bool = True, decimals: int = 2) -> Column:
-    """Milliseconds in readable units: all of them from the largest, without zeros, or one with decimals."""
-    value, text, done = ms.cast("double"), F.lit(""), F.lit(None).cast("string")
-    for i, (unit, size) in enumerate(UNITS):
-        last = i == len(UNITS) - 1
-        stop = F.lit(True) if last else value < size
-        own = F.concat(F.floor(value).cast("long").cast("string"), F.lit(unit), text) if many else F.concat(F.format_string(f"%.{decimals}f", value), F.lit(unit))
-        done = F.when(done.isNotNull(), done).when(stop, own)
+    """Milliseconds in readable units: all of them from the largest, without zeros, or one with decimals.
+
+    Beyond seven of the last unit that unit is told twice: how many sevens, and at the end what is left of them.
+    """
+    value, text, done, unit = ms.cast("double"), F.lit(""), F.lit(None).cast("string"), ""
+
+    def told(value: Column, unit: str, text: Column) -> Column:
+        return F.concat(F.floor(value).cast("long").cast("string"), F.lit(unit), text) if many else F.concat(F.format_string(f"%.{decimals}f", value), F.lit(unit))
+
+    for unit, size in UNITS:
+        done = F.when(done.isNotNull(), done).when(value < size, told(value, unit, text))
         whole = F.floor(value % size).cast("long")
         text = F.concat(text, F.when(whole == 0, F.lit("")).otherwise(F.concat(F.lit(" "), whole.cast("string"), F.lit(unit))))
         value = value / size
-    return done
+    return F.coalesce(done, told(value, unit, text))
 
 
 def half_open(end: int, start: int = 0, step: int = 1) -> Column:

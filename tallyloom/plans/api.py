@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyloom.operators import readings, reconcile, search, windows
 
@@ -51,9 +52,11 @@ def accuracy_report(external: DataFrame, tracked: DataFrame) -> tuple[DataFrame,
 
 
 def last_lengths(entities: DataFrame, n: int = 24) -> DataFrame:
-    """(run_id, lengths): of the last n entities, in order."""
-    own = F.array_sort(F.collect_list(F.struct("user_idx", "length")))
-    return entities.groupBy("run_id").agg(own.alias("a")).select("run_id", F.transform(F.slice("a", F.greatest(F.size("a") - n + 1, F.lit(1)), F.lit(n)), lambda x: x["length"]).alias("lengths"))
+    """(run_id, lengths): of the last n entities, in order.  Only these are put together, so a run of any length is n rows in its task."""
+    last = Window.partitionBy("run_id").orderBy(F.desc("user_idx"))
+    kept = entities.select("run_id", "user_idx", "length", F.row_number().over(last).alias("place")).where(F.col("place") <= n)
+    own = F.array_sort(F.collect_list(F.struct(-F.col("place"), "length")))
+    return kept.groupBy("run_id").agg(F.transform(own, lambda x: x["length"]).alias("lengths"))
 
 
 #: Letters that a search must have.

@@ -542,6 +542,28 @@ def duration_texts(spark, d):
     return events(spark, d).select("event_id", scalars.duration_text(F.col("ms") % 100_000).alias("text"))
 
 
+_PART = "CASE WHEN CAST(trunc({0}) AS BIGINT) % {1} = 0 THEN '' ELSE ' ' || CAST(trunc({0}) AS BIGINT) % {1} || '{2}' END"
+_LADDER = [_PART.format(*x) for x in (("v", 1000, "ms"), ("s", 60, "s"), ("m", 60, "m"), ("h", 60, "h"), ("d", 24, "d"), ("w", 7, "w"))]
+
+
+@query(f"""WITH a AS (SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) % CAST(10 ** (4 + event_id % 9) AS BIGINT) AS v FROM events),
+x AS (SELECT *, v / 1000.0::DOUBLE AS s, v / 1000.0::DOUBLE / 60 AS m, v / 1000.0::DOUBLE / 60 / 60 AS h, v / 1000.0::DOUBLE / 60 / 60 / 60 AS d, v / 1000.0::DOUBLE / 60 / 60 / 60 / 24 AS w FROM a)
+SELECT event_id, CASE WHEN v < 1000 THEN v || 'ms' WHEN s < 60 THEN CAST(trunc(s) AS BIGINT) || 's' || {_LADDER[0]} WHEN m < 60 THEN CAST(trunc(m) AS BIGINT) || 'm' || {_LADDER[0]} || {_LADDER[1]}
+WHEN h < 60 THEN CAST(trunc(h) AS BIGINT) || 'h' || {" || ".join(_LADDER[:3])} WHEN d < 24 THEN CAST(trunc(d) AS BIGINT) || 'd' || {" || ".join(_LADDER[:4])}
+WHEN w < 7 THEN CAST(trunc(w) AS BIGINT) || 'w' || {" || ".join(_LADDER[:5])} ELSE CAST(trunc(w / 7) AS BIGINT) || 'w' || {" || ".join(_LADDER)} END AS text FROM x""")
+def duration_ladder(spark, d):
+    """Durations of every unit: ten seconds at most for one event in nine, and ten times as much for each next."""
+    v = F.col("ms") % F.pow(F.lit(10), 4 + F.col("event_id") % 9).cast("long")
+    return events(spark, d).select("event_id", scalars.duration_text(v).alias("text"))
+
+
+@query("""SELECT run_id, array_to_string(list(length ORDER BY event_id), ',') AS lengths FROM (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, CAST(floor(value) AS BIGINT) AS length, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+WHERE r <= 24 GROUP BY run_id""")
+def last_lengths(spark, d):
+    own = events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("user_idx"), F.floor("value").alias("length"))
+    return api.last_lengths(own).withColumn("lengths", F.array_join(F.col("lengths").cast("array<string>"), ","))
+
+
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS down, floor(value) AS wait, floor(value * 3) AS work FROM events),
 t AS (SELECT user_id, event_id, CAST(work - wait AS BIGINT) AS process, CAST(work AS BIGINT) AS whole FROM e)
 SELECT *, round(avg(process) OVER w, 6) AS process_mean, round(stddev_samp(process) OVER w, 6) AS process_sd, round(avg(whole) OVER (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING), 6) AS whole_mean
