@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in ``[\x20\x09-\x0D]``.
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: Rows of a narrow table that is broadcast at most: some tens of megabytes.
+MOST_SENT = 2_000_000
+
 #: Maps A-Z to a-z and leaves all other bytes, so UTF-8 stays valid.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -50,6 +53,11 @@ def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """*df*, a settled table of one or two narrow columns, to be broadcast if it has no more than MOST_SENT rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def unsettle(df: DataFrame) -> None:
     """Delete the files of a table that :func:`settle` made and nothing needs any more."""
     spark = df.sparkSession
