@@ -7,21 +7,23 @@ likelihood doesn't hang on one segmentation.  Pieces never span words, so a text
 log likelihood is the sum over its words, and each distinct word is run once by a
 task as far as a bounded memory of words reaches.
 
-What goes to the driver and out to the executors is the table of pieces by language: at most
-the vocabulary times ``most_langs``, whatever the size of the input and whatever its labels hold.
+What goes to the driver and out to the executors is the table of pieces by language, a block of languages at a time: the
+vocabulary times ``block``, whatever the size of the input and whatever its labels hold.  Further blocks are further steps over the
+same rows, which carry the best language so far and the sum over all.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import each_batch, texts
+from tallyloom.llm.common import each_batch, free_name, settle, texts
 from tallyloom.llm.lattice import VOCABULARY, log_weights, pieces
 
 #: ASCII letters in lower case and the bytes of all other characters stay; the rest parts words.
@@ -29,8 +31,8 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 #: Words that a task remembers the scores of.
 KNOWN = 300_000
 SMOOTHING = 0.1
-#: Languages that are learned at most.
-MOST_LANGS = 256
+#: Languages whose pieces are sent out together.
+BLOCK = 256
 UNDETERMINED = "und"
 #: Letters that a random text is made of, and the end of a word.
 CHARACTERS = 27
@@ -92,10 +94,33 @@ class Scorer:
         return np.array([self.scores[[at[w] for w in words]].sum(axis=0) if words else np.zeros(self.weights.shape[1]) for words in documents])
 
 
-def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray]:
+@dataclass
+class Blocks:
+    """Counts of pieces by language, as a table (lang, piece, n), of more languages than are sent out together."""
+
+    counts: DataFrame
+    langs: list[str]
+    size: int
+    block: int
+
+    def __iter__(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        for at in range(0, len(self.langs), self.block):
+            own = self.langs[at : at + self.block]
+            yield own, _weights(self.counts.where(F.col("lang").isin(own)), own, self.size)
+
+
+def _weights(counts: DataFrame, langs: list[str], size: int) -> np.ndarray:
+    """Log piece probabilities of some languages."""
+    rows, place = counts.toArrow(), {lang: i for i, lang in enumerate(langs)}
+    table = np.zeros((size, len(langs)))
+    table[rows.column("piece").to_numpy(), [place[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
+    return log_weights(table, SMOOTHING)
+
+
+def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY, block: int = BLOCK) -> tuple[list[str], np.ndarray | Blocks]:
     """(languages, log piece probabilities by language) from the rows with *learn_from* and a lang.
 
-    Of more than *most_langs* values of lang those with the most rows are learned, the first by code points of equals.
+    Every value of lang is learned.  Of more than *block* values the counts are a written table, and the probabilities come from it a block at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +142,15 @@ def train(docs: DataFrame, learn_from: Column, model: str = VOCABULARY, most_lan
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["lang", "piece", "n"])
 
     labelled = docs.where(learn_from & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    named = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
-    langs = sorted(r.lang for r in named.collect())
-    counts = np.zeros((pieces(model).size, len(langs)))
-    if langs:
-        rows = labelled.where(F.col("lang").isin(langs)).mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
-        place = {lang: i for i, lang in enumerate(langs)}
-        counts[rows.column("piece").to_numpy(), [place[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
-    return langs, log_weights(counts, SMOOTHING)
+    langs = sorted(r.lang for r in labelled.select("lang").distinct().toLocalIterator())
+    size = pieces(model).size
+    if not langs:
+        return langs, log_weights(np.zeros((size, 0)), SMOOTHING)
+    counts = labelled.mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return langs, _weights(counts, langs, size) if len(langs) <= block else Blocks(settle(counts), langs, size, block)
 
 
-def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str = VOCABULARY, margin: bool = False) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], weights: np.ndarray | Blocks, model: str = VOCABULARY, margin: bool = False) -> DataFrame:
     """*docs* with lang_pred and score, the posterior of that language under equal priors.
 
     With *margin* there are also the columns characters, of its words and their ends, and margin: by how much, in log10, the whole text is likelier in that language than
@@ -138,35 +161,42 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, model: str =
     points.  Repeated rows are predicted alike; columns of *docs* named as the new ones
     are replaced, other columns pass through and aren't read.
     """
-    new = {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)} | ({"margin": F.lit(None).cast("double"), "characters": F.lit(None).cast("long")} if margin else {})
-    docs = docs.drop(*new)
-    names, added = docs.columns, list(new)
-    sent = docs.sparkSession.sparkContext.broadcast((langs, weights))
-    out = docs.withColumns(new).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, weights = sent.value
-        scorer = Scorer(model, weights)
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                own = texts(batch.column("text").cast(pa.string()))
-                letters = np.array([has_letter(t) for t in own], bool) & bool(langs)
-                pred, score, over, size = [UNDETERMINED] * len(own), np.zeros(len(own)), np.full(len(own), np.nan), np.zeros(len(own), np.int64)
-                if letters.any():
-                    words = [words_of(t) for t in own]
-                    logs = scorer.score(words)
-                    best = logs.argmax(axis=1)
-                    top = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                    for i in np.flatnonzero(letters):
-                        pred[i], score[i] = langs[best[i]], top[i]
-                    if margin:
-                        size = np.array([len(b" ".join(w).decode("utf-8", "replace")) + 1 for w in words])
-                        over = np.where(letters, (logs.max(axis=1) + size * np.log(CHARACTERS)) / np.log(10), np.nan)
-                found = [pa.array(pred, pa.string()), pa.array(score), pa.array(over, from_pandas=True), pa.array(size, mask=~letters)][: len(added)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, *added])
-
-    return docs.mapInArrow(run, out)
+    docs = docs.drop("lang_pred", "score", *(("margin", "characters") if margin else ()))
+    names = docs.columns
+    name, best, total, size = (free_name(names, c) for c in ("own_name", "own_best", "own_total", "own_size"))
+    kinds = {name: "string", best: "double", total: "double", size: "long"}
+    state = docs.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    schema = state.schema
+    for block in ([(langs, weights)] if isinstance(weights, np.ndarray) else weights) if langs else ():
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            langs, weights = sent.value
+            scorer = Scorer(model, weights)
+            for whole in batches:
+                for at in range(0, len(whole), 512):
+                    batch = whole.slice(at, 512)
+                    own = texts(batch.column("text").cast(pa.string()))
+                    letters = np.array([has_letter(t) for t in own], bool)
+                    words = [words_of(t) if known else [] for t, known in zip(own, letters.tolist(), strict=True)]
+                    logs = scorer.score(words) if len(own) else np.zeros((0, len(langs)))
+                    # A null is a text that no block has seen: nothing is likelier.
+                    so_far, summed = (batch.column(c).fill_null(-np.inf).to_numpy() for c in (best, total))
+                    most = logs.max(axis=1)
+                    here = most + np.log(np.exp(logs - most[:, None]).sum(axis=1))
+                    better = most > so_far
+                    pred = [langs[k] if new else old for k, new, old in zip(logs.argmax(axis=1).tolist(), better.tolist(), batch.column(name).to_pylist(), strict=True)]
+                    found = [
+                        pa.array(pred, pa.string(), mask=~letters), pa.array(np.where(better, most, so_far), mask=~letters),
+                        pa.array(np.logaddexp(summed, here), mask=~letters), pa.array(np.array([len(b" ".join(w).decode("utf-8", "replace")) + 1 for w in words], np.int64), mask=~letters),
+                    ]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], schema.names)
+
+        state = state.mapInArrow(run, schema)
+    told = {"lang_pred": F.coalesce(F.col(name), F.lit(UNDETERMINED)), "score": F.when(F.col(best).isNull(), 0.0).otherwise(F.least(F.exp(F.col(best) - F.col(total)), F.lit(1.0)))}
+    if margin:
+        told |= {"margin": (F.col(best) + F.col(size) * F.lit(float(np.log(CHARACTERS)))) / F.lit(float(np.log(10))), "characters": F.col(size)}
+    return state.select(*names, *(c.alias(n) for n, c in told.items()))
 
 
 def identify(docs: DataFrame, learn_from: Column, model: str = VOCABULARY) -> DataFrame:

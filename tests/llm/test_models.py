@@ -102,12 +102,18 @@ def test_language_id_is_the_brute_force(spark):
         assert a[:2] == b[:2] and (a[2:] == b[2:] if b[3] is None else a[2:] == pytest.approx(b[2:], rel=1e-9))
 
 
-def test_languages_with_the_most_rows_are_learned(spark):
-    data = [(i, f"word{i} und the", f"l{i % 7}") for i in range(70)] + [(100 + i, "more", "l6") for i in range(5)]
-    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    langs, weights = language_id.train(df, F.lit(True), most_langs=3)
-    assert langs == ["l0", "l1", "l6"] and weights.shape[1] == 3
-    assert {r.lang_pred for r in language_id.predict(df, langs, weights).collect()} <= set(langs)
+def test_all_languages_are_learned_in_blocks(spark):
+    """300 labels, each with words of its own; blocks of any size give the same languages and scores."""
+    data = [(i, f"{'xyzwvuq'[k % 7] * 2}{'aeiou'[k % 5]}{chr(98 + k % 20)} {k:03d}q{chr(97 + k // 20)}{chr(97 + k % 20)}z the", f"l{k:03d}") for i, k in enumerate([*range(300), *range(300)])]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    found = []
+    for block in (256, 1000, 7):
+        langs, weights = language_id.train(df, F.lit(True), block=block)
+        assert langs == sorted({x for *_, x in data}) and isinstance(weights, np.ndarray) == (block == 1000)
+        found.append({r.doc_id: (r.lang_pred, r.score, r.margin) for r in language_id.predict(df, langs, weights, margin=True).collect()})
+    assert len({p for p, *_ in found[0].values()}) > 100
+    for other in found[1:]:
+        assert all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9) for a, b in zip(found[0].values(), (other[d] for d in found[0]), strict=True))
 
 
 def test_language_id_without_training_rows(docs, empty):
@@ -306,6 +312,16 @@ def test_mixing_meets_its_targets(docs):
         assert abs(taken[s] - t) <= 2 * max(n for _, x, n in data if x == s), s
 
 
+def test_rates_that_are_not_solved_are_an_error(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", 1, 1, 0.5, 1.1), ("a", 2, 1, 1.5, 1.1)], "source string, size long, n long, z double, want double")
+    exact = mixing.solve(cells).first().lam
+    monkeypatch.setattr(mixing, "NEWTON", 0)  # halving alone gets there too
+    assert abs(mixing.solve(cells).first().lam - exact) < 1e-8
+    monkeypatch.setattr(mixing, "ITERATIONS", 3)
+    with pytest.raises(RuntimeError, match="1 sources"):
+        mixing.solve(cells)
+
+
 def test_solved_rates_are_exponential_and_exact(spark):
     sizes = [int(x) for x in np.random.default_rng(5).pareto(1, 300) * 50 + 1]
     cells = [(s, z, n, z * len(sizes) / sum(sizes), f * len(sizes)) for s, f in (("a", 0.2), ("b", 1.7), ("c", 2.0), (None, 1.0)) for z, n in Counter(sizes).items()]
