@@ -50,16 +50,21 @@ def shingles(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items: their words as numbers from 1, and their shingles."""
+    """The different windows of a block of items, each with its items: their words as numbers from 1, and their shingles."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], size: int, shingle: int) -> None:
         self.shingle, self.numbers, self.windows, self.owners = shingle, {}, [], []
         self.items = [item for item, _ in items]
+        place: dict[bytes, int] = {}
         for owner, (_, words) in enumerate(items):
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
             for at in range(max(1, len(ids) - size + 1)) if ids else ():
-                self.windows.append(np.array(ids[at : at + size], np.int64))
-                self.owners.append(owner)
+                window = np.array(ids[at : at + size], np.int64)
+                k = place.setdefault(window.tobytes(), len(self.windows))
+                if k == len(self.windows):
+                    self.windows.append(window)
+                    self.owners.append(set())
+                self.owners[k].add(owner)
         own = [shingles(w, min(shingle, len(w))) for w in self.windows]
         self.codes = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
         self._own = own
@@ -95,7 +100,7 @@ class Windows:
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, list]:
         """Which words of a document a window covers, and the items of those windows."""
-        covered, items = np.zeros(len(ids) + 1, np.int64), set()
+        covered, found = np.zeros(len(ids) + 1, np.int64), set()
         if not len(self.rare) or not ids.any():
             return covered[:0], []
         for n in self.lengths:
@@ -108,8 +113,9 @@ class Windows:
                     if min(self.shingle, len(own)) == n and start >= 0 and start + len(own) <= len(ids) and np.array_equal(ids[start : start + len(own)], own):
                         covered[start] += 1
                         covered[start + len(own)] -= 1
-                        items.add(self.owners[window])
-        return np.cumsum(covered[:-1]) > 0 if items else covered[:0], [self.items[i] for i in sorted(items)]
+                        found.add(window)
+        items = sorted(set().union(*(self.owners[w] for w in found)))
+        return np.cumsum(covered[:-1]) > 0 if found else covered[:0], [self.items[i] for i in items]
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:

@@ -251,3 +251,16 @@ def test_secrets_of_an_empty_table(empty):
 
 def test_digest_of_no_span():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_equal_words_on_both_sides_are_looked_at_once():
+    """An item and a document of 20,000 equal words: one window, and one look for each place."""
+    import time
+
+    words = [b"same"] * 20_000
+    index = decontamination.Windows([("a", words), ("b", words[:500]), ("c", [b"same", b"other"] * 300)], 10, 3)
+    index.index({})
+    assert len(index.windows) == 3
+    began = time.perf_counter()
+    covered, items = index.hits(index.ids(words))
+    assert covered.all() and items == ["a", "b"] and time.perf_counter() - began < 1
