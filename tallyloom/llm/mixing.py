@@ -25,8 +25,8 @@ from tallyloom.llm.common import free_name, settle, unsettle
 
 #: Documents of one source and size that are ranked in one group.
 CELL = 256
-#: Newton iterations at most; with the bracket each at least halves it, so this reaches double precision.
-ITERATIONS = 60
+#: Newton iterations; a source that isn't solved then has its bracket halved each time, and after so many more than double precision needs it is an error.
+NEWTON, ITERATIONS = 40, 200
 #: Of a source's target, what its solved rates may miss it by.
 TOLERANCE = 1e-9
 
@@ -89,7 +89,7 @@ def solve(cells: DataFrame, cap: float = 2.0) -> DataFrame:
     own = cells.where("z > 0").groupBy("source").agg(F.min("z").alias("least"), F.first("want").alias("want"), (F.sum(F.col("n") * F.col("z")) * F.lit(cap)).alias("full"))
     # At the upper end exp(lam z) reaches the cap for all z; at the lower end it is nothing for any.
     state = settle(own.select("source", "want", "full", (F.lit(-700.0) / F.col("least")).alias("low"), (F.lit(math.log(cap)) / F.col("least") * F.lit(1 + 1e-9)).alias("high"), F.lit(0.0).alias("lam"), F.lit(False).alias("done")))
-    for _ in range(ITERATIONS):
+    for turn in range(ITERATIONS):
         w = _rate(cap)
         joined = cells.select("source", "n", "z").alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("s.*", "n", "z")
         # Each sum is pre-aggregated; a source is one row after the shuffle.
@@ -100,13 +100,13 @@ def solve(cells: DataFrame, cap: float = 2.0) -> DataFrame:
         at_end = F.col("want") >= F.col("full") * (1 - 1e-12)
         narrow = F.col("high") - F.col("low") <= F.abs(F.col("high")) * 1e-15
         moved = moved.withColumns({"at_end": at_end, "done": at_end | (F.abs("gap") <= F.col("want") * TOLERANCE) | narrow})
-        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")) & F.lit(turn < NEWTON)
         lam = F.when(F.col("at_end"), F.col("high")).when(F.col("done"), F.col("lam")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
         old, state = state, settle(moved.withColumn("lam", lam).select("source", "want", "full", "low", "high", "lam", "done"))
         unsettle(old)
         if state.where(~F.col("done")).isEmpty():
-            break
-    return state.select("source", "lam")
+            return state.select("source", "lam")
+    raise RuntimeError(f"no rates for {state.where(~F.col('done')).count()} sources after {ITERATIONS} iterations")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
