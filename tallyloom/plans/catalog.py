@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import color, enclosing, scalars, similarity
-from tallyloom.operators import align, images, intervals, lifecycle, pages, readings, reconcile, search, tracking, windows
+from tallyloom.operators import align, hulls, images, intervals, lifecycle, pages, readings, reconcile, search, tracking, windows
 from tallyloom.plans import api
 from tallyloom.sources import frames, sinks
 
@@ -542,6 +542,12 @@ def duration_texts(spark, d):
     return events(spark, d).select("event_id", scalars.duration_text(F.col("ms") % 100_000).alias("text"))
 
 
+@query()
+def hull_boxes(spark, d):
+    own, _ = _rgb(spark, d)
+    return hulls.hull_boxes(own.withColumn("part", F.col("vec_id") % 5), ["part"], ("r", "g", "b"))
+
+
 _PART = "CASE WHEN CAST(trunc({0}) AS BIGINT) % {1} = 0 THEN '' ELSE ' ' || CAST(trunc({0}) AS BIGINT) % {1} || '{2}' END"
 _LADDER = [_PART.format(*x) for x in (("v", 1000, "ms"), ("s", 60, "s"), ("m", 60, "m"), ("h", 60, "h"), ("d", 24, "d"), ("w", 7, "w"))]
 
