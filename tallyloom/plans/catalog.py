@@ -492,7 +492,46 @@ def gathered_lines(spark, d):
     return pages.gathered(own, ["user_id", "key"]).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query()
+#: Both lists side by side.  A step's next match is the least of (steps away, entity, minus external index); what lies on the way follows from where the step begins and ends.
+_RECONCILED = f"""
+WITH RECURSIVE o AS (SELECT CAST(o_custkey AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderkey || '-' || o_orderpriority AS name FROM orders),
+x AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY r) - 1 AS e, name FROM o WHERE r % 5 <> 3),
+t AS (SELECT run_id, r - 1 AS i, name AS alias, r % 7 <> 0 AS named FROM o),
+size AS (SELECT run_id, count(*) AS n, (SELECT count(*) FROM x WHERE x.run_id = t.run_id) AS m FROM t GROUP BY run_id),
+w AS (SELECT run_id, i, named FROM t UNION ALL SELECT run_id, n, true FROM size),
+f AS (SELECT run_id, i, CAST(coalesce(sum(CASE WHEN named THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS free,
+  min(CASE WHEN named THEN i END) OVER (PARTITION BY run_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS first FROM w),
+p AS (SELECT DISTINCT name AS a, alias AS b FROM x JOIN t ON t.run_id = x.run_id WHERE named),
+d(a, b, k, line) AS (
+  SELECT a, b, 0, [CAST(2 * y AS INTEGER) FOR y IN range(0, length(b) + 1)] FROM p
+  UNION ALL
+  SELECT a, b, k + 1,
+    list_reduce([[CAST(2 * (k + 1) AS INTEGER)]] || [[line[y + 1], line[y],
+        {_COST.format(a="substr(a, k + 1, 1)", b="substr(b, y, 1)").replace("near[", _NEAR + "[")}] FOR y IN range(1, length(b) + 1)],
+      lambda q, c: q || [CAST(c[3] + least(q[-1], c[1], c[2]) AS INTEGER)])
+  FROM d WHERE k < length(a)),
+h AS (SELECT x.run_id, e, t.i, free, line[-1] AS dist FROM x JOIN t ON t.run_id = x.run_id AND named JOIN f ON f.run_id = t.run_id AND f.i = t.i JOIN d ON d.a = x.name AND d.b = alias AND k = length(d.a) WHERE line[-1] <= 12),
+s(run_id, e0, i0, next_e, next_i) AS (
+  SELECT run_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM size
+  UNION ALL
+  SELECT run_id, next_e, next_i, 1 - hit.me, hit.i + 1 FROM (
+    SELECT s.run_id, next_e, next_i, min({{'k': h.i - next_i + greatest(0, e - next_e - (h.free - b.free)), 'i': h.i, 'me': -e}}) FILTER (
+      (h.i - next_i + greatest(0, e - next_e - (h.free - b.free)), h.i, -e)
+      < CASE WHEN m - next_e <= n - next_i THEN (m - next_e, least(b.first, next_i + m - next_e), -m) ELSE (n - next_i, n, -(next_e + z.free - b.free)) END) AS hit
+    FROM s JOIN size ON size.run_id = s.run_id JOIN f b ON b.run_id = s.run_id AND b.i = next_i JOIN f z ON z.run_id = s.run_id AND z.i = n JOIN h ON h.run_id = s.run_id AND h.i >= next_i AND e >= next_e
+    GROUP BY s.run_id, next_e, next_i) WHERE hit IS NOT NULL),
+g AS (SELECT s.run_id, e0, i0, next_e - 1 AS e, next_i - 1 AS i, b.free AS from_free, b.first AS first, greatest(0, next_e - 1 - e0 - (c.free - b.free)) AS beyond
+  FROM s JOIN f b ON b.run_id = s.run_id AND b.i = i0 JOIN f c ON c.run_id = s.run_id AND c.i = next_i - 1 WHERE e0 IS NOT NULL),
+u AS (SELECT g.run_id, t.i, e0 + f.free - from_free + CASE WHEN t.i > g.first THEN beyond ELSE 0 END AS spot, g.e FROM g JOIN t ON t.run_id = g.run_id AND NOT named AND t.i >= i0 AND t.i < g.i JOIN f ON f.run_id = t.run_id AND f.i = t.i),
+found AS (
+  SELECT g.run_id, 'match' AS kind, g.e AS ext_index, g.i AS int_index, name, CAST(dist AS BIGINT) AS dist, abs(g.e - g.i) AS index_diff FROM g JOIN h ON h.run_id = g.run_id AND h.e = g.e AND h.i = g.i JOIN x ON x.run_id = g.run_id AND x.e = g.e
+  UNION ALL SELECT g.run_id, 'missing', x.e, NULL, name, NULL, NULL FROM g JOIN x ON x.run_id = g.run_id AND x.e >= e0 + first - i0 AND x.e < e0 + first - i0 + beyond
+  UNION ALL SELECT run_id, 'unread', NULL, i, NULL, NULL, NULL FROM u
+  UNION ALL SELECT u.run_id, 'skipped', spot, i, name, 100, spot - i FROM u JOIN x ON x.run_id = u.run_id AND x.e = spot WHERE spot < u.e AND spot > 0)
+"""
+
+
+@query(_RECONCILED + "SELECT run_id, kind, ext_index, int_index, name, dist, index_diff FROM found")
 def reconcile_lists(spark, d):
     own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.row_number().over(windows.by(["o_custkey"], "o_orderkey")).alias("i"), F.concat_ws("-", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("name"))
     external = own.where(F.col("i") % 5 != 3).select("run_id", F.col("i").alias("line_no"), "name")
@@ -500,7 +539,10 @@ def reconcile_lists(spark, d):
     return reconcile.reconcile(external, tracked)
 
 
-@query()
+@query(_RECONCILED + """, c AS (SELECT run_id, dist, count(*) AS n FROM found WHERE kind = 'match' GROUP BY ALL),
+v AS (SELECT run_id, CAST(sum(n) AS BIGINT) AS matches, sum(dist * n) / sum(n) AS score_mean, sum(dist * n) / count(*) AS mean_per_distinct_score FROM c GROUP BY run_id)
+SELECT r.run_id, index_mean, unread, missing, matches, score_mean, mean_per_distinct_score
+FROM (SELECT run_id, sum(index_diff) / count(*) FILTER (kind = 'match') AS index_mean, count(*) FILTER (kind = 'unread') AS unread, count(*) FILTER (kind = 'missing') AS missing FROM found GROUP BY run_id) r LEFT JOIN v ON v.run_id = r.run_id""")
 def accuracy_report(spark, d):
     return reconcile.report(reconcile_lists(spark, d))
 
