@@ -72,6 +72,20 @@ def quick_length(right: np.ndarray, slot: int, length: int) -> int | None:
     return None
 
 
+def quick_lengths(right: np.ndarray, slot: int) -> list[int]:
+    """All lengths that a quick look would find, the longest name first; all columns at once."""
+    y, least = TOP + HEIGHT * slot, 9 if slot == LAST else 17
+    corner = y + HEIGHT // 10
+    if corner >= len(right):
+        return []
+    width = min(RIGHT + 1, right.shape[1])
+    hits = right[y + 10 : y + 30, :width].sum(axis=0) >= least
+    edge = np.concatenate(([0], np.cumsum(right[corner])))
+    x = np.arange(width)
+    upper = edge[np.minimum(x + 6, right.shape[1])] > edge[x]
+    return (np.flatnonzero(hits & upper & (x > corner)) - RIGHT).tolist()
+
+
 def follow_line(image: np.ndarray, x: int, y: int, most_fails: int = 2) -> int:
     """How far left the bright line at y goes: the x at which a second pixel fails."""
     line, below = image[y, : x + 1, :3].astype(np.int64), image[y + 1, : x + 1, :3].astype(np.int64)
@@ -114,11 +128,15 @@ def slot_color(image: np.ndarray, slot: int, limit: int = 13, scale: float = 1.3
     return best[1] if best else None
 
 
-OBSERVED = "run_id string, frame_id long, vidx int, appear boolean, length int, len_checked boolean, color string"
+OBSERVED = "run_id string, frame_id long, vidx int, appear boolean, length int, len_checked boolean, color string, looks array<int>"
 
 
-def observe(frames: DataFrame, lengths: bool = True, colors: bool = True) -> DataFrame:
-    """A row for each slot of each frame.  *frames*: (run_id, frame_id, width, height, channels, data)."""
+def observe(frames: DataFrame, lengths: bool = True, colors: bool = True, looks: bool = False) -> DataFrame:
+    """A row for each slot of each frame.  *frames*: (run_id, frame_id, width, height, channels, data).
+
+    With *looks* there is also the column looks, the lengths that a quick look at the slot would find, for a tracker that looks for lengths: frames are looked at wherever
+    they lie, and the tracker, which has to take a run's frames in order, gets these few numbers.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,11 +147,13 @@ def observe(frames: DataFrame, lengths: bool = True, colors: bool = True) -> Dat
                 for slot in range(SLOTS):
                     seen = appears(left, slot)
                     length = name_length(image, right, slot) if seen and lengths else None
-                    rows.append((f.run_id, f.frame_id, slot, seen, length, seen and lengths, slot_color(image, slot) if seen and colors else None))
+                    color = slot_color(image, slot) if seen and colors else None
+                    rows.append((f.run_id, f.frame_id, slot, seen, length, seen and lengths, color, quick_lengths(right, slot) if seen and looks else []))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in OBSERVED.split(", ")])
             yield out.astype({"length": "Int32", "vidx": "int32"})
 
-    return frames.mapInPandas(run, OBSERVED)
+    own = frames.mapInPandas(run, OBSERVED)
+    return own if looks else own.drop("looks")
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ so the lengths that tell most among the expected ones are tried at the slots whe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -112,10 +112,11 @@ def fallback(offset: int | None, visible: dict[int, Slot]) -> tuple[int | None,
     return offset or 0, False
 
 
-def step(run: Run, frame: int, slots: Iterable[tuple[int, bool, int | None, bool, str | None]], quick: bool = False) -> dict | None:
+def step(run: Run, frame: int, slots: Iterable[tuple[int, bool, int | None, bool, str | None]], quick: bool = False, looks: Mapping[int, Collection[int]] | None = None) -> dict | None:
     """Take one frame's slots (vidx, appear, length, checked, color); None for a frame that is late or comes after the end.
 
-    With *quick* a given length is what a look or a measurement would find, and only those of the slots that need one are taken.
+    With *quick* a given length is what a measurement would find, and only those of the slots that need one are taken.  A look finds the lengths that *looks* has for the slot, or
+    without *looks* what a measurement would.
     """
     if run.status == "COMPLETE" or frame <= run.last_frame:
         return None
@@ -136,7 +137,7 @@ def step(run: Run, frame: int, slots: Iterable[tuple[int, bool, int | None, bool
     skip = False
     if any(lengths):
         if quick:
-            offset, good, _ = quick_search(lengths, screen, lambda v, n: truth[v].length == n)
+            offset, good, _ = quick_search(lengths, screen, lambda v, n: truth[v].length == n if looks is None else n in looks.get(v, ()))
         else:
             offset, good = visual_offset(lengths, {v: s.length for v, s in visible.items() if s.length is not None})
         by = "length"
@@ -169,22 +170,23 @@ def step(run: Run, frame: int, slots: Iterable[tuple[int, bool, int | None, bool
     return log | {"offset": offset, "good": bool(good), "by": by, "status": run.status, "first_index": run.first, "applied": not skip, "shown": shown, "expected": "".join(map(glyph_expected, expected))}
 
 
-def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, list[tuple]]]:
-    """(frame_id, slots) in order."""
+def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, list[tuple], dict[int, frozenset[int]] | None]]:
+    """(frame_id, slots, looks) in order; looks are None where there is no such column."""
     own = rows.astype(object).where(rows.notna(), None)
     for frame, part in own.groupby("frame_id", sort=True):
-        yield int(frame), [(int(v), bool(a), None if n is None else int(n), bool(c), k) for v, a, n, c, k in zip(part["vidx"], part["appear"], part["length"], part["len_checked"], part["color"], strict=True)]
+        looks = {int(v): frozenset() if x is None else frozenset(map(int, x)) for v, x in zip(part["vidx"], part["looks"], strict=True)} if "looks" in part else None
+        yield int(frame), [(int(v), bool(a), None if n is None else int(n), bool(c), k) for v, a, n, c, k in zip(part["vidx"], part["appear"], part["length"], part["len_checked"], part["color"], strict=True)], looks
 
 
 def log_of(run_id: str, run: Run, rows: pd.DataFrame, quick: bool = False) -> pd.DataFrame:
     """The log of the frames in *rows*, with *run* taken on."""
-    out = [{"run_id": run_id, **x} for f, slots in frames_of(rows) if (x := step(run, f, slots, quick)) is not None]
+    out = [{"run_id": run_id, **x} for f, slots, looks in frames_of(rows) if (x := step(run, f, slots, quick, looks)) is not None]
     table = pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
     return table.astype({"offset": "Int32", "visible": "int32", "first_index": "int32"})
 
 
 def track(observations: DataFrame, quick: bool = False) -> DataFrame:
-    """The log of every frame.  *observations*: (run_id, frame_id, vidx, appear, length, len_checked, color); *quick*: see step."""
+    """The log of every frame.  *observations*: (run_id, frame_id, vidx, appear, length, len_checked, color), and looks if a look is more than its length; *quick*: see step."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return log_of(key[0], Run(), rows, quick)

@@ -189,13 +189,13 @@ def test_settings(spark, tmp_path):
     assert frames.settings(spark, str(tmp_path / "own.json"), defaults) == {"core": {"fps": 60, "ocr": "native"}, "debug": {"process": False}}
 
 
-def frame(lengths):
-    """A raster with a box of a bright edge for each length."""
+def frame(lengths, rounded=0):
+    """A raster with a box of a bright edge for each length; the upper edge may begin some pixels inside."""
     image = np.full((1080, 1920, 3), 60, np.uint8)
     for slot, length in enumerate(lengths):
         y, x = images.TOP + images.HEIGHT * slot, images.RIGHT + length
-        image[y, x : images.RIGHT + 1] = 200
-        image[y : y + 40, x] = 200
+        image[y, x + rounded : images.RIGHT + 1] = 200
+        image[y + bool(rounded) : y + 40, x] = 200
         image[y : y + 40, images.RIGHT] = 200
     return image
 
@@ -211,6 +211,29 @@ def test_observed_lengths(spark):
     assert all(abs(r.length - n) <= 2 for r, n in zip(got, lengths, strict=False) if r.length is not None)
 
 
+def test_quick_looks_at_all_columns_are_those_at_each():
+    right = images.line_mask(frame([-100, -150, -220, -90]), 1)
+    noisy = np.random.default_rng(3).random(right.shape) < 0.7
+    for mask in (right, noisy, right[:1070], right[:400]):
+        for slot in range(images.SLOTS):
+            assert images.quick_lengths(mask, slot) == [n for n in range(-images.RIGHT, 1) if images.quick_length(mask, slot, n) is not None]
+
+
+def test_frames_are_tracked_by_quick_looks_at_their_pixels(spark):
+    """Names move up by one in every second frame; the offsets come from looks at pixels, not from what a slot's length is said to be."""
+    names = [-int(x) for x in np.random.default_rng(6).permutation(np.arange(80, 280, 7))[:22]]
+    data = [("r", f, 1920, 1080, 3, frame(names[f // 2 : f // 2 + 12], 6).tobytes()) for f in range(8)]
+    df = spark.createDataFrame(data, "run_id string, frame_id long, width int, height int, channels int, data binary").repartition(4)
+    seen = images.observe(df, looks=True)
+    assert all(r.length in r.looks for r in seen.where("appear").collect()) and seen.where("appear").count() == 96
+    log = tracking.track(seen, quick=True).orderBy("frame_id").collect()
+    assert [r.first_index for r in log] == [f // 2 for f in range(8)] and all(r.good for r in log[1:])
+    assert log[1].shown.count("Q") == 2 and log[1].shown.count("U") == 0
+    # Without a look that hits there is nothing to agree on.
+    blind = tracking.track(seen.withColumn("looks", F.array().cast("array<int>")), quick=True).orderBy("frame_id").collect()
+    assert not any(r.good for r in blind[1:])
+
+
 def test_templates_floods_and_crops():
     rng = np.random.default_rng(1)
     image = rng.integers(0, 255, (60, 80, 3), np.uint8)
