@@ -114,14 +114,18 @@ def queries() -> dict[str, Query]:
 
 
 _OP4_KINDS = " UNION ALL ".join(
-    f"SELECT doc_id, {k} AS k, regexp_extract_all(t, $p${p}$p$) AS f, regexp_split_to_array(t, $p${p}$p$) AS g FROM d"
+    f"SELECT doc_id, {k} AS k, regexp_extract_all({'c' if k == 9 else 't'}, $p${p}$p$) AS f, regexp_split_to_array({'c' if k == 9 else 't'}, $p${p}$p$) AS g FROM d"
     for k, p in ((0, secret_scan.ASSIGN), (1, r"AKIA[A-Z0-9]+"), (2, r"[0-9a-f]+"), (9, secret_scan.CANDIDATE))
 )
+#: Token characters outside words of the allow-list, which blanks stand for.
+_OP4_BLANKED = "coalesce(text, '')"
+for _word in secret_scan.ALLOW_WORDS:
+    _OP4_BLANKED = f"regexp_replace({_OP4_BLANKED}, '{''.join('[' + c.upper() + c + ']' for c in _word)}', repeat(' ', {len(_word)}), 'g')"
 _OP4_ALLOWED = " OR ".join(f"regexp_matches(found, $p${p}$p$)" for p in secret_scan.ALLOW)
 _OP4_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(found, $p${c.pattern}$p$) THEN {{{i}}}" for i, c in enumerate(secret_scan.CLASSES)) + " END"
 #: Matches and the gaps between them give the places; every window's entropy is counted anew.
 _OP4 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_OP4_BLANKED} AS c FROM documents),
 m AS ({_OP4_KINDS}),
 x AS (
   SELECT doc_id, k, unnest(f) AS found, unnest([list_sum([length(y) FOR y IN g[1:i]]) + coalesce(list_sum([length(y) FOR y IN f[1:i - 1]]), 0) FOR i IN range(1, len(f) + 1)]) AS s

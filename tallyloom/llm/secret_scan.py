@@ -1,10 +1,11 @@
 """Secret scans by patterns and sliding-window entropy, in DataFrame functions only.
 
-Patterns give the base spans.  Beside them, long runs of token characters are candidates:
-each has a character class (hex digits, letters and digits, base64 signs), and the Shannon entropy
+Patterns give the base spans.  Beside them, long runs of token characters are candidates.  A sign of
+assignment parts a run, and so does a word of the allow-list, so neither a name before a value nor a placeholder beside it decides about the rest.
+Each candidate has a character class (hex digits, letters and digits, base64 signs), and the Shannon entropy
 of a sliding window is kept by incremental counts: one character's count falls, one rises, and
 only their two terms of sum(c log2 c) change.  The windows at or over the class's
-threshold make a span unless an allow-list pattern matches the candidate.
+threshold make a span unless a pattern of the allow-list matches the candidate.
 
 Nothing is shuffled: a document is one row throughout.
 """
@@ -26,7 +27,7 @@ HEX = r"[0-9a-f]{16,}"
 #: What every match of ASSIGN holds, in lower case; texts without it are not searched.
 ASSIGN_NEEDS = ("passw", "secret", "token", "api")
 
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "hexent", "alnument", "b64ent")
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -43,16 +44,17 @@ class CharacterClass:
 
 
 _HEX, _ALNUM = string.digits + "abcdefABCDEF", string.digits + string.ascii_letters
-CLASSES = (CharacterClass("hexent", r"^[0-9A-Fa-f]+$", 3.2, _HEX), CharacterClass("alnument", r"^[A-Za-z0-9]+$", 3.7, _ALNUM), CharacterClass("b64ent", r".", 3.8, _ALNUM + "+/=_-"))
-#: Candidates that match are no secrets: no mix of letters and digits, UUIDs, placeholders, runs of the alphabet.
+CLASSES = (CharacterClass("hexent", r"^[0-9A-Fa-f]+$", 3.2, _HEX), CharacterClass("alnument", r"^[A-Za-z0-9]+$", 3.7, _ALNUM), CharacterClass("b64ent", r".", 3.8, _ALNUM + "+/_-"))
+#: Words of placeholders and runs of the alphabet, in either case; a run of token characters is parted where one lies.
+ALLOW_WORDS = ("example", "placeholder", "sample", "dummy", "xxxx", "0123456789", "abcdefgh")
+#: Candidates that match are no secrets: no mix of letters and digits, UUIDs.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|sample|dummy|xxxx|0123456789|abcdefgh",
 )
 #: A candidate of nothing but such pieces between signs is a path of plain words and numbers, no secret.
-SIGNS, PLAIN = r"[/_=+-]", r"^([A-Za-z]{0,15}|[0-9]{1,8})$"
+SIGNS, PLAIN = r"[/_+-]", r"^([A-Za-z]{0,15}|[0-9]{1,8})$"
 
 
 #: Matches that are put in place together.
@@ -145,7 +147,20 @@ def _cells(c: CharacterClass, classes: tuple[CharacterClass, ...]) -> int:
     return 1 + max(place[x] for x in c.alphabet)
 
 
-def _entropy_spans(text: Column, window: int, classes: tuple[CharacterClass, ...], allow: tuple[str, ...]) -> Column:
+def either_case(word: str) -> str:
+    """A pattern for an ASCII word in either case, which means the same to every matcher."""
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in word)
+
+
+def without_words(text: Column, words: tuple[str, ...]) -> Column:
+    """The text with blanks for these words, one after the other, so that all places stay."""
+    out = text
+    for word in words:
+        out = F.regexp_replace(out, either_case(word), " " * len(word))
+    return F.when(text.rlike("|".join(map(either_case, words))), out).otherwise(text) if words else text
+
+
+def _entropy_spans(text: Column, window: int, classes: tuple[CharacterClass, ...], allow: tuple[str, ...], words: tuple[str, ...]) -> Column:
     def allowed(found: Column) -> Column:
         out = F.forall(F.split(found, SIGNS), lambda p: p.rlike(PLAIN))
         for pattern in allow:
@@ -162,17 +177,17 @@ def _entropy_spans(text: Column, window: int, classes: tuple[CharacterClass, ...
         return _bound(own, lambda c: F.struct(s["start"].alias("start"), c["kind"].alias("kind"), high_entropy(s["found"], c["least"], c["cells"], window, classes).alias("high")))
 
     # Each step binds its result, so that no fold is evaluated twice.
-    kept = F.filter(spans_of(text, CANDIDATE), lambda s: ~allowed(s["found"]))
+    kept = F.filter(_bound(without_words(text, words), lambda t: spans_of(t, CANDIDATE)), lambda s: ~allowed(s["found"]))
     hits = F.filter(F.transform(kept, classed), lambda s: s["high"]["first"] > 0)
     return F.transform(hits, lambda s: F.struct((s["start"] + s["high"]["first"] - 1).cast("long").alias("start"), s["kind"].alias("kind"), (s["start"] + s["high"]["last"] - 1 + window).cast("long").alias("end")))
 
 
-def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, words: tuple[str, ...] = ALLOW_WORDS) -> DataFrame:
     """*docs* with ``base`` and ``added``: arrays of (start, kind, end), kind a place in KINDS, sorted.
 
     Spans are in code points, end exclusive.  base: for each kind the leftmost matches that don't
     overlap, less those too short: "assign" 12 characters of the value, "access" 18, "hex" 16.  added:
-    the stretch from the first to the last window of high entropy in a candidate.  A span of one place may be in both.  A null text
+    the stretch from the first to the last window of high entropy in a candidate, a run of CANDIDATE outside all *words*.  A span of one place may be in both.  A null text
     is empty and gives empty arrays.  Columns base and added of *docs* are replaced, others pass through.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -187,7 +202,7 @@ def scan(docs: DataFrame, text_col: str = "text", window: int = WINDOW, classes:
         F.when(text.contains("AKIA"), _kind(spans_of(text, ACCESS), "access")).otherwise(none),
         F.when(text.rlike(HEX), _kind(spans_of(text, HEX), "hex")).otherwise(none),
     )
-    added = F.when(text.rlike(CANDIDATE), _entropy_spans(text, window, classes, allow)).otherwise(none)
+    added = F.when(text.rlike(CANDIDATE), _entropy_spans(text, window, classes, allow, words)).otherwise(none)
     return docs.drop("base", "added").withColumns({"base": F.array_sort(base.cast(SPAN)), "added": F.array_sort(added.cast(SPAN))})
 
 

@@ -201,17 +201,36 @@ def entropies(s, n):
 
 
 def brute_added(text):
+    """By the rule's words: blanks for allowed words in either case, runs of 20 token characters, UUIDs and plain paths left out, every window counted anew."""
+    text = text or ""
+    for word in ("example", "placeholder", "sample", "dummy", "xxxx", "0123456789", "abcdefgh"):
+        text = re.sub(word, " " * len(word), text, flags=re.I | re.A)
     out = []
-    for m in re.finditer(secret_scan.CANDIDATE, text or ""):
-        if any(re.search(p, m[0]) for p in secret_scan.ALLOW) or all(re.search(secret_scan.PLAIN, x) for x in re.split(secret_scan.SIGNS, m[0])):
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+        run = m[0]
+        uuid = re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+        plain = all(len(x) <= 15 and x.isalpha() or len(x) <= 8 and x.isdigit() or not x for x in re.split("[/_+-]", run))
+        if uuid or plain or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
             continue
-        c = next(c for c in secret_scan.CLASSES if re.search(c.pattern, m[0]))
-        high = [i for i, h in enumerate(entropies(m[0], secret_scan.WINDOW)) if h >= c.threshold]
+        kind, least = (3, 3.2) if re.fullmatch("[0-9A-Fa-f]+", run) else (4, 3.7) if run.isalnum() else (5, 3.8)
+        high = [i for i, h in enumerate(entropies(run, 20)) if h >= least]
         if high:
-            out.append((m.start() + high[0], secret_scan.KINDS.index(c.kind), m.start() + high[-1] + secret_scan.WINDOW))
+            out.append((m.start() + high[0], kind, m.start() + high[-1] + 20))
     return sorted(out)
 
 
+def test_neither_a_name_nor_a_placeholder_hides_a_secret(spark):
+    rng = np.random.default_rng(3)
+    blob = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz0123456789+/"), 960))
+    secret, hexes = "Zk3vQ9xT7bLm2RpW8sYc4NfH", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+    texts_ = [f"sample_key={secret}", f"key={hexes}", f"key {hexes}", blob, f"{blob}xXxX{blob}", f"example {secret}Example{secret} dummy={secret}", "example_value_of_a_sample=placeholder", "=".join(["a"] * 40)]
+    got = [[tuple(s) for s in r.added] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    assert got == [brute_added(t) for t in texts_]
+    assert got[0] == [(11, 4, 35)] and got[1] == [(4, 3, 44)] and got[2] == [(4, 3, 44)] and len(got[5]) == 3 and got[6:] == [[], []]
+    assert got[3][0][0] < 20 and got[3][-1][2] > 940
+    assert sum(e - s for s, _, e in got[4]) > 2 * sum(e - s for s, _, e in got[3]) - 80
+
+
 def test_secrets_are_the_brute_force(docs):
     got = secret_scan.scan(docs).select("doc_id", "text", "base", "added").collect()
     for r in got:
