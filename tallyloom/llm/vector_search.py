@@ -3,15 +3,14 @@
 For integer vectors q.c = (|q|^2 + |c|^2 - d(q, c)^2) / 2.  By the triangle inequality d(q, c) is at least the
 largest |d(q, p) - d(c, p)| over the pivots p, which bounds the score from above.
 
-A task takes its candidates in chunks and looks up their distances to all pivots.  The candidates of a
-chunk that have one nearest pivot are a cell; the least and largest distance to every pivot bound all of a cell's scores at once.
-Each query takes the cells in the order of these bounds and stops as soon as the next
-one is below its k-th score so far; equal bounds are still evaluated, so ties are exact.  The scores
-of all queries that take a cell are one matrix product.
+The distances of every vector to all pivots are a table: they are taken once, and written beside the vector.  A task bounds each of its candidates for each query by the largest
+gap in that table, evaluates a query's candidates in the order of their bounds, and stops as soon as the next bound
+is below the query's k-th score so far; equal bounds are still evaluated, so ties are exact.  Distances are taken of whole numbers and rounded once, and bounds are
+widened by more than that rounding, at every size of the values.
 
 Queries are a stated set of rows and are sent to the executors in blocks of a fixed
 size, a job for each; each block meets each candidate once, and each task hands on at most k rows
-a query.  The pivots are the only thing fitted, on a bounded, stated sample; being candidates themselves, their k-th best score is
+a query.  The pivots are the only thing fitted, far apart from each other, on a bounded, stated sample; being candidates themselves, their k-th best score is
 where every task's search of a query begins.
 """
 
@@ -28,12 +27,14 @@ from pyspark.sql.window import Window
 
 from tallyloom.llm.common import new_path, settle
 
-#: Candidates of a task that are searched at once.
-ROWS = 4096
-#: Queries that are held against a cell at once.
-QUERIES = 1024
-#: Room for the rounding of distances in double precision.
-SLACK = 1e-6
+#: Candidates of a task that are searched at once, and queries that are bounded with them.
+ROWS, QUERIES = 4096, 256
+#: Candidates of a query that are evaluated first; then twice as many each time.
+FIRST = 32
+#: Vectors that pivots are chosen from.
+SAMPLE = 1024
+#: Room for rounding, as a share of what is rounded: far more than double precision needs.
+SLACK = 1e-12
 #: The score of no candidate.
 NONE = np.iinfo(np.int64).min + 1
 
@@ -81,9 +82,9 @@ class Queries:
 
     def __post_init__(self) -> None:
         kind = np.float64 if self.exact else np.int64
+        self.near = distances(self.vectors, self.pivots)
         self.vectors, self.pivots = self.vectors.astype(kind), self.pivots.astype(kind)
         self.norms = (self.vectors * self.vectors).sum(1)
-        self.near = distances(self.vectors, self.pivots)
         # The k-th best pivot, without the query itself, is no better than the k-th best candidate.
         scores = dot(self.vectors, self.pivots).astype(np.int64)
         scores[self.ids[:, None] == self.pivot_ids[None, :]] = NONE
@@ -122,54 +123,60 @@ class Best:
         self.score[own], self.id[own] = all_score[best], all_id[best]
 
 
-def cells_of(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts): the rows by their nearest pivot, and where each cell begins in that order."""
-    cell = near.argmin(axis=1)
-    order = np.argsort(cell, kind="stable")
-    return order, np.flatnonzero(np.diff(cell[order], prepend=-1))
-
-
-def search(queries: Queries, best: Best, ids: np.ndarray, rows: np.ndarray) -> int:
-    """Hold a chunk of candidates against all queries; gives how many products were taken."""
+def search(queries: Queries, best: Best, ids: np.ndarray, rows: np.ndarray, near: np.ndarray) -> int:
+    """Hold a chunk of candidates, with their distances to the pivots, against all queries; gives how many products were taken."""
     rows = rows.astype(queries.vectors.dtype)
-    near = distances(rows, queries.pivots)
-    order, starts = cells_of(near)
-    rows, near, ids = rows[order], near[order], ids[order]
-    stops = np.append(starts[1:], len(rows))
-    low, high = np.minimum.reduceat(near, starts), np.maximum.reduceat(near, starts)
-    largest = np.maximum.reduceat((rows * rows).sum(1).astype(np.float64), starts)
-    asker = np.minimum(np.searchsorted(queries.ids, ids), len(queries.ids) - 1)
-    own = queries.ids[asker] == ids  # rows that are a query themselves
-    products, place = 0, np.full(len(queries.ids), -1)
+    norms, far, products = (rows * rows).sum(1).astype(np.float64), near.max(axis=1, initial=0), 0
     for at in range(0, len(queries.ids), QUERIES):
         some = np.arange(at, min(at + QUERIES, len(queries.ids)))
-        apart = np.zeros((len(some), len(starts)))
+        gap = np.zeros((len(some), len(rows)))
         for p in range(near.shape[1]):
-            mine = queries.near[some, p, None]
-            np.maximum(apart, np.maximum(low[None, :, p] - mine, mine - high[None, :, p]), out=apart)
-        # Without exact doubles nothing is eliminated.
-        upper = (queries.norms[some, None] + largest[None, :] - np.maximum(apart - SLACK, 0) ** 2) / 2 + SLACK if queries.exact else np.full(apart.shape, np.inf)
-        turn = np.argsort(-upper, axis=1, kind="stable")
-        alive = np.arange(len(some))
-        for step in range(len(starts)):
-            cell = turn[alive, step]
-            go = upper[alive, cell] >= best.least(some[alive])
-            alive, cell = alive[go], cell[go]
-            for c in np.unique(cell).tolist():
-                q = some[alive[cell == c]]
-                part = slice(starts[c], stops[c])
-                scores = dot(queries.vectors[q], rows[part]).astype(np.int64)
-                products += scores.size
-                place[q] = np.arange(len(q))
-                column = np.flatnonzero(own[part])
-                line = place[asker[part][column]]
-                scores[line[line >= 0], column[line >= 0]] = NONE
-                place[q] = -1
-                best.take(q, scores, ids[part])
+            np.maximum(gap, np.abs(queries.near[some, p, None] - near[None, :, p]), out=gap)
+        gap = np.maximum(gap - SLACK * (queries.near[some].max(axis=1, initial=0)[:, None] + far[None, :]), 0)
+        size = queries.norms[some, None].astype(np.float64) + norms[None, :]
+        upper = (size - gap * gap) / 2 + SLACK * size
+        for line, q in enumerate(some.tolist()):
+            one = np.array([q])
+            bound = upper[line]
+            alive = np.flatnonzero((bound >= best.least(one)[0]) & (ids != queries.ids[q]))
+            order, step = alive[np.argsort(-bound[alive], kind="stable")], FIRST
+            while len(order):
+                part, order, step = order[:step], order[step:], 2 * step
+                part = part[bound[part] >= best.least(one)[0]]
+                if not len(part):
+                    break
+                products += len(part)
+                best.take(one, dot(queries.vectors[one], rows[part]).astype(np.int64), ids[part])
     return products
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = 32, block: int = 8192) -> DataFrame:
+def far_apart(vectors: np.ndarray, count: int) -> np.ndarray:
+    """The places of so many vectors, the first and then each the one farthest from all before."""
+    own, left = [], np.full(len(vectors), np.inf)
+    while len(own) < min(count, len(vectors)):
+        k = int(left.argmax()) if own else 0
+        own.append(k)
+        left = np.minimum(left, distances(vectors, vectors[k : k + 1])[:, 0])
+        left[k] = -1
+    return np.array(own, np.int64)
+
+
+def measured(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """*rows* (vec_id, asked, v) with near, the distances of v to the pivots."""
+    dims = pivots.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                near = distances(matrix(part.column(2), dims), pivots)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * len(pivots), pa.int32()), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], ["vec_id", "asked", "v", "near"])
+
+    return rows.select("vec_id", "asked", "v").mapInArrow(run, "vec_id long, asked boolean, v array<long>, near array<double>")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, pivots: int = 64, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with *is_query* the k best others by integer inner product.
 
     Components become floor(scale * x).  All rows but those with the query's own id are
@@ -177,15 +184,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows, none gives none.  Vectors that are null or hold a null or non-finite component
     take no part, nor do rows without an id.  Of vectors of different lengths the shorter counts as filled up
     with zeros; an empty one scores 0.  Repeated rows are candidates each; a query id's repeated rows are one
-    query, by the least of its vectors.  Pivots: the *pivots* vectors of the lowest hash of their id.
+    query, by the least of its vectors.  Pivots: *pivots* vectors far apart from each other, of the SAMPLE ones of the lowest hash of their id.
     A table without rows, without queries or without a valid vector gives no rows.  Sums are longs.  Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = settle(quantised(vectors, is_query, id_col, vector_col, scale))
+    rows = quantised(vectors, is_query, id_col, vector_col, scale)
     size = rows.agg(F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
     dims, most = size.dims or 0, size.most or 0
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("vec_id", "v").limit(pivots).collect()
-    fixed = _filled([r.v for r in sample], dims), np.array([r.vec_id for r in sample], np.int64)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("vec_id", "v").limit(SAMPLE).collect()
+    drawn = _filled([r.v for r in sample], dims)
+    own = far_apart(drawn, pivots)
+    fixed = drawn[own], np.array([sample[k].vec_id for k in own], np.int64)
+    rows = settle(measured(rows, fixed[0]))
     asked = rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
     path, part = new_path(spark), []
     found = settle(spark.createDataFrame([], "query_id long, vec_id long, score long"), path)
@@ -214,8 +224,9 @@ def _searched(rows: DataFrame, block: list, fixed: tuple[np.ndarray, np.ndarray]
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.slice(at, ROWS)
-                search(queries, best, part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1), dims))
+                near = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(part), len(queries.pivots))
+                search(queries, best, part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1), dims), near)
         q, i = np.nonzero(best.score > NONE)
         yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(best.id[q, i]), pa.array(best.score[q, i])], ["query_id", "vec_id", "score"])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.select("vec_id", "v", "near").mapInArrow(run, "query_id long, vec_id long, score long")

@@ -440,7 +440,7 @@ def test_vector_search_is_the_brute_force(spark, block):
 
 
 @pytest.mark.parametrize("size", [1.0, 3e5])
-def test_cells_of_clustered_vectors_are_skipped_without_loss(spark, size):
+def test_clustered_vectors_are_skipped_without_loss(spark, size):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16)) * 4
     data = [(i, [float(x) for x in (centres[i % 40] + rng.normal(size=16) * 0.05) * size]) for i in range(3000)]
@@ -455,12 +455,29 @@ def test_a_search_evaluates_few_of_clustered_candidates():
     own = (own * 1000 / np.linalg.norm(own, axis=1)[:, None]).astype(np.int64)
     queries = vector_search.Queries(np.arange(100), own[:100], own[:32], np.arange(32), True, 5)
     best = vector_search.Best(queries)
-    assert vector_search.search(queries, best, np.arange(4096), own) < 100 * 4096 / 8
+    assert vector_search.search(queries, best, np.arange(4096), own, vector_search.distances(own, own[:32])) < 100 * 4096 / 8
     scores = own[:100] @ own.T
     scores[np.arange(100), np.arange(100)] = vector_search.NONE
     assert (best.score == -np.sort(-scores, axis=1)[:, :5]).all()
 
 
+@pytest.mark.parametrize("size", [1, 10**7])
+def test_unclustered_vectors_and_bounds_at_any_size(size):
+    """No bound is below its score, in the order of bounds nothing is lost, and pivots are far apart."""
+    rng = np.random.default_rng(4)
+    own = rng.integers(-40, 41, (700, 6)) * size
+    pivots = vector_search.far_apart(own, 24)
+    assert len(set(pivots.tolist())) == 24
+    near = vector_search.distances(own, own[pivots])
+    queries = vector_search.Queries(np.arange(60), own[:60], own[pivots], pivots, 4 * own.max() ** 2 * 6 < 2**53, 5)
+    best = vector_search.Best(queries)
+    products = sum(vector_search.search(queries, best, np.arange(at, min(at + 256, 700)), own[at : at + 256], near[at : at + 256]) for at in range(0, 700, 256))
+    scores = own[:60] @ own.T
+    scores[np.arange(60), np.arange(60)] = vector_search.NONE
+    order = np.lexsort((np.broadcast_to(np.arange(700), scores.shape), -scores), axis=1)[:, :5]
+    assert (best.id == order).all() and products < 60 * 700 * 0.7
+
+
 def test_vector_search_of_few_or_no_rows(spark):
     one = spark.createDataFrame([(0, [1.0])], VECTORS)
     asked = F.col("vec_id") % 50 == 0
