@@ -29,12 +29,12 @@ from tallyloom.llm.common import new_path, settle
 
 #: Candidates of a task that are searched at once, and queries that are bounded with them.
 ROWS, QUERIES = 4096, 256
-#: Candidates of a query that are evaluated first; then twice as many each time.
-FIRST = 32
+#: Candidates of a query that are evaluated first; then four times as many each time.
+FIRST = 64
 #: Vectors that pivots are chosen from.
 SAMPLE = 1024
-#: Room for rounding, as a share of what is rounded: far more than double precision needs.
-SLACK = 1e-12
+#: Room for rounding, as a share of what is rounded: several times what double precision needs, and single precision, in which gaps are taken.
+SLACK, GAP_SLACK = 1e-12, 1e-6
 #: The score of no candidate.
 NONE = np.iinfo(np.int64).min + 1
 
@@ -126,22 +126,25 @@ class Best:
 def search(queries: Queries, best: Best, ids: np.ndarray, rows: np.ndarray, near: np.ndarray) -> int:
     """Hold a chunk of candidates, with their distances to the pivots, against all queries; gives how many products were taken."""
     rows = rows.astype(queries.vectors.dtype)
+    single = np.ascontiguousarray(near.T.astype(np.float32))
     norms, far, products = (rows * rows).sum(1).astype(np.float64), near.max(axis=1, initial=0), 0
     for at in range(0, len(queries.ids), QUERIES):
         some = np.arange(at, min(at + QUERIES, len(queries.ids)))
-        gap = np.zeros((len(some), len(rows)))
+        gap, one_gap = np.zeros((len(some), len(rows)), np.float32), np.empty((len(some), len(rows)), np.float32)
+        asked = queries.near[some].astype(np.float32)
         for p in range(near.shape[1]):
-            np.maximum(gap, np.abs(queries.near[some, p, None] - near[None, :, p]), out=gap)
-        gap = np.maximum(gap - SLACK * (queries.near[some].max(axis=1, initial=0)[:, None] + far[None, :]), 0)
+            np.subtract(asked[:, p, None], single[None, p], out=one_gap)
+            np.maximum(gap, np.abs(one_gap, out=one_gap), out=gap)
+        gap = np.maximum(gap - GAP_SLACK * (queries.near[some].max(axis=1, initial=0)[:, None] + far[None, :]), 0)
         size = queries.norms[some, None].astype(np.float64) + norms[None, :]
         upper = (size - gap * gap) / 2 + SLACK * size
         for line, q in enumerate(some.tolist()):
             one = np.array([q])
             bound = upper[line]
             alive = np.flatnonzero((bound >= best.least(one)[0]) & (ids != queries.ids[q]))
-            order, step = alive[np.argsort(-bound[alive], kind="stable")], FIRST
+            order, step = alive[np.argsort(-bound[alive])], FIRST
             while len(order):
-                part, order, step = order[:step], order[step:], 2 * step
+                part, order, step = order[:step], order[step:], 4 * step
                 part = part[bound[part] >= best.least(one)[0]]
                 if not len(part):
                     break
