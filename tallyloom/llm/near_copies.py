@@ -1,18 +1,24 @@
-"""Near-copies by the Jaccard similarity of word shingles.
+"""Near-copies by the Jaccard similarity of word shingles, found by deletion variants of SimHash fingerprints.
 
 Documents link where their sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Pairs
-to look at come from minima of the shingles' hashes: BANDS keys of ROWS minima each, and two sets share
-a key of similarity s with the chance 1 - (1 - s**ROWS)**BANDS (0.9997 at 0.8, more above).  Each pair
-that counts is verified over the whole sets.
-
-Equal sets are collapsed first.  Of the rows of one key, all are held against the least: a pair a row, which mostly joins them.  The rows of a key that
-is still in parts then meet with their sets, in groups of two blocks of bounded size, each row once for every block of its key.  What each two of a group have in common is
-a product of matrices, and only pairs that join two parts leave it, so no table has all pairs.
+to look at come from SimHash: of each set's shingles, majority bits under independent seeds are cut into
+PRINTS fingerprints of PARTS parts each, and a fingerprint is indexed once for each of its parts with that part
+deleted.  Two sets of similarity 0.8 differ in at most 0.162 of the bits, so in all parts but one of some fingerprint they agree
+with a chance of 0.9997 (more above 0.8, and more for most sizes).  Sets of fewer than ten shingles have too few votes for that: they are indexed
+themselves and with one or two shingles deleted, which finds every pair at 0.8.  Rows of a key that differ in more than FAR of 128
+further bits aren't held together.  Each pair that counts is verified over the whole sets.
+
+Equal sets are collapsed first.  Every row is held against one, of the least rows of its keys the one that it has most keys in common with: a pair a row, which mostly joins them.
+Where rows whose keys have rows in common are still in parts, they meet with their sets, in groups of two blocks of bounded size, each row once for every block;
+very many of them meet key by key.  What each two of a group have in common is a product of matrices, and only pairs that join two parts leave it, so no table has all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +26,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LOWER, free_name, sent, settle, texts
+from tallyloom.llm.common import LOWER, free_name, sent, settle, texts, unsettle
 from tallyloom.llm.simhash import components
 
 SEED = 42
 WORDS = 5
-BANDS, ROWS = 20, 5
+#: Fingerprints of a set, parts of a fingerprint and bits of a part; keys of a set.
+PRINTS, PARTS, BITS = 36, 3, 7
+BANDS = PRINTS * PARTS
+#: The share of bits in which two sets of ten shingles or more differ at a similarity of 0.8, at most (12 of 15 shingles in common).
+DIFFER = 0.162
+#: Bits of 128 that such sets have different at most, but for a chance of 0.00003.
+FAR = 37
+#: Shingles of a short set: one of fewer than the first is like no other set, of fewer than the last is like sets of up to SHORT[1].
+SHORT = (4, 11, 10)
+#: Rows of a key whose fingerprints are compared pair by pair at once, and at most.
+FEW, MOST = 64, 4096
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
 #: Rows of a key that are held together, and columns of a matrix.
-BLOCK, COLUMNS = 256, 4096
-_RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_TERMS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64)
+BLOCK, COLUMNS = 768, 4096
+#: Blocks of rows of several keys that are held together as one at most.
+GATHERED = 16
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -53,23 +68,170 @@ def identity(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def shape(rows: int) -> tuple[int, int]:
+    """(prints, bits): of more than four million rows the parts get longer, so that a key has 256 random rows at most, and fingerprints more, so that as many pairs are found."""
+
+    def met(bits: int) -> float:
+        same = (1 - DIFFER) ** bits
+        return same**PARTS + PARTS * (1 - same) * same ** (PARTS - 1)
+
+    bits = max(BITS, ceil((log2(max(rows, 1)) - 8) / (PARTS - 1)))
+    return ceil(PRINTS * log(1 - met(BITS)) / log(1 - met(bits))), bits
+
+
+@cache
+def _seeds(words: int) -> tuple[np.ndarray, np.ndarray]:
+    terms, factors = np.random.default_rng(SEED).integers(0, 2**64, (2, words), np.uint64)
+    return terms, factors | np.uint64(1)
+
+
+def simhash(own: np.ndarray, prints: int, bits: int) -> bytes:
+    """128 majority bits of a set's shingles to compare, and those of its fingerprints."""
+    words = 2 + -(-prints * PARTS * bits // 64)
+    terms, factors = _seeds(words)
+    counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(own), 1024):
-        least = np.minimum(least, (own[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0))
-    return [xxhash.xxh64_intdigest(band.tobytes(), i) - 2**63 for i, band in enumerate(least.reshape(BANDS, ROWS))]
+        h = (own[at : at + 1024, None] ^ terms) * factors
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(own)).tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, v, keys) of every row: the identity and the band keys of its shingles; no keys where there are none."""
+def shortened(own: np.ndarray) -> list[int]:
+    """Keys of a short set: hashes of it and of it without one shingle, of ten or more also without two; all are negative."""
+    least, most, two = SHORT
+    n = len(own)
+    if not least <= n <= most:
+        return []
+    gone = [(), *combinations(range(n), 1), *(combinations(range(n), 2) if n >= two else ())]
+    return sorted({(xxhash.xxh64_intdigest(np.delete(own, x).tobytes() if x else own.tobytes(), SEED) >> 1) - 2**63 for x in gone})
+
+
+def signatures(docs: DataFrame, prints: int = PRINTS, bits: int = BITS) -> DataFrame:
+    """(doc_id, v, print, short) of every row: the identity of its shingles, their majority bits (null for a short set), and the keys of a short set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in texts(batch.column(1))]
-            keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([identity(s) for s in sets], pa.int64()), keys], ["doc_id", "v", "keys"])
+            prints_ = pa.array([simhash(s, prints, bits) if len(s) >= SHORT[2] else None for s in sets], pa.binary())
+            short = pa.array([shortened(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([identity(s) for s in sets], pa.int64()), prints_, short], ["doc_id", "v", "print", "short"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, v long, print binary, short array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, v long, keys array<long>")
+def deletions(print_: np.ndarray, prints: int, bits: int) -> np.ndarray:
+    """The keys of rows of fingerprints, as bits: number of the fingerprint, number of the part that is deleted, and the others."""
+    parts = print_.reshape(len(print_), prints, PARTS, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    keys = []
+    for gone in range(PARTS):
+        key = np.broadcast_to(np.arange(prints, dtype=np.int64) * PARTS + gone, parts.shape[:2])
+        for part in range(PARTS):
+            key = key if part == gone else key << bits | parts[:, :, part]
+        keys.append(key)
+    return np.concatenate(keys, axis=1)
+
+
+def variants(distinct: DataFrame, prints: int = PRINTS, bits: int = BITS) -> DataFrame:
+    """(key, v, low, high): every set under each of its keys, with the 128 bits to compare, which are zero under a key of a short set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                v, short = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+                sizes = np.fromiter(map(len, short), np.int64, len(short))
+                own = np.flatnonzero(~batch.column(1).is_null().to_numpy(zero_copy_only=False))
+                raw = np.frombuffer(b"".join(batch.column(1).drop_null().to_pylist()), np.uint8)
+                raw = raw.reshape(len(own), -1) if len(own) else np.zeros((0, 16 + -(-prints * PARTS * bits // 8)), np.uint8)
+                keys = deletions(np.unpackbits(raw[:, 16:], axis=1)[:, : prints * PARTS * bits], prints, bits)
+                low, high = np.ascontiguousarray(raw[:, :16]).view(np.int64).T
+                none = np.zeros(sizes.sum(), np.int64)
+                rows = [
+                    np.concatenate([keys.ravel(), np.array([k for s in short for k in s], np.int64)]),
+                    np.concatenate([np.repeat(v[own], keys.shape[1]), np.repeat(v, sizes)]),
+                    *(np.concatenate([np.repeat(x, keys.shape[1]), none]) for x in (low, high)),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["key", "v", "low", "high"])
+
+    return distinct.select("v", "print", "short").mapInArrow(run, "key long, v long, low long, high long")
+
+
+def parted(k: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row, in order of the keys *k*, the first row of its key that a chain of rows with FAR different bits at most leads to; -1 for a row without another."""
+    n = len(k)
+    cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+    size = np.diff(cuts)
+    label = np.arange(n)
+    few = np.repeat(size <= FEW, size)
+    i, d, hits = np.flatnonzero((k[1:] == k[:-1]) & few[1:]), 1, [np.zeros((2, 0), np.int64)]
+    while len(i):
+        far = np.bitwise_count((low[i] ^ low[i + d]).view(np.uint64)) + np.bitwise_count((high[i] ^ high[i + d]).view(np.uint64))
+        hits.append(np.stack([i, i + d])[:, far <= FAR])
+        d += 1
+        i = i[i + d < n]
+        i = i[k[i + d] == k[i]]
+    a, b = np.concatenate(hits, axis=1)
+    while (label[a] != label[b]).any():
+        lower = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, lower)
+        np.minimum.at(label, b, lower)
+    near = np.zeros(n, bool)
+    near[a] = near[b] = True
+    for start, end in zip(cuts[:-1][size > FEW].tolist(), cuts[1:][size > FEW].tolist(), strict=True):
+        left = np.arange(start, end)
+        while len(left):
+            first, left, todo = int(left[0]), left[1:], [int(left[0])]
+            while todo and len(left):
+                x = todo.pop()
+                far = np.bitwise_count((low[left] ^ low[x]).view(np.uint64)) + np.bitwise_count((high[left] ^ high[x]).view(np.uint64))
+                found = left[far <= FAR]
+                if len(found):
+                    label[found], near[found], near[first] = first, True, True
+                    left = left[far > FAR]
+                    todo += found.tolist()
+    return np.where(near, label, -1)
+
+
+def suspects(keyed: DataFrame) -> DataFrame:
+    """(key, v): the rows of *keyed* that have others like them under their key, which is told apart by whom they are like.
+
+    A key of more than MOST rows stays as it is, with all of them.
+    """
+
+    def told(k: np.ndarray, by: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        key = (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (by.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(v)], ["key", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, whole = [np.zeros(0, np.int64)] * 4, None
+
+        def of(k: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+            label = parted(k, low, high)
+            near = label >= 0
+            return told(k[near], v[label[near]], v[near])
+
+        for batch in batches:
+            held = [np.concatenate([a, b.to_numpy()]) for a, b in zip(held, batch.columns, strict=True)]
+            if whole is not None:
+                n = int(np.searchsorted(held[0], whole, "right"))
+                yield told(held[0][:n], np.zeros(n, np.int64), held[1][:n])
+                held = [x[n:] for x in held]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield of(*(x[:last] for x in held))
+                held, whole = [x[last:] for x in held], None
+            if len(held[0]) > MOST:
+                whole = held[0][0]
+                yield told(held[0], np.zeros(len(held[0]), np.int64), held[1])
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield of(*held)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, v long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,17 +348,32 @@ def links(groups: DataFrame) -> DataFrame:
     return groups.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "v", "label", "own").mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def apart(crowd: DataFrame, stars: DataFrame, label: DataFrame, most: int) -> DataFrame:
+    """(key, v, label): the rows of *crowd* that are to be held together as some of them are still in parts.
+
+    Keys that have rows in common are one key, so that two of them meet once, if these are at most *most*; of two that are all, *stars* have told.
+    """
+    whole = components(stars.select(F.col("other").alias("a"), F.col("v").alias("b"))).withColumnRenamed("label", "whole")
+    named = settle(whole.join(label, "v", "left").withColumn("label", F.coalesce("label", "v")))
+    parts = named.groupBy("whole").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("whole", "size")
+    own = settle(named.join(parts, "whole"))
+    small = own.where(F.col("size") <= most).select(F.col("whole").alias("key"), "v", "label")
+    rows = crowd.select("key", "v").join(own.where(F.col("size") > most).select("v", "label"), "v")
+    torn = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return settle(small.union(rows.join(torn, "key", "left_semi").select("key", "v", "label")))
+
+
+def joined(docs: DataFrame, signed: DataFrame, prints: int = PRINTS, bits: int = BITS) -> DataFrame:
     """(v, label): the component of every identity that is similar to another one."""
-    keyed = signed.select("v", "keys").dropDuplicates(["v"]).select("v", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("v").alias("other"), F.count("*").alias("n")).where("n > 1")
-    crowd = settle(keyed.join(shared, "key"))
+    found = settle(suspects(variants(signed.select("v", "print", "short").dropDuplicates(["v"]), prints, bits)))
+    shared = found.groupBy("key").agg(F.min("v").alias("other"))
+    crowd = settle(found.join(shared, "key"))
+    unsettle(found)
     sets = settle(sets_of(docs, settle(crowd.select("v").distinct())))
-    edges = settle(verified(_pairs(crowd.where("v <> other")), sets))
-    label = components(edges)
-    rows = crowd.where("n > 2").select("key", "v").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    parted = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    groups = dealt(settle(rows.join(parted, "key", "left_semi").select("key", "v", "label")), BLOCK).join(sets, "v")
+    stars = settle(crowd.where("v <> other").groupBy("v", "other").count())
+    best = stars.groupBy("v").agg(F.min(F.struct(-F.col("count"), "other")).alias("best")).select("v", "best.other")
+    edges = settle(verified(_pairs(best), sets))
+    groups = dealt(apart(crowd, stars, components(edges), GATHERED * BLOCK), BLOCK).join(sets, "v")
     return components(settle(edges.union(links(groups))))
 
 
@@ -206,8 +383,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts are lower-cased (A-Z) and cut at ASCII white space; those without words are copies of each other.  Of
     repeated rows of one doc_id all stay with it; rows without a doc_id stay.
     """
-    signed = settle(signatures(docs))
-    group = joined(docs, signed)
+    prints, bits = shape(docs.count())
+    signed = settle(signatures(docs, prints, bits))
+    group = joined(docs, signed, prints, bits)
     least = signed.groupBy("v").agg(F.min("doc_id").alias("least")).join(group, "v", "left").select("v", F.coalesce("label", "v").alias("label"), "least")
     first = least.groupBy("label").agg(F.min("least").alias("first"))
     named = least.join(first, "label").select("v", "first")

@@ -113,3 +113,33 @@ def test_overlaps_are_those_of_sets(monkeypatch):
     sets = [np.unique(rng.integers(0, 60, n)) for n in (0, 1, 5, 30, 30, 50)]
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[2:]] for a in sets[:4]]
     assert near_copies.overlaps(sets[:4], sets[2:]).tolist() == want
+
+
+def test_candidates_are_deletion_variants_of_fingerprints():
+    """Fingerprints that differ in one part share the key without it; short sets share keys with what one or two shingles less leave."""
+    prints, parts, bits = near_copies.PRINTS, near_copies.PARTS, near_copies.BITS
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2, (1, prints, parts, bits)).astype(np.uint8)
+    b = 1 - a
+    b[0, 3, [0, 2]] = a[0, 3, [0, 2]]
+    shared = set(near_copies.deletions(a, prints, bits)[0].tolist()) & set(near_copies.deletions(b, prints, bits)[0].tolist())
+    assert shared == {near_copies.deletions(a, prints, bits)[0].reshape(parts, prints)[1, 3]}
+    for common, more_a, more_b in ((4, 0, 1), (8, 1, 1), (8, 0, 2), (9, 0, 2), (12, 1, 2), (20, 2, 3), (240, 30, 30)):
+        for _ in range(50):
+            u = rng.integers(0, 2**64, common + more_a + more_b, np.uint64)
+            x, y = np.unique(u[: common + more_a]), np.unique(np.concatenate([u[:common], u[common + more_a :]]))
+            found = set(near_copies.shortened(x)) & set(near_copies.shortened(y))
+            raw = np.array([np.frombuffer(near_copies.simhash(s, prints, bits), np.uint8) for s in (x, y)])
+            p, q = near_copies.deletions(np.unpackbits(raw[:, 16:], axis=1)[:, : prints * parts * bits], prints, bits).tolist()
+            assert found or common > 9 and set(p) & set(q) and np.bitwise_count(raw[0, :16] ^ raw[1, :16]).sum() <= near_copies.FAR
+
+
+def test_rows_of_a_key_part_by_their_bits(monkeypatch):
+    rng = np.random.default_rng(3)
+    k = np.sort(rng.integers(0, 12, 400))
+    low, high = rng.integers(-(2**63), 2**63 - 1, (2, 5))[:, rng.integers(0, 5, 400)]
+    low = low ^ (1 << rng.integers(0, 60, 400))
+    want = [min(np.flatnonzero((k == k[i]) & (high == high[i]))) if ((k == k[i]) & (high == high[i])).sum() > 1 else -1 for i in range(400)]
+    assert near_copies.parted(k, low, high).tolist() == want
+    monkeypatch.setattr(near_copies, "FEW", 3)
+    assert near_copies.parted(k, low, high).tolist() == want
