@@ -348,12 +348,15 @@ def links(groups: DataFrame) -> DataFrame:
     return groups.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "v", "label", "own").mapInArrow(run, "a long, b long")
 
 
-def apart(crowd: DataFrame, stars: DataFrame, label: DataFrame, most: int) -> DataFrame:
+def apart(crowd: DataFrame, stars: DataFrame, best: DataFrame, label: DataFrame, most: int) -> DataFrame:
     """(key, v, label): the rows of *crowd* that are to be held together as some of them are still in parts.
 
-    Keys that have rows in common are one key, so that two of them meet once, if these are at most *most*; of two that are all, *stars* have told.
+    Keys that have rows in common are one key, so that two of them meet once, if these are at most *most*; of two that are all, *best* has told.
     """
-    whole = components(stars.select(F.col("other").alias("a"), F.col("v").alias("b"))).withColumnRenamed("label", "whole")
+    first = components(best.select(F.col("other").alias("a"), F.col("v").alias("b"))).select(F.col("v").alias("end"), F.col("label").alias("first"))
+    ends = stars.select(F.col("v").alias("end"), "other").join(first, "end").select(F.col("first").alias("b"), "other").join(first.withColumnRenamed("end", "other"), "other").select(F.col("first").alias("a"), "b")
+    more = components(ends.where("a <> b").distinct()).select(F.col("v").alias("first"), F.col("label").alias("least"))
+    whole = settle(first.join(more, "first", "left").select(F.col("end").alias("v"), F.coalesce("least", "first").alias("whole")))
     named = settle(whole.join(label, "v", "left").withColumn("label", F.coalesce("label", "v")))
     parts = named.groupBy("whole").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2").select("whole", "size")
     own = settle(named.join(parts, "whole"))
@@ -371,9 +374,9 @@ def joined(docs: DataFrame, signed: DataFrame, prints: int = PRINTS, bits: int =
     unsettle(found)
     sets = settle(sets_of(docs, settle(crowd.select("v").distinct())))
     stars = settle(crowd.where("v <> other").groupBy("v", "other").count())
-    best = stars.groupBy("v").agg(F.min(F.struct(-F.col("count"), "other")).alias("best")).select("v", "best.other")
+    best = settle(stars.groupBy("v").agg(F.min(F.struct(-F.col("count"), "other")).alias("best")).select("v", "best.other"))
     edges = settle(verified(_pairs(best), sets))
-    groups = dealt(apart(crowd, stars, components(edges), GATHERED * BLOCK), BLOCK).join(sets, "v")
+    groups = dealt(apart(crowd, stars, best, components(edges), GATHERED * BLOCK), BLOCK).join(sets, "v")
     return components(settle(edges.union(links(groups))))
 
 
