@@ -353,7 +353,7 @@ def apart(crowd: DataFrame, stars: DataFrame, best: DataFrame, label: DataFrame,
 
     Keys that have rows in common are one key, so that two of them meet once, if these are at most *most*; of two that are all, *best* has told.
     """
-    first = components(best.select(F.col("other").alias("a"), F.col("v").alias("b"))).select(F.col("v").alias("end"), F.col("label").alias("first"))
+    first = components(best.select(F.col("other").alias("a"), F.col("v").alias("b")).union(stars.select("other", "other")).distinct()).select(F.col("v").alias("end"), F.col("label").alias("first"))
     ends = stars.select(F.col("v").alias("end"), "other").join(first, "end").select(F.col("first").alias("b"), "other").join(first.withColumnRenamed("end", "other"), "other").select(F.col("first").alias("a"), "b")
     more = components(ends.where("a <> b").distinct()).select(F.col("v").alias("first"), F.col("label").alias("least"))
     whole = settle(first.join(more, "first", "left").select(F.col("end").alias("v"), F.coalesce("least", "first").alias("whole")))
