@@ -202,6 +202,6 @@ def action(vidx: Column, appear: Column, checked: Column, expected_length: Colum
 
 
 def glyphs(df: DataFrame, keys: list[str], vidx: str, appear: Column, length: Column, checked: Column) -> DataFrame:
-    """(keys, glyphs): one letter a slot, in order, as glyph_visible gives."""
+    """(keys, glyphs): one letter a slot, in order, as glyph_visible gives; slots without a number are last."""
     letter = F.when(appear & checked & length.isNull(), "D").when(appear, "A").when(length.isNotNull() & (length != 0), "_").otherwise("?")
-    return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(vidx, letter.alias("letter")))), lambda x: x["letter"]), "").alias("glyphs"))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(vidx).isNull(), vidx, letter.alias("letter")))), lambda x: x["letter"]), "").alias("glyphs"))

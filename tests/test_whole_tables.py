@@ -38,6 +38,13 @@ def test_all_orders_are_reconciled(spark, folder):
     assert report.matches > 30 and report.unread == found.where("kind = 'unread'").count() >= 5
 
 
+def test_a_length_of_0_is_measured_too(spark, tmp_path):
+    data = [(2, 1, "error", 0.0), (1, 1, "error", 90.5), (None, 1, "view", 1.0), (3, 1, "view", 0.0), (5, 1, "error", -0.5), (4, 1, "view", 95.0), (6, 1, "error", None)]
+    e = spark.createDataFrame(data, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in catalog.glyph_string(spark, str(tmp_path)).collect()] == [(1, "?_AD_?A")]
+
+
 def by_all_paths(external, tracked):
     """The walk with every path to a state kept."""
     out, queue, seen = [], [(0, 0, ())], set()
