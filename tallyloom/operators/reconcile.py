@@ -1,20 +1,23 @@
 """Reconciling an external ordered list of names with the tracked one, and reports on it.
 
 The walk over both lists is order-dependent, so one run is one task, which holds both lists and nothing that grows with the pairs of places; runs are independent.
+Short runs are walked together (side_by_side), so that what a task costs isn't what is done run by run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.prefix_tree import best_costs, cost_table, letter_counts
 from tallyloom.functions.similarity import warped_distance, warped_pairs
+from tallyloom.operators.side_by_side import KINDS, LINES, SHORT, Rows, Runs, walks
 from tallyloom.operators.windows import islands
 
 MATCH_AT_MOST = 12
@@ -26,6 +29,10 @@ FEW_PLACES = 4096
 TILE = 512
 #: Places of the waves that are looked at together, but for those beside nameless entities.
 MOST_PLACES = 1 << 20
+#: Pairs of a line and an alias up to which a run is walked together with others.
+FEW_PAIRS = 1 << 14
+#: Rows that are given at once.
+TOLD = 1 << 16
 SCHEMA = "run_id string, kind string, ext_index long, int_index long, name string, dist long, index_diff long"
 
 
@@ -46,13 +53,15 @@ class Lists:
     entity's aliases are bounded together.
     """
 
-    def __init__(self, external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[str | None]]]) -> None:
+    def __init__(self, external: Sequence[str | None], tracked: Sequence[tuple[str | None, Sequence[str | None]]]) -> None:
         self.external, self.aliases = list(external), [[a for a in own if a is not None] for _, own in tracked]
+        self.read = np.array([name is not None for name in self.external], bool)
+        names = [name or "" for name in self.external]
         self.named = np.array([name is not None and bool(own) for (name, _), own in zip(tracked, self.aliases, strict=True)], bool)
         self.nameless = np.concatenate(([0], np.cumsum([name is None for name, _ in tracked]))).astype(np.int64)
-        mine, other = (sorted(set().union(*map(set, names)) if names else ()) for names in (self.external, [a for own in self.aliases for a in own]))
+        mine, other = (sorted(set().union(*map(set, some)) if some else ()) for some in (names, [a for own in self.aliases for a in own]))
         costs = cost_table(mine, other)
-        self.letters = letter_counts(self.external, mine)
+        self.letters = letter_counts(names, mine)
         self.back = best_costs(self.letters, costs)
         # All aliases of an entity as one name, and what each of them has at least.
         together = ["".join(own) for own in self.aliases]
@@ -66,7 +75,7 @@ class Lists:
 
     def possible(self, rows: slice, columns: slice) -> tuple[np.ndarray, np.ndarray]:
         """(external, entity) places of a rectangle that can be a match."""
-        near = (self.letters[rows] @ self.costs[columns].T <= MATCH_AT_MOST) & self.named[columns]
+        near = (self.letters[rows] @ self.costs[columns].T <= MATCH_AT_MOST) & self.named[columns] & self.read[rows, None]
         e, i = np.nonzero(near & (self.back[rows] @ self.least[columns].T <= MATCH_AT_MOST))
         return e + rows.start, i + columns.start
 
@@ -111,7 +120,7 @@ def next_match(lists: Lists, start: tuple[int, int]) -> tuple[int, int, int] | N
     """
     e0, i0 = start
     rows, columns = len(lists.external) - e0, len(lists.named) - i0
-    if rows > 0 and columns > 0 and not lists.unread(i0):
+    if rows > 0 and columns > 0 and not lists.unread(i0) and lists.read[e0]:
         # Mostly the next names match at once.
         far = nearest([lists.external[e0]], [lists.aliases[i0]])[0]
         if far is not None and far <= MATCH_AT_MOST:
@@ -170,17 +179,106 @@ def walk(external: Sequence[str], tracked: Sequence[tuple[str | None, Sequence[s
     return out
 
 
-def reconcile(external: DataFrame, tracked: DataFrame) -> DataFrame:
-    """Rows of walk by run.  *external*: (run_id, line_no, name), *tracked*: (run_id, entity, name, aliases)."""
+def _is_short(runs: Runs, pairs: np.ndarray) -> np.ndarray:
+    """The runs whose distances are all made: few lines, entities and pairs, and no long name."""
+    long = np.zeros(len(runs.lines), np.int64)
+    for names, of in ((runs.names, np.repeat(np.arange(len(runs.lines)), runs.lines)), (runs.aliases, np.repeat(np.arange(len(runs.entities)), runs.entities)[runs.owner])):
+        length = np.fromiter((len(n) if n is not None else 0 for n in names), np.int64, len(names))
+        long[of[length > SHORT]] = 1
+    return (pairs <= FEW_PAIRS) & (runs.lines < LINES) & (runs.entities < LINES) & (long == 0)
+
+
+def _of(runs: Runs, own: np.ndarray) -> tuple[Runs, np.ndarray]:
+    """Some of the runs, and the numbers of their lines."""
+    lines, entities = np.repeat(own, runs.lines), np.repeat(own, runs.entities)
+    number = np.cumsum(entities) - 1
+    aliases = np.flatnonzero(entities[runs.owner])
+    kept = np.flatnonzero(lines)
+    return Runs(runs.lines[own], [runs.names[k] for k in kept.tolist()], runs.entities[own], runs.unread[entities], [runs.aliases[k] for k in aliases.tolist()], number[runs.owner[aliases]]), kept
+
+
+def _walked(runs: Runs) -> list[Rows]:
+    """The rows of all runs: of the short ones together, of the others one after the other."""
+    run_of = np.repeat(np.arange(len(runs.entities)), runs.entities)
+    pairs = runs.lines * np.bincount(run_of[runs.owner], minlength=len(runs.lines))
+    short = _is_short(runs, pairs)
+    if short.all():
+        return [walks(runs, MATCH_AT_MOST)]
+    some, lines = _of(runs, short)
+    got = walks(some, MATCH_AT_MOST)
+    got.run = np.flatnonzero(short)[got.run]
+    got.name = np.where(got.name < 0, -1, np.append(lines, -1)[got.name])
+    out = [got]
+    line_from, entity_from = np.cumsum(runs.lines) - runs.lines, np.cumsum(runs.entities) - runs.entities
+    alias_from = np.searchsorted(runs.owner, np.append(np.arange(len(runs.unread)), len(runs.unread)))
+    for r in np.flatnonzero(~short).tolist():
+        own = range(int(entity_from[r]), int(entity_from[r] + runs.entities[r]))
+        tracked = [(None if runs.unread[k] else "", runs.aliases[alias_from[k] : alias_from[k + 1]]) for k in own]
+        rows = walk(runs.names[line_from[r] : line_from[r] + runs.lines[r]], tracked)
+        kind, line, entity, _, dist, diff = (list(x) for x in zip(*rows, strict=True)) if rows else [[]] * 6
+        number = [np.array([-1 if x is None else x for x in c], np.int64) for c in (line, entity, dist, diff)]
+        kinds = np.array([KINDS.index(k) for k in kind], np.int64)
+        out.append(Rows(np.full(len(rows), r), kinds, number[0], number[1], np.where(number[0] < 0, -1, number[0] + line_from[r]), number[2], number[3], (kinds == 0) | (kinds == 3)))
+    return out
+
+
+def _reconciled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of some whole runs, which lie together."""
+    rows = rows.combine_chunks()
+    ids = rows["run_id"].combine_chunks()
+    new = np.concatenate(([True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)))
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    line, there, unread = (np.flatnonzero(rows[c].to_numpy()) if c != "unread" else rows[c].to_numpy() for c in ("line", "there", "unread"))
+    names = rows["external"].combine_chunks().take(pa.array(line))
+    unread = unread[there].astype(bool)
+    # Aliases are those of entities with a name; null lists and null aliases are none.
+    aliases = rows["aliases"].combine_chunks().take(pa.array(there))
+    owner, alias = pc.list_parent_indices(aliases).to_numpy(), pc.list_flatten(aliases)
+    own = np.flatnonzero(~unread[owner] & alias.is_valid().to_numpy(zero_copy_only=False))
+    n = len(first)
+    runs = Runs(np.bincount(run[line], minlength=n), names.to_pylist(), np.bincount(run[there], minlength=n), unread, alias.take(pa.array(own)).to_pylist(), owner[own].astype(np.int64))
+    for got in _walked(runs):
+        some = [
+            pc.take(ids, pa.array(first[got.run])).cast(pa.string()), pc.take(pa.array(KINDS), pa.array(got.kind)), pa.array(got.line, mask=got.line < 0), pa.array(got.entity, mask=got.entity < 0),
+            pc.take(names, pa.array(got.name, mask=got.name < 0)).cast(pa.string()), pa.array(got.dist, mask=~got.scored), pa.array(got.diff, mask=~got.scored),
+        ]
+        yield from pa.Table.from_arrays(some, names=[c.split()[0] for c in SCHEMA.split(", ")]).to_batches(max_chunksize=TOLD)
+
+
+def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in order of their runs, a run's rows being held until its last one is there."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("run_id")
+        if held and held[-1].column("run_id")[-1] != ids[0]:
+            yield from _reconciled(pa.Table.from_batches(held))
+            held = []
+        last = pc.index(ids, ids[-1]).as_py()
+        if last:
+            yield from _reconciled(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from _reconciled(pa.Table.from_batches(held))
+
+
+def reconcile_together(both: DataFrame) -> DataFrame:
+    """Rows of walk by run.  *both*: (run_id, place, line, external, there, unread, aliases), in which a row may be a line of the external list, an entity of the tracked one (there), or both.
+
+    Both lists are in order of place, null last; a line without a name is passed like one that nothing matches.  Runs without an id have no rows.
+    """
+    own = both.where(F.col("run_id").isNotNull()).repartition("run_id").sortWithinPartitions("run_id", F.col("place").asc_nulls_last())
+    return own.select("run_id", "line", "external", "there", "unread", "aliases").mapInArrow(_each_run, SCHEMA)
 
-    def run(key: tuple, ext: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names = ext.sort_values("line_no")["name"].tolist()
-        own = own.sort_values("entity")
-        entities = [(n if isinstance(n, str) else None, list(a) if a is not None else []) for n, a in zip(own["name"], own["aliases"], strict=True)]
-        out = pd.DataFrame([(key[0], *r) for r in walk(names, entities)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return out.astype({c: "Int64" for c in ("ext_index", "int_index", "dist", "index_diff")})
 
-    return external.where(F.col("name").isNotNull()).groupBy("run_id").cogroup(tracked.groupBy("run_id")).applyInPandas(run, SCHEMA)
+def reconcile(external: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Rows of walk by run.  *external*: (run_id, line_no, name), *tracked*: (run_id, entity, name, aliases)."""
+    yes, no = F.lit(True), F.lit(False)
+    lines = external.where(F.col("name").isNotNull()).select("run_id", F.col("line_no").alias("place"), yes.alias("line"), F.col("name").alias("external"), no.alias("there"), no.alias("unread"), F.lit(None).cast("array<string>").alias("aliases"))
+    entities = tracked.select("run_id", "entity", no, F.lit(None).cast("string"), yes, F.col("name").isNull(), "aliases")
+    return reconcile_together(lines.union(entities))
 
 
 def report(found: DataFrame) -> DataFrame:
