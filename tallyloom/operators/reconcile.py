@@ -282,12 +282,17 @@ def reconcile(external: DataFrame, tracked: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """One row a run: matches, mean score, mean over distinct scores, index mean, unread and missing counts."""
-    hits = found.where("kind = 'match'")
-    scores = hits.groupBy("run_id", "dist").agg(F.count("*").alias("n"))
-    means = scores.groupBy("run_id").agg(F.sum("n").alias("matches"), (F.sum(F.col("dist") * F.col("n")) / F.sum("n")).alias("score_mean"), (F.sum(F.col("dist") * F.col("n")) / F.count("*")).alias("mean_per_distinct_score"))
-    index = found.groupBy("run_id").agg((F.sum("index_diff") / F.count(F.when(F.col("kind") == "match", 1))).alias("index_mean"), F.count(F.when(F.col("kind") == "unread", 1)).alias("unread"), F.count(F.when(F.col("kind") == "missing", 1)).alias("missing"))
-    return index.join(means, "run_id", "left")
+    """One row a run: matches, mean score, mean over distinct scores, index mean, unread and missing counts.
+
+    Everything is one pass over *found*, as different scores are bits of a number: distances of matches are small.
+    """
+    hit = F.when(F.col("kind") == "match", F.col("dist"))
+    sums = found.groupBy("run_id").agg(
+        F.sum("index_diff").alias("index"), F.count(F.when(F.col("kind") == "match", 1)).alias("n"), F.sum(hit).alias("score"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), hit.cast("int"))).alias("scores"),
+        F.count(F.when(F.col("kind") == "unread", 1)).alias("unread"), F.count(F.when(F.col("kind") == "missing", 1)).alias("missing"),
+    )
+    n = F.when(F.col("n") > 0, F.col("n"))
+    return sums.select("run_id", (F.col("index") / n).alias("index_mean"), "unread", "missing", n.alias("matches"), (F.col("score") / n).alias("score_mean"), (F.col("score") / F.bit_count("scores")).alias("mean_per_distinct_score"))
 
 
 def offset_stretches(found: DataFrame) -> DataFrame:

@@ -70,3 +70,21 @@ def test_two_lists_are_walked_without_a_call_a_run(spark):
     want = [(run, *r) for run, (names, own) in runs.items() for r in reconcile.walk([n for n in names if n is not None], own)]
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(want, key=repr)
     assert "CoGroup" not in found._jdf.queryExecution().toString()
+
+
+def test_a_report_walks_once(spark, tmp_path):
+    data = [(k, k % 9, "1-URGENT") for k in range(180)] + [(900, None, "5-LOW"), (901, 1, None), (None, 2, "5-LOW")]
+    spark.createDataFrame(data, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    report = catalog.accuracy_report(spark, str(tmp_path))
+    assert report._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    found = catalog.reconcile_lists(spark, str(tmp_path)).collect()
+    got = {r.run_id: r for r in report.collect()}
+    assert set(got) == {str(k) for k in range(9)} == {r.run_id for r in found}
+    for run, r in got.items():
+        hits = [x for x in found if x.run_id == run and x.kind == "match"]
+        assert (r.matches, r.unread, r.missing) == (len(hits), *(sum(x.run_id == run and x.kind == k for x in found) for k in ("unread", "missing")))
+        assert r.score_mean == sum(x.dist for x in hits) / len(hits) and r.mean_per_distinct_score == sum(x.dist for x in hits) / len({x.dist for x in hits})
+        assert r.index_mean == sum(x.index_diff or 0 for x in found if x.run_id == run) / len(hits)
+    none = reconcile.report(spark.createDataFrame([("r", "unread", None, None)], "run_id string, kind string, dist long, index_diff long")).first()
+    assert tuple(none) == ("r", None, 1, 0, None, None, None)
+    assert reconcile.report(spark.createDataFrame([("r", "match", 3, 0)], "run_id string, kind string, dist long, index_diff long").where(F.lit(False))).collect() == []
