@@ -40,6 +40,34 @@ def test_pairs_are_those_of_all(spark, seed, most, keyed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize(("least", "most"), [(1000, 50_000), (10, 50), (1, 7)])
+def test_a_result_can_have_some_columns(spark, monkeypatch, least, most):
+    monkeypatch.setattr(intervals, "LEAST_POINTS", least)
+    points, held = rows_of(9)
+    points = [*points, *(("x", 111, 1000 + k) for k in range(60))]
+    left, right = spark.createDataFrame(points, POINTS), spark.createDataFrame(held, HELD).withColumnRenamed("run", "other")
+    want = every_pair(points, held, False)
+    met = intervals.points_in_any(left, right, "at", "a", "b", ["i", "p"], most)
+    assert met.columns == ["i", "p"] and sorted((r.p, r.i) for r in met.collect()) == want
+    assert sorted(r.i for r in intervals.points_in_any(left, right, "at", "a", "b", ["i"], most).collect()) == sorted(i for _, i in want)
+    assert sorted(r.p for r in intervals.points_in_any(left, right, "at", "a", "b", ["p"], most).collect()) == sorted(p for p, _ in want)
+
+
+def test_intervals_without_keys_are_sent_once(spark):
+    points, held = rows_of(4)
+    left, right = spark.createDataFrame(points, POINTS), spark.createDataFrame(held, HELD).withColumnRenamed("run", "other")
+    plan = intervals.points_in(left, right, [], "at", "a", "b")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    for none in (left.limit(0), right), (left, right.limit(0)):
+        assert intervals.points_in(*none, [], "at", "a", "b").collect() == []
+
+
+def test_lists_go_on_in_the_next_batch(spark):
+    points = spark.range(150_000).select(F.floor(F.col("id") / 3).alias("at"), "id")
+    held = spark.createDataFrame([(0, 50_000), (49_999, None), (10, 11)], "a long, b long")
+    assert sorted(r.n for r in intervals.points_in_any(points, held, "at", "a", "b", most=200_000).groupBy("a").agg(F.count("*").alias("n")).collect()) == [3, 3, 150_000]
+
+
 def test_frames_without_entities_and_none_at_all(spark):
     frames = spark.createDataFrame([("r", 5), ("r", 6), ("s", 5)], "run_id string, frame long")
     entities = spark.createDataFrame([("r", 1, 5, 6), ("r", 2, 6, None), ("r", 3, 9, None)], "run_id string, entity int, entered long, left long")
