@@ -16,7 +16,7 @@ from tallyloom.functions.similarity import BORDER
 #: Letters of a name up to which a distance fits a byte, with room for a step.
 SHORT = 64
 #: Pairs of names whose distances are made at once.
-PAIRS = 1 << 14
+PAIRS = 1 << 13
 #: Pairs that are held at once.
 HELD = 1 << 20
 #: Lines, and entities, of a run up to which a step's key is a number.
@@ -78,14 +78,14 @@ def distances(names: list[str | None], aliases: list[str], a: np.ndarray, b: np.
     """similarity.warped_distance of the pairs of names *a* and aliases *b*, none of them longer than SHORT."""
     (mine, mine_length, mine_letters), (other, other_length, other_letters) = _codes(names), _codes(aliases)
     costs = cost_table(mine_letters, other_letters).astype(np.uint8).ravel()
-    mine *= len(other_letters)
+    mine, other = np.ascontiguousarray(mine.T) * len(other_letters), np.ascontiguousarray(other.T)
     out = np.empty(len(a), np.uint8)
     # Pairs of like lengths go together.
     order = np.argsort((mine_length[a] * (SHORT + 1) + other_length[b]).astype(np.uint16), kind="stable")
     for at in range(0, len(order), PAIRS):
         own = order[at : at + PAIRS]
         size_a, size_b = mine_length[a[own]], other_length[b[own]]
-        left, right = (np.ascontiguousarray(code[i, : int(size.max())].T) for code, i, size in ((mine, a[own], size_a), (other, b[own], size_b)))
+        left, right = (code[: int(size.max())].take(i, axis=1) for code, i, size in ((mine, a[own], size_a), (other, b[own], size_b)))
         every, height = np.arange(len(own)), len(right)
         row = np.repeat((np.arange(height + 1) * BORDER).astype(np.uint8)[:, None], len(own), axis=1)
         found, after = row[size_b, every], np.empty_like(row)
